@@ -1,0 +1 @@
+"""Register loads are full or partial batches; there is no streaming operator to offer."""
