@@ -25,15 +25,16 @@ def scan_csv(
     encoding: str = "UTF-8",
     columns: list[str] | None = None,
     flag_wrong_width: bool = False,
+    header: bool = True,
 ) -> DataFrame:
-    """Delimited file with a header, every column text, quotes doubled inside quoted fields.
+    """Delimited file, every column text, quotes doubled inside quoted fields.
 
     Short rows are padded with NULL.  Naming the ``columns`` saves the pass that
     reads the header; with ``flag_wrong_width`` the raw text of a row with too few
     or too many fields is kept in ``_corrupt_record``.
     """
     reader = (
-        spark.read.option("header", True)
+        spark.read.option("header", header)
         .option("sep", delimiter)
         .option("encoding", charset(encoding))
         .option("quote", '"')
