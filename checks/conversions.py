@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from stateweave.functions import convert, wkt
+from stateweave.functions.evaluate import once
 
 
 def _sometimes(key, n, bad, good):
@@ -90,10 +91,10 @@ def _(t):
         .when(k == 2, F.date_format("o_orderdate", "yyyy-'00-00'"))
         .otherwise(F.date_format("o_orderdate", "yyyy-'00'-dd"))
     )
-    d = convert.convert(raw, "incomplete_date")
-    part = lambda f: d[f].cast("bigint")
     # Month unknown but day known is no incomplete date.
-    return t.orders.select("o_orderkey", part("year").alias("jaar"), part("month").alias("maand"), part("day").alias("dag"))
+    dated = once(t.orders.select("o_orderkey", raw.alias("raw")), "d", convert.convert(F.col("raw"), "incomplete_date"))
+    part = lambda f: F.col(f"d.{f}").cast("bigint")
+    return dated.select("o_orderkey", part("year").alias("jaar"), part("month").alias("maand"), part("day").alias("dag"))
 
 
 @check(

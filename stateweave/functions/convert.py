@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from stateweave.functions import dates, wkt
+from stateweave.functions.evaluate import let
 from stateweave.functions.text import null_if_empty
 
 # Boolean formats: text for true, text for false (fixed values).
@@ -95,15 +96,15 @@ def convert(c: Column, type_: str, fmt: str | None = None) -> Column:
     if kind == "datetime":
         return to_timestamp(text, fmt)
     if kind == "incomplete_date":
-        return to_incomplete_date(text)
+        return let(text, to_incomplete_date)
     if kind == "json":
         return to_json(text)
     if kind == "point":
-        return F.when(wkt.is_point(text), text)
+        return let(text, lambda v: F.when(wkt.is_point(v), v))
     if kind == "polygon":
-        return F.when(wkt.is_polygon(text) | wkt.is_multipolygon(text), text)
+        return let(text, lambda v: F.when(wkt.is_polygon(v), v))
     if kind == "geometry":
-        return F.when(wkt.is_geometry(text), text)
+        return let(text, lambda v: F.when(wkt.is_geometry(v), v))
     if kind == "reference":
         return F.when(text != "null", text)
     raise ValueError(f"no conversion for type {type_!r}")

@@ -2,13 +2,16 @@
 
 A geometry becomes ``array<array<struct<x,y>>>``: one array per ring (or per
 part).  Every function is a built-in expression over that array, so a geometry
-never leaves the row and nothing here shuffles.
+never leaves the row and nothing here shuffles.  Where a parsed value is used
+more than once it is bound by ``let``, or parsed again for every use.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from stateweave.functions.evaluate import let
+
 _NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 _POINT = rf"^\s*{_NUMBER}\s+{_NUMBER}\s*$"
 
@@ -20,14 +23,17 @@ def _ring_texts(wkt: Column) -> Column:
 def rings(wkt: Column) -> Column:
     """Coordinates of every ring; a coordinate that is no number becomes NULL."""
 
+    # Single blanks first: splitting on one character needs no pattern per point.
+    spaced = F.regexp_replace(wkt, r"\s+", " ")
+
     def point(text):
-        xy = F.split(F.trim(text), r"\s+")
+        xy = F.split(F.trim(text), " ")
         return F.struct(
             F.try_element_at(xy, F.lit(1)).try_cast("double").alias("x"),
             F.try_element_at(xy, F.lit(2)).try_cast("double").alias("y"),
         )
 
-    return F.transform(_ring_texts(wkt), lambda r: F.transform(F.split(r, ","), point))
+    return F.transform(_ring_texts(spaced), lambda r: F.transform(F.split(r, ","), point))
 
 
 def _skeleton(wkt: Column) -> Column:
@@ -38,8 +44,8 @@ def _skeleton(wkt: Column) -> Column:
     return F.regexp_replace(s, r"(?<=\(#\)),\(#\)", "")
 
 
-def _all_points(wkt: Column) -> Column:
-    return F.forall(_ring_texts(wkt), lambda r: F.forall(F.split(r, ","), lambda p: p.rlike(_POINT)))
+def _all_points(texts: Column) -> Column:
+    return F.forall(texts, lambda r: F.forall(F.split(r, ","), lambda p: p.rlike(_POINT)))
 
 
 def _all_closed(wkt: Column) -> Column:
@@ -49,32 +55,52 @@ def _all_closed(wkt: Column) -> Column:
     )
 
 
-def is_point(wkt: Column) -> Column:
-    one = F.size(F.split(F.element_at(_ring_texts(wkt), 1), ",")) == 1
-    return (_skeleton(wkt) == "POINT#") & _all_points(wkt) & one
+def _one_part(wkt: Column, least: int, most: int | None) -> Column:
+    def fits(texts):
+        n = F.size(F.split(F.element_at(texts, 1), ","))
+        return _all_points(texts) & (n >= least if most is None else n.between(least, most))
 
+    return let(_ring_texts(wkt), fits)
+
+
+def _all_rings(wkt: Column) -> Column:
+    return _all_points(_ring_texts(wkt)) & _all_closed(wkt)
 
-def is_polygon(wkt: Column) -> Column:
-    return (_skeleton(wkt) == "POLYGON(#)") & _all_points(wkt) & _all_closed(wkt)
 
+# The shape of each kind once its coordinates are replaced by '#'.
+_POINT_SHAPE, _LINE_SHAPE = "POINT#", "LINESTRING#"
+_POLYGON_SHAPE, _MULTI_SHAPE = "POLYGON(#)", "MULTIPOLYGON((#))"
 
-def is_multipolygon(wkt: Column) -> Column:
-    return (_skeleton(wkt) == "MULTIPOLYGON((#))") & _all_points(wkt) & _all_closed(wkt)
+
+def is_point(wkt: Column) -> Column:
+    return (_skeleton(wkt) == _POINT_SHAPE) & _one_part(wkt, 1, 1)
+
+
+def is_polygon(wkt: Column) -> Column:
+    """A polygon or multipolygon whose rings are closed."""
+    return _skeleton(wkt).isin(_POLYGON_SHAPE, _MULTI_SHAPE) & _all_rings(wkt)
 
 
 def is_linestring(wkt: Column) -> Column:
-    long_enough = F.size(F.split(F.element_at(_ring_texts(wkt), 1), ",")) >= 2
-    return (_skeleton(wkt) == "LINESTRING#") & _all_points(wkt) & long_enough
+    return (_skeleton(wkt) == _LINE_SHAPE) & _one_part(wkt, 2, None)
 
 
 def is_geometry(wkt: Column) -> Column:
-    return is_point(wkt) | is_polygon(wkt) | is_multipolygon(wkt) | is_linestring(wkt)
+    def fits(shape):
+        return (
+            F.when(shape == _POINT_SHAPE, _one_part(wkt, 1, 1))
+            .when(shape.isin(_POLYGON_SHAPE, _MULTI_SHAPE), _all_rings(wkt))
+            .when(shape == _LINE_SHAPE, _one_part(wkt, 2, None))
+            .otherwise(F.lit(False))
+        )
+
+    return let(_skeleton(wkt), fits)
 
 
 def number_text(c: Column) -> Column:
-    """Shortest plain text of a coordinate: no exponent, no trailing zeros."""
-    fixed = F.format_string("%.6f", c.cast("double"))
-    return F.regexp_replace(fixed, r"\.?0+$", "")
+    """Plain text of a coordinate with up to six decimals: no exponent, no trailing zeros."""
+    fixed = c.cast("double").try_cast("decimal(38,6)").cast("string")
+    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))
 
 
 def point_wkt(x: Column, y: Column) -> Column:
@@ -125,28 +151,37 @@ def ring_area(ring: Column) -> Column:
 
 def polygon_area(ring_array: Column) -> Column:
     """Outer ring minus holes."""
-    areas = F.transform(ring_array, ring_area)
-    return F.element_at(areas, 1) * 2 - _total(areas, F.lit(0.0))
+    return let(
+        F.transform(ring_array, ring_area), lambda areas: F.element_at(areas, 1) * 2 - _total(areas, F.lit(0.0))
+    )
 
 
 def bounds(ring_array: Column) -> Column:
     """Bounding box as struct(x0, y0, x1, y1)."""
-    xs = F.transform(F.flatten(ring_array), lambda p: p["x"])
-    ys = F.transform(F.flatten(ring_array), lambda p: p["y"])
-    return F.struct(
-        F.array_min(xs).alias("x0"),
-        F.array_min(ys).alias("y0"),
-        F.array_max(xs).alias("x1"),
-        F.array_max(ys).alias("y1"),
-    )
+
+    def box(points):
+        axis = lambda name: F.transform(points, lambda p: p[name])
+        return F.struct(
+            F.array_min(axis("x")).alias("x0"),
+            F.array_min(axis("y")).alias("y0"),
+            F.array_max(axis("x")).alias("x1"),
+            F.array_max(axis("y")).alias("y1"),
+        )
+
+    return let(F.flatten(ring_array), box)
 
 
 def vertex_average(ring_array: Column) -> Column:
     """Mean of the outer ring's vertices, the closing one left out; the point itself for a point."""
-    outer = F.element_at(ring_array, 1)
-    open_ring = F.when(F.size(outer) > 1, F.slice(outer, F.lit(1), F.size(outer) - 1)).otherwise(outer)
-    mean = lambda axis: _total(F.transform(open_ring, lambda p: p[axis]), F.lit(0.0)) / F.size(open_ring)
-    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+    def mean(outer):
+        n = F.greatest(F.size(outer) - 1, F.lit(1))
+        axis = lambda name: _total(
+            F.transform(F.slice(outer, F.lit(1), n), lambda p: p[name]), F.lit(0.0)
+        )
+        return F.struct((axis("x") / n).alias("x"), (axis("y") / n).alias("y"))
+
+    return let(F.try_element_at(ring_array, F.lit(1)), mean)
 
 
 def contains(ring_array: Column, x: Column, y: Column) -> Column:
@@ -179,8 +214,7 @@ def simplify_ring(ring: Column, tolerance: float) -> Column:
         # A zero index is an error in element_at, so the ends are decided first.
         return F.when(~inner, F.lit(True)).otherwise(~(F.coalesce(near_line, F.lit(False)) | on_spot))
 
-    kept = F.filter(ring, keep)
-    return F.when(F.size(kept) >= 4, kept).otherwise(ring)
+    return let(F.filter(ring, keep), lambda kept: F.when(F.size(kept) >= 4, kept).otherwise(ring))
 
 
 def simplify(ring_array: Column, tolerance: float) -> Column:

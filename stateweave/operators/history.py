@@ -11,13 +11,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from stateweave.functions import dates
-from stateweave.operators.joining import same
 from stateweave.operators.predicates import not_empty_interval, valid_at
 
-_SLICE = "__slice"
+# A place is one time slice of one key.  Keys and places are structs: two NULL keys
+# inside compare equal, and windows and joins on a place share one partitioning.
+_KEY, _SLICE, _PLACE = "__key", "__slice", "__place"
+
+
+def _slices() -> WindowSpec:
+    """Window over the slices of a key in order."""
+    return Window.partitionBy(f"{_PLACE}.{_KEY}").orderBy(F.col(f"{_PLACE}.{_SLICE}").asc_nulls_last())
 
 
 def time_slice(df: DataFrame, order: str, unit: str = "month") -> Column:
@@ -38,23 +44,22 @@ def state_number(
 
     ``slice_by`` must not decrease while the first order column grows.
     """
-    key, order = list(key), list(order)
     slice_by = time_slice(df, order[0]) if slice_by is None else slice_by
-    states = df.select(*key, *order, slice_by.alias(_SLICE)).distinct()
+    states = df.select(
+        F.struct(*key).alias(_KEY), slice_by.alias(_SLICE), F.struct(*order).alias("__state")
+    ).distinct()
+    states = states.select(F.struct(_KEY, _SLICE).alias(_PLACE), "__state")
     # Rows are distinct, so the row number within the slice is the dense rank.
-    by = [F.col(o).asc_nulls_last() for o in order]
-    inner = states.withColumn("__n", F.row_number().over(Window.partitionBy(*key, _SLICE).orderBy(*by)))
-    sizes = states.groupBy(*key, _SLICE).agg(F.count(F.lit(1)).alias("__size"))
-    before = (
-        Window.partitionBy(*key).orderBy(F.col(_SLICE).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    numbered = (
-        inner.alias("i")
-        .join(offsets.alias("o"), same("i", "o", [*key, _SLICE]))
-        .select("i.*", (F.col("i.__n") + F.col("o.__before")).cast("bigint").alias(out))
+    by = [F.col(f"__state.`{o}`").asc_nulls_last() for o in order]
+    inner = states.withColumn("__n", F.row_number().over(Window.partitionBy(_PLACE).orderBy(*by)))
+    sizes = states.groupBy(_PLACE).agg(F.count(F.lit(1)).alias("__size"))
+    before = _slices().rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(_PLACE, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    numbered = inner.join(offsets, _PLACE).select(
+        F.col(f"{_PLACE}.{_KEY}").alias(_KEY), "__state", (F.col("__n") + F.col("__before")).cast("bigint").alias(out)
     )
-    return df.alias("d").join(numbered.alias("n"), same("d", "n", [*key, *order])).select("d.*", f"n.{out}")
+    rows = df.select("*", F.struct(*key).alias(_KEY), F.struct(*order).alias("__state"))
+    return rows.join(numbered, [_KEY, "__state"]).drop(_KEY, "__state")
 
 
 def successor_end(df: DataFrame, key: str, begin: str, end: str, take: Mapping[str, str]) -> DataFrame:
@@ -81,20 +86,13 @@ def distinct_states(df: DataFrame, key: Sequence[str], begin: str, end: str) ->
 
 def with_next_begin(df: DataFrame, key: Sequence[str], begin: str, end: str, out: str = "next_begin") -> DataFrame:
     """Begin of the following state of the key, over distinct states."""
-    key = list(key)
-    states = df.withColumn(_SLICE, time_slice(df, begin))
+    place = F.struct(F.struct(*key).alias(_KEY), time_slice(df, begin).alias(_SLICE))
+    states = df.withColumn(_PLACE, place)
     by = [F.col(begin).asc_nulls_last(), F.col(end).asc_nulls_last()]
-    inner = states.withColumn("__next", F.lead(begin).over(Window.partitionBy(*key, _SLICE).orderBy(*by)))
-    firsts = states.groupBy(*key, _SLICE).agg(F.min(begin).alias("__first"))
-    chained = firsts.withColumn(
-        "__later", F.lead("__first").over(Window.partitionBy(*key).orderBy(F.col(_SLICE).asc_nulls_last()))
-    )
-    return (
-        inner.alias("i")
-        .join(chained.alias("c"), same("i", "c", [*key, _SLICE]))
-        .select("i.*", F.coalesce(F.col("i.__next"), F.col("c.__later")).alias(out))
-        .drop(_SLICE, "__next")
-    )
+    inner = states.withColumn("__next", F.lead(begin).over(Window.partitionBy(_PLACE).orderBy(*by)))
+    firsts = states.groupBy(_PLACE).agg(F.min(begin).alias("__first"))
+    chained = firsts.select(_PLACE, F.lead("__first").over(_slices()).alias("__later"))
+    return inner.join(chained, _PLACE).select(*df.columns, F.coalesce("__next", "__later").alias(out))
 
 
 def current_at(

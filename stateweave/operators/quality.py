@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stateweave.functions import convert
+from stateweave.functions.evaluate import once
 from stateweave.operators import history
 
 AttributeTypes = Mapping[str, tuple[str, str | None]]
@@ -21,7 +22,7 @@ def with_errors(df: DataFrame, attributes: AttributeTypes, out: str = "_errors")
         )
         for name, (type_, fmt) in attributes.items()
     ]
-    return df.withColumn(out, F.array_compact(F.array(*found)))
+    return once(df, out, F.array_compact(F.array(*found)))
 
 
 def split_valid(df: DataFrame, attributes: AttributeTypes, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

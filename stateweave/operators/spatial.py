@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stateweave.functions import wkt
+from stateweave.functions.evaluate import once
 from stateweave.operators.joining import heavy_keys
 
 _LOWEST, _HIGHEST = -30, 60
@@ -25,12 +26,17 @@ def _cell_size(level: Column) -> Column:
     return F.pow(F.lit(2.0), level)
 
 
-def _filed_areas(areas: DataFrame, key: str, geometry: str) -> DataFrame:
-    a = areas.select(F.col(key).alias("__area"), wkt.rings(F.col(geometry)).alias("__rings"))
-    a = a.where(F.size("__rings") > 0).withColumn("__b", wkt.bounds(F.col("__rings")))
-    b = lambda n: F.col(f"__b.{n}")
-    a = a.withColumn("__level", _level(F.greatest(b("x1") - b("x0"), b("y1") - b("y0"))))
+def _boxed_areas(areas: DataFrame, key: str, geometry: str) -> DataFrame:
+    a = areas.select(F.col(key).alias("__area"), F.col(geometry).alias("__wkt"))
+    a = once(a, "__rings", wkt.rings(F.col("__wkt"))).where(F.size("__rings") > 0)
+    a = once(a, "__b", wkt.bounds(F.col("__rings")))
+    extent = F.greatest(F.col("__b.x1") - F.col("__b.x0"), F.col("__b.y1") - F.col("__b.y0"))
+    return a.select("__area", "__rings", "__b", _level(extent).alias("__level"))
+
+
+def _filed_areas(a: DataFrame) -> DataFrame:
     size = _cell_size(F.col("__level"))
+    b = lambda n: F.col(f"__b.{n}")
     reach = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
     a = a.withColumn("__cx", F.explode(reach(b("x0"), b("x1"))))
     return a.withColumn("__cy", F.explode(reach(b("y0"), b("y1"))))
@@ -43,13 +49,13 @@ def relate_spatial(
 
     A source polygon is represented by the average of its vertices.
     """
-    filed = _filed_areas(areas, area_key, area_geometry)
+    boxed = _boxed_areas(areas, area_key, area_geometry)
+    filed = _filed_areas(boxed)
     # At most one entry per grid level, some ninety in all.
-    levels = areas.select(wkt.bounds(wkt.rings(F.col(area_geometry))).alias("b")).agg(
-        F.collect_set(_level(F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")))).alias("l")
-    ).scalar()
-    points = src.select(F.col(src_key).alias("__src"), wkt.vertex_average(wkt.rings(F.col(src_geometry))).alias("p"))
-    points = points.select("__src", F.col("p.x").alias("__x"), F.col("p.y").alias("__y"))
+    levels = boxed.agg(F.collect_set("__level").alias("l")).scalar()
+    points = src.select(F.col(src_key).alias("__src"), F.col(src_geometry).alias("__wkt"))
+    points = once(points, "__p", wkt.vertex_average(wkt.rings(F.col("__wkt"))))
+    points = points.select("__src", F.col("__p.x").alias("__x"), F.col("__p.y").alias("__y"))
     located = points.where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
     located = located.withColumn("__level", F.explode(levels))
     size = _cell_size(F.col("__level"))
@@ -76,9 +82,8 @@ def geometry_union(
     on a cluster: it keeps its members as single MULTIPOLYGON rows, and ``parts``
     tells how many polygons the row holds.
     """
-    bodies = members.where(F.col(geometry).isNotNull()).select(
-        F.col(area), wkt.polygon_body(wkt.rings(F.col(geometry))).alias("__body")
-    ).distinct()
+    known = members.where(F.col(area).isNotNull() & F.col(geometry).isNotNull()).select(area, geometry).distinct()
+    bodies = once(known, "__body", wkt.polygon_body(wkt.rings(F.col(geometry)))).select(area, "__body").distinct()
     sizes = bodies.groupBy(area).agg(F.count(F.lit(1)).alias("__n"))
     heavy = heavy_keys(sizes, [area], "__n", cell_limit)
     short = bodies.join(heavy, area, "left_anti").groupBy(area).agg(F.array_sort(F.collect_list("__body")).alias("__all"))
@@ -90,8 +95,8 @@ def geometry_union(
 
 def area_summary(members: DataFrame, area: str, geometry: str) -> DataFrame:
     """Bounding box, summed area and number of member polygons, all as mergeable aggregates."""
-    r = members.select(F.col(area), wkt.rings(F.col(geometry)).alias("__r"))
-    b = r.select(area, wkt.bounds(F.col("__r")).alias("b"), wkt.polygon_area(F.col("__r")).alias("a"))
+    r = once(members.select(area, geometry), "__r", wkt.rings(F.col(geometry)))
+    b = once(r, "b", wkt.bounds(F.col("__r"))).select(area, "b", wkt.polygon_area(F.col("__r")).alias("a"))
     return b.groupBy(area).agg(
         F.min("b.x0").alias("x0"),
         F.min("b.y0").alias("y0"),

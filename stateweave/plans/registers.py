@@ -26,8 +26,9 @@ _moment = lambda c: dates.moment_text(F.col(c))
 
 
 def _simplified(c: Column) -> Column:
+    """Single polygons simplified; other geometries as they are."""
     rings = wkt.simplify(wkt.rings(c), TOLERANCE)
-    return F.when(wkt.is_polygon(c), wkt.polygon_wkt(rings)).otherwise(c)
+    return F.when(c.rlike(r"^\s*POLYGON"), wkt.polygon_wkt(rings)).otherwise(c)
 
 
 def city_blocks(topography: DataFrame, blocks: DataFrame, ordered: bool = True) -> DataFrame:
@@ -44,10 +45,12 @@ def city_blocks(topography: DataFrame, blocks: DataFrame, ordered: bool = True)
         _moment("inwin").alias("registratiedatum"),
         F.col("guid").alias("source_id"),
         _moment("verval").alias("expirationdate"),
-        _simplified(F.col("geometrie")).alias("geometrie"),
+        "geometrie",
         F.lit(None).cast("string").alias("ligt_in_buurt"),
     )
-    return out.orderBy("code", "volgnummer") if ordered else out
+    # A sort runs its input twice (to sample, then to move), so the costly part comes after it.
+    out = out.orderBy("code", "volgnummer") if ordered else out
+    return out.withColumn("geometrie", _simplified(F.col("geometrie")))
 
 
 def _area_states(topography: DataFrame, areas: DataFrame, object_code: int) -> DataFrame:

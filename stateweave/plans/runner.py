@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stateweave.functions import convert
+from stateweave.functions.evaluate import once
 from stateweave.operators import changes, identity, lookups, mapping, projection, quality, relations, spatial
 from stateweave.plans.definition import Definition
 from stateweave.sources import databases, files
@@ -71,7 +72,7 @@ def _split(extract: DataFrame, definition: Definition, types: Mapping[str, str])
     ]
     empty = F.array().cast("array<struct<attribute:string,value:string>>")
     errors = F.array_compact(F.array(*found)) if found else empty
-    checked = extract.withColumn("_errors", errors)
+    checked = once(extract, "_errors", errors)
     key = F.col(f"`{definition.entity_id}`").cast("string").alias("_id")
     bad = checked.select(key, F.explode("_errors").alias("e")).select("_id", "e.attribute", "e.value")
     return checked.where(F.size("_errors") == 0).drop("_errors"), bad

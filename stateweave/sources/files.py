@@ -46,7 +46,8 @@ def scan_csv(
         fields = [T.StructField(c, T.StringType()) for c in columns]
         if flag_wrong_width:
             fields.append(T.StructField(CORRUPT, T.StringType()))
-            reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+            # A pruned parser would count only the fields a query asks for.
+            reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
         # The header was given, so it need not match the file's spelling.
         reader = reader.schema(T.StructType(fields)).option("enforceSchema", True)
     elif flag_wrong_width:
