@@ -70,6 +70,17 @@ def looks_like_list(c: Column) -> Column:
     return F.ltrim(c).startswith("[")
 
 
+def path_list(df: DataFrame, path: str) -> Column:
+    """Field at a dotted path as a list: of every element of an array, or of the one object."""
+    head = path.split(".")[0]
+    if isinstance(_type_of(df, head), T.StringType):
+        one = path_get(df, path)
+        return F.when(looks_like_list(F.col(f"`{head}`")), path_get_all(df, path)).otherwise(
+            F.when(one.isNotNull(), F.array(one))
+        )
+    return source_value(df, path)
+
+
 def source_value(df: DataFrame, source: str) -> Column:
     """A literal (``=text``), a column, or a dotted path."""
     if source.startswith("="):
@@ -186,7 +197,13 @@ def _object_attribute(df: DataFrame, source: Mapping, spec: Mapping, type_: str
     source = dict(source)
     separator = _split_of(source.pop("format", None))
     chains = spec.get("filters") or {}
-    parts = {k: apply_filters(source_value(df, v), chains.get(k, [])) for k, v in source.items()}
+    listed = spec.get("force_list") or type_ == "manyreference"
+
+    def value(v: str) -> Column:
+        dotted = "." in v and not v.startswith("=") and not _has(df, v)
+        return path_list(df, v) if listed and dotted else source_value(df, v)
+
+    parts = {k: apply_filters(value(v), chains[k]) if k in chains else value(v) for k, v in source.items()}
     kinds = {k: _kind(df, c) for k, c in parts.items()}
     if spec.get("force_list"):
         return force_list(parts, kinds)
@@ -224,16 +241,19 @@ def attribute(df: DataFrame, spec: Mapping, type_: str | None = None) -> Column:
     c = apply_filters(source_value(df, source), spec.get("filters") or [])
     if spec.get("force_list"):
         return force_list_scalar(c, _kind(df, c))
-    if not isinstance(_kind(df, c), T.StringType):
+    kind = _kind(df, c)
+    if type_ is None and isinstance(fmt, str) and fmt in convert.BOOLEAN_FORMATS:
+        type_ = "boolean"
+    if type_ in ("reference", "manyreference") and not isinstance(kind, (T.StructType, T.ArrayType)):
+        return reference(c) if type_ == "reference" else many_reference(c.cast("string"))
+    if type_ == "boolean" and isinstance(kind, T.NumericType):
+        return F.when(c == 1, F.lit(True)).when(c == 0, F.lit(False))
+    if not isinstance(kind, T.StringType):
         return c if type_ is None else c.try_cast(convert.SPARK_TYPES[type_])
-    if type_ == "reference":
-        return reference(c)
-    if type_ == "manyreference":
-        return many_reference(c)
     if type_ is None:
         if fmt is None:
             return c
-        type_ = "boolean" if fmt in convert.BOOLEAN_FORMATS else "datetime" if "%H" in fmt else "date"
+        type_ = "datetime" if "%H" in fmt else "date"
     return convert.convert(c, type_, fmt)
 
 

@@ -27,7 +27,9 @@ def _cell_size(level: Column) -> Column:
 
 
 def _boxed_areas(areas: DataFrame, key: str, geometry: str) -> DataFrame:
-    a = areas.select(F.col(key).alias("__area"), F.col(geometry).alias("__wkt"))
+    # Copies of a geometry answer alike, so the lowest key stands for them.
+    known = areas.where(F.col(geometry).isNotNull())
+    a = known.groupBy(F.col(geometry).alias("__wkt")).agg(F.min(key).alias("__area"))
     a = once(a, "__rings", wkt.rings(F.col("__wkt"))).where(F.size("__rings") > 0)
     a = once(a, "__b", wkt.bounds(F.col("__rings")))
     extent = F.greatest(F.col("__b.x1") - F.col("__b.x0"), F.col("__b.y1") - F.col("__b.y0"))
@@ -53,23 +55,19 @@ def relate_spatial(
     filed = _filed_areas(boxed)
     # At most one entry per grid level, some ninety in all.
     levels = boxed.agg(F.collect_set("__level").alias("l")).scalar()
-    points = src.select(F.col(src_key).alias("__src"), F.col(src_geometry).alias("__wkt"))
-    points = once(points, "__p", wkt.vertex_average(wkt.rings(F.col("__wkt"))))
-    points = points.select("__src", F.col("__p.x").alias("__x"), F.col("__p.y").alias("__y"))
-    located = points.where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
-    located = located.withColumn("__level", F.explode(levels))
+    placed = once(src.select(src_key, src_geometry), "__p", wkt.vertex_average(wkt.rings(F.col(src_geometry))))
+    placed = placed.select(src_key, F.col("__p.x").alias("__x"), F.col("__p.y").alias("__y"))
+    # A place is looked up once, however many sources share it.
+    places = placed.where(F.col("__x").isNotNull() & F.col("__y").isNotNull()).select("__x", "__y").distinct()
+    located = places.withColumn("__level", F.explode(levels))
     size = _cell_size(F.col("__level"))
     located = located.withColumn("__cx", F.floor(F.col("__x") / size)).withColumn("__cy", F.floor(F.col("__y") / size))
     x, y = F.col("__x"), F.col("__y")
     in_box = x.between(F.col("__b.x0"), F.col("__b.x1")) & y.between(F.col("__b.y0"), F.col("__b.y1"))
     hits = located.join(filed, ["__level", "__cx", "__cy"]).where(in_box & wkt.contains(F.col("__rings"), x, y))
     # The minimum is pre-aggregated in the join's own stage.
-    lowest = hits.groupBy("__src").agg(F.min("__area").alias(area_key))
-    return (
-        src.select(F.col(src_key))
-        .join(lowest, F.col(src_key) == F.col("__src"), "left")
-        .select(src_key, area_key)
-    )
+    lowest = hits.groupBy("__x", "__y").agg(F.min("__area").alias(area_key))
+    return placed.join(lowest, ["__x", "__y"], "left").select(src_key, area_key)
 
 
 def geometry_union(
