@@ -49,11 +49,14 @@ def _(t):
 @check(
     "j12_resolve_by_attribute_single",
     """SELECT c_custkey AS src, c_mktsegment AS bronwaarde, low AS dst_id FROM customer
-       LEFT JOIN (SELECT 'MACHINERY' AS seg, min(s_suppkey) AS low FROM supplier) ON c_mktsegment = seg""",
+       LEFT JOIN (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'MACHINERY' WHEN 1 THEN 'BUILDING' ELSE 'S' || s_suppkey END AS seg,
+                         min(s_suppkey) AS low FROM supplier GROUP BY seg) ON c_mktsegment = seg""",
 )
 def _(t):
     refs = t.customer.select(F.col("c_custkey").alias("src"), F.col("c_mktsegment").alias("bronwaarde"))
-    dst = t.supplier.select("s_suppkey", F.lit("MACHINERY").alias("soort"))
+    k = F.col("s_suppkey") % 4
+    kind = F.when(k == 0, "MACHINERY").when(k == 1, "BUILDING").otherwise(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")))
+    dst = t.supplier.select("s_suppkey", kind.alias("soort"))
     return relations.resolve_references(refs, dst, "s_suppkey", "soort")
 
 

@@ -16,17 +16,17 @@ def ordered_list(
 ) -> DataFrame:
     """Values of each key in order, joined to one text; NULL values are left out.
 
-    Copies are counted before the shuffle.  A key with up to ``cell_limit``
-    distinct values gives one row with the whole text and ``times`` = 1.  A
-    larger key cannot be one cell on a cluster; it gives one row per distinct
-    value with ``times`` copies, so nothing is lost and no task holds the group.
+    Copies are counted before the shuffle.  A key with up to ``cell_limit`` values
+    gives one row with the whole text and ``times`` = 1.  A larger key cannot be
+    one cell on a cluster; it gives one row per distinct value with ``times``
+    copies, so nothing is lost and no task holds the group.
     """
     key = list(key)
-    runs = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("__size"))
+    known = df.where(F.col(value).isNotNull())
+    runs = known.groupBy(*key, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = known.groupBy(*key).agg(F.count(F.lit(1)).alias("__size"))
     heavy = heavy_keys(sizes, key, "__size", cell_limit)
     short = runs.alias("r").join(heavy.alias("h"), same("r", "h", key), "left_anti")
-    # The copies of one value must fit the text as well.
     spelled = F.when(F.col("__n") > 1, F.repeat(F.concat(F.col("__v").cast("string"), F.lit(sep)), (F.col("__n") - 1).cast("int")))
     piece = F.concat(F.coalesce(spelled, F.lit("")), F.col("__v").cast("string"))
     cells = short.groupBy(*key).agg(

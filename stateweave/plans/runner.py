@@ -1,7 +1,10 @@
 """Run one import definition: scan, merge, validate, map, enrich, compare.
 
-Everything stays lazy until a result is written, except ``autoid``, which pins
-the order of the new values with a checkpoint.
+An extract feeds several results (entity, quarantine, guard, changes), and a
+database should answer its query once.  The runner therefore stages the merged
+extract and the entity in the shared folder; with ``stage=False`` all results
+stay lazy plans over the source, except that ``autoid`` pins the order of its
+new values.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from stateweave.functions import convert
 from stateweave.functions.evaluate import once
 from stateweave.operators import changes, identity, lookups, mapping, projection, quality, relations, spatial
 from stateweave.plans.definition import Definition
+from stateweave.session import staged
 from stateweave.sources import databases, files
 
 SYSTEM = ("_id", "_source", "_application", "_source_id", "_expiration_date", "datum_actueel_tot")
@@ -99,6 +103,7 @@ def run(
     members: Mapping[str, DataFrame] | None = None,
     current: DataFrame | None = None,
     mode: str = "full",
+    stage: bool = True,
 ) -> Load:
     """Turn an extract into its entity and compare it with the current snapshot.
 
@@ -108,6 +113,8 @@ def run(
     types = dict(types or {})
     if definition.merge and merge_with is not None:
         extract = lookups.merge_dataset(extract, merge_with, definition.merge["on"], definition.merge["copy"])
+    if stage:
+        extract = staged(extract, "extract")
     valid, quarantine = _split(extract, definition, types)
     guard = quality.row_guard({definition.table: (extract, definition.min_rows)})
 
@@ -128,6 +135,8 @@ def run(
         else:
             raise ValueError(f"unknown enrichment {spec['type']!r}")
 
+    if stage:
+        entity = staged(entity, "entity")
     key = ["_id", *(["volgnummer"] if "volgnummer" in definition.mapping else [])]
     diff = None
     if current is not None:

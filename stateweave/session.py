@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Right results need UTC timestamps; the rest lets Spark re-plan from measured sizes.
 _RUNTIME = {
@@ -60,3 +60,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Point reliable checkpoints at the shared root unless the session already has a folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: computed once, safe from lost executors."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
