@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from checks.states import EVENT_STATES, event_states
-from stateweave.operators import changes, projection
-from stateweave.plans import registers, runner
+from stateweave.operators import changes, mapping, projection
+from stateweave.plans import extracts, registers, runner
 from stateweave.plans.definition import Definition
 
 # --- areas: event states as topography, event attributes as the attribute table ---------
@@ -498,6 +498,40 @@ def _(t):
     return extract.apply(t.orders)
 
 
+_PARTS = Definition.from_dict(
+    {
+        "catalogue": "trade",
+        "entity": "parts",
+        "source": {"name": "TPCH", "application": "Prepared", "entity_id": "part_key"},
+        "mapping": {
+            "identificatie": {"source_mapping": "part_key"},
+            "volgnummer": {"source_mapping": "volgnummer"},
+            "naam": {"source_mapping": "part_name"},
+            "soort": {"source_mapping": {"code": "part_type", "omschrijving": "part_type"}},
+            "maat": {"source_mapping": "kenmerken.maat"},
+            "eind_geldigheid": {"source_mapping": "eind_geldigheid"},
+        },
+    }
+)
+
+
+@check(
+    "extract_drawn_up_from_definition",
+    """SELECT p_partkey AS identificatie, CAST(1 AS BIGINT) AS volgnummer, p_name AS naam, p_type AS soort,
+              CAST(p_size AS VARCHAR) AS maat, CAST(NULL AS TIMESTAMP) AS eind_geldigheid FROM part""",
+)
+def _(t):
+    prepared = t.part.select(
+        F.col("p_partkey").alias("partKey"), F.col("p_name").alias("partName"), F.col("p_type").alias("partType"),
+        F.format_string('{"maat": %d}', "p_size").alias("kenmerken"), "p_brand",
+    )
+    extract = extracts.draw_up(
+        _PARTS, prepared, constants={"volgnummer": (1, "bigint"), "eind_geldigheid": (None, "timestamp")}, json=["kenmerken"]
+    )
+    mapped = mapping.map_entity(extract.apply(prepared), _PARTS.mapping)
+    return mapped.withColumn("soort", F.col("soort.code"))
+
+
 # --- a whole definition -------------------------------------------------------------------
 
 CUSTOMER_DEFINITION = Definition.from_dict(

@@ -15,7 +15,6 @@ from stateweave.operators.joining import same
 from stateweave.operators.mapping import REF
 
 PAIR_LIMIT = 1_000_000
-CELLS = 64
 
 
 def explode_references(df: DataFrame, attribute: str, keep: Sequence[str]) -> DataFrame:
@@ -77,14 +76,50 @@ class Side:
         )
 
 
-def _candidates(src: DataFrame, dst: DataFrame, condition: Column, pair_limit: int, cells: int) -> DataFrame:
-    """Pairs with equal match value that meet the interval condition.
+def _on_time_line(df: DataFrame, p: str, heavy: DataFrame, span: Column) -> DataFrame:
+    """Mark heavy rows and give every interval finite bounds in microseconds and a grid level.
 
-    Most values have few states and join on the value alone.  A value whose
-    source and destination states would make more than ``pair_limit`` pairs is
-    cut into time cells as well: each interval is copied to the cells it touches
-    (at most ``cells``), and a pair counts only in the first cell both touch, so
-    no pair is lost or doubled.
+    An open begin or end is drawn to the span of all begins, which is as far as
+    any begin can reach.  The cells of a level are at least as long as the
+    intervals filed there, so an interval touches one or two of them.
+    """
+    beyond = span["hi"] + 1
+    lo = F.coalesce(F.unix_micros(f"{p}_begin"), span["lo"])
+    hi = F.least(F.coalesce(F.unix_micros(f"{p}_end"), beyond), beyond)
+    marked = df.join(heavy, F.col(f"{p}_match") == F.col("__heavy"), "left")
+    timed = marked.withColumn(f"{p}_lo", lo).withColumn(f"{p}_hi", F.greatest(hi, F.col(f"{p}_lo")))
+    level = F.length(F.bin(F.col(f"{p}_hi") - F.col(f"{p}_lo")))
+    return timed.withColumn(f"{p}_heavy", F.col("__heavy").isNotNull()).withColumn(f"{p}_level", level).drop("__heavy")
+
+
+def _filed(df: DataFrame, p: str) -> DataFrame:
+    """Heavy intervals under the cells of their level, the others under one common cell."""
+    cells = F.when(
+        F.col(f"{p}_heavy"),
+        F.sequence(F.expr(f"shiftright({p}_lo, {p}_level)"), F.expr(f"shiftright({p}_hi, {p}_level)")),
+    ).otherwise(F.array(F.lit(0).cast("bigint")))
+    filed = df.withColumn("__level", F.when(F.col(f"{p}_heavy"), F.col(f"{p}_level")).otherwise(F.lit(-1)))
+    return filed.withColumn("__cell", F.explode(cells)).drop(f"{p}_level", f"{p}_hi")
+
+
+def _probing(df: DataFrame, p: str, levels: Column) -> DataFrame:
+    """Begins of heavy intervals, once per level in use; the others as they are."""
+    probed = df.withColumn(
+        "__level", F.explode(F.when(F.col(f"{p}_heavy"), levels).otherwise(F.array(F.lit(-1))))
+    )
+    cell = F.when(F.col(f"{p}_heavy"), F.expr(f"shiftright({p}_lo, __level)")).otherwise(F.lit(0).cast("bigint"))
+    return probed.withColumn("__cell", cell).drop(f"{p}_level", f"{p}_hi")
+
+
+def _candidates(src: DataFrame, dst: DataFrame, condition: Column, pair_limit: int, moments: bool) -> DataFrame:
+    """Pairs with equal match value that meet the interval condition, each once.
+
+    Most values have few states and join on the value alone.  Where source and
+    destination would make more than ``pair_limit`` pairs, two intervals meet only
+    if one begins inside the other, so begins are looked up among intervals on a
+    grid of levels: first source begins in destinations, then destination begins
+    in sources (not for moments, which have no inside).  The work then follows
+    the number of overlaps, not the product of the group.
     """
     n_src = src.groupBy("s_match").agg(F.count(F.lit(1)).alias("__ns"))
     n_dst = dst.groupBy("d_match").agg(F.count(F.lit(1)).alias("__nd"))
@@ -97,27 +132,26 @@ def _candidates(src: DataFrame, dst: DataFrame, condition: Column, pair_limit: i
     span = begins.agg(
         F.struct(F.coalesce(F.min("t"), F.lit(0)).alias("lo"), F.coalesce(F.max("t"), F.lit(0)).alias("hi")).alias("s")
     ).scalar()
-    lo = span["lo"]
-    width = F.greatest(F.lit(1), F.ceil((span["hi"] - lo) / cells))
-
-    def cell(t: Column, open_value: int) -> Column:
-        at = F.floor((F.unix_micros(t) - lo) / width)
-        return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(cells - 1), at)), F.lit(open_value)).cast("int")
-
-    def cut(df: DataFrame, p: str) -> DataFrame:
-        is_heavy = F.col("__heavy").isNotNull()
-        first = F.when(is_heavy, cell(F.col(f"{p}_begin"), 0)).otherwise(F.lit(-1))
-        last = F.when(is_heavy, cell(F.col(f"{p}_end"), cells - 1)).otherwise(F.lit(-1))
-        marked = df.join(heavy, F.col(f"{p}_match") == F.col("__heavy"), "left")
-        touched = marked.withColumn(f"{p}_first", first).withColumn("__last", F.greatest(last, F.col(f"{p}_first")))
-        return touched.withColumn(f"{p}_cell", F.explode(F.sequence(f"{p}_first", "__last"))).drop("__heavy", "__last")
-
-    where = (
+    s, d = _on_time_line(src, "s", heavy, span), _on_time_line(dst, "d", heavy, span)
+    # A level is the bit length of a duration: at most 64 of them.
+    levels = lambda df, p: df.agg(F.collect_set(f"{p}_level")).scalar()
+    same_cell = lambda left, right: (
         (F.col("s_match") == F.col("d_match"))
-        & (F.col("s_cell") == F.col("d_cell"))
-        & (F.col("s_cell") == F.greatest("s_first", "d_first"))
+        & (left["__level"] == right["__level"])
+        & (left["__cell"] == right["__cell"])
     )
-    return cut(src, "s").join(cut(dst, "d"), where & condition)
+
+    left, right = _probing(s, "s", levels(d, "d")), _filed(d, "d")
+    source_begins_inside = ~F.col("s_heavy") | (F.col("d_lo") <= F.col("s_lo"))
+    found = left.join(right, same_cell(left, right) & source_begins_inside & condition)
+    kept = [*src.columns, *dst.columns]
+    found = found.select(*kept)
+    if moments:
+        return found
+    left = _filed(s.where("s_heavy"), "s")
+    right = _probing(d.where("d_heavy"), "d", levels(s, "s"))
+    later = left.join(right, same_cell(left, right) & (F.col("d_lo") > F.col("s_lo")) & condition)
+    return found.unionByName(later.select(*kept))
 
 
 def relate_temporal(
@@ -127,7 +161,6 @@ def relate_temporal(
     dst_side: Side,
     ref_begin: str | None = None,
     pair_limit: int = PAIR_LIMIT,
-    cells: int = CELLS,
 ) -> DataFrame:
     """Relate source states to the destination states they overlap; NULL begin or end is unbounded.
 
@@ -146,18 +179,19 @@ def relate_temporal(
     whole = s.where(~collapsed)
     begin, end = F.greatest("s_begin", "d_begin"), F.least("s_end", "d_end")
     overlap = F.coalesce(begin < end, F.lit(True))
-    pairs = _candidates(whole, d, overlap, pair_limit, cells)
+    pairs = _candidates(whole, d, overlap, pair_limit, moments=False)
     overlaps = pairs.select(
         *row, "d_id", "d_number", begin.alias("begin_geldigheid"), end.alias("eind_geldigheid")
     )
 
-    moments = s.where(collapsed)
+    moments = s.where(collapsed).withColumn("s_begin", F.col("s_own_begin"))
     at = F.col("s_own_begin")
     in_force = F.coalesce(F.col("d_begin") <= at, F.lit(True)) & F.coalesce(at < F.col("d_end"), F.lit(True))
     at_once = (F.col("d_begin") == at) & (F.col("d_end") == at)
     ends_then = F.col("d_end") == at
     preference = F.when(in_force | at_once, F.lit(1)).otherwise(F.lit(0))
-    near = _candidates(moments, d, in_force | at_once | F.coalesce(ends_then, F.lit(False)), pair_limit, cells)
+    at_or_until = in_force | at_once | F.coalesce(ends_then, F.lit(False))
+    near = _candidates(moments, d, at_or_until, pair_limit, moments=True)
     best = F.max(F.struct(preference.alias("p"), F.col("d_number").alias("n"), F.col("d_id").alias("id"))).alias("__top")
     chosen = near.groupBy(*row, "s_own_begin", "s_end").agg(best)
     points = chosen.select(

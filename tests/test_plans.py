@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stateweave.operators import changes, quality
-from stateweave.plans import definition, registers, runner
+from stateweave.plans import definition, extracts, registers, runner
 from stateweave.plans.definition import AMBIGUOUS, NOT_FOUND, Definition, DefinitionError
 
 BASE = {
@@ -155,3 +155,27 @@ def test_known_duplicate_document_is_left_out(frame):
     (row,) = registers.source_documents(items).collect()
     assert row["source_id"] == 3 and row["typedossier_omschrijving"] == "Omgevingsvergunning"
     assert row["typebrondocument_omschrijving"] == "Statusmelding" and row["bronleverancier_omschrijving"] == "Stadsdeel West"
+
+
+def test_extract_from_mapping(frame):
+    d = Definition.from_dict(
+        {
+            "catalogue": "a",
+            "entity": "b",
+            "source": {"name": "n", "application": "x", "entity_id": "id"},
+            "not_provided_attributes": ["leeg"],
+            "mapping": {
+                "id": {"source_mapping": "id"},
+                "datum": {"source_mapping": "datum_aanwijzing", "format": "%Y-%m-%d"},
+                "ref": {"source_mapping": {"bronwaarde": "ligt_in.bronwaarde", "format": {"split": ";"}}},
+                "vast": {"source_mapping": "=x"},
+                "leeg": {"source_mapping": "nergens"},
+            },
+        }
+    )
+    assert extracts.needed_columns(d) == ["id", "datum_aanwijzing", "ligt_in"]
+    table = frame("ID int, `datumAanwijzing` string, `ligtIn` string, rest string", (1, "2001-01-01", '{"bronwaarde": "q"}', "z"))
+    out = extracts.draw_up(d, table, json=["ligt_in"]).apply(table)
+    assert out.columns == ["id", "datum_aanwijzing", "ligt_in"] and out.first()["datum_aanwijzing"] == "2001-01-01"
+    with pytest.raises(DefinitionError, match="ligt_in"):
+        extracts.draw_up(d, table.drop("ligtIn"))

@@ -42,7 +42,6 @@ def test_intersections_gaps_and_open_ends(frame):
     )
     assert related(src, dst) == expected
     assert related(src, dst, pair_limit=0) == expected
-    assert related(src, dst, pair_limit=0, cells=3) == expected
 
 
 def test_own_start_of_a_reference(frame):
@@ -89,8 +88,8 @@ interval = st.tuples(st.integers(1, 20), st.one_of(st.none(), st.integers(1, 12)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(interval, min_size=1, max_size=6), st.lists(interval, min_size=1, max_size=6), st.integers(1, 9))
-def test_relation_is_the_intersection(frame, sources, targets, cells):
+@given(st.lists(interval, min_size=1, max_size=6), st.lists(interval, min_size=1, max_size=6))
+def test_relation_is_the_intersection(frame, sources, targets):
     src = frame(S, *[("X", i, Y(1900 + b), e and Y(1900 + e), "P") for i, (b, e) in enumerate(sources)])
     dst = frame(D, *[("P", i, Y(1900 + b), e and Y(1900 + e)) for i, (b, e) in enumerate(targets)])
     expected = set()
@@ -99,7 +98,7 @@ def test_relation_is_the_intersection(frame, sources, targets, cells):
             lo, hi = max(b, c), min(e or 999, f or 999)
             if lo < hi:
                 expected.add((i, j, 1900 + lo, None if hi == 999 else 1900 + hi))
-    for options in ({}, {"pair_limit": 0, "cells": cells}):
+    for options in ({}, {"pair_limit": 0}):
         got = related(src, dst, **options)
         found = [(r[1], r[3], r[4], r[5]) for r in got if r[2]]
         assert set(found) == expected and len(found) == len(expected)
