@@ -2,8 +2,8 @@
 
 A window over a hot key would sort that key in a single task.  Numbering and
 neighbour search therefore work in two levels: rows are reduced to distinct
-states, windowed per (key, time slice), and the slices of a key, few by
-construction, are chained by a second small window.
+states, windowed per (key, time slice), and the slices of a key are chained by
+a second window that sees one row per slice.
 """
 
 from __future__ import annotations
@@ -26,14 +26,24 @@ def _slices() -> WindowSpec:
     return Window.partitionBy(f"{_PLACE}.{_KEY}").orderBy(F.col(f"{_PLACE}.{_SLICE}").asc_nulls_last())
 
 
-def time_slice(df: DataFrame, order: str, unit: str = "month") -> Column:
-    """Coarse part of an order column that grows with it; a constant where no coarsening is known."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.date_trunc(unit, F.col(order))
+def time_slice(df: DataFrame, order: str) -> Column:
+    """Coarse part of an order column that never decreases while the column grows.
+
+    A minute bounds both levels: it holds at most sixty million distinct
+    timestamps, and a key has half a million minutes a year.  Text is cut to the
+    length of an ISO minute, whole numbers are cut in steps of about a million.
+    """
+    kind, c = df.schema[order].dataType, F.col(order)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("minute", c)
+    if isinstance(kind, T.DateType):
+        return c
     if isinstance(kind, T.StringType):
-        # ISO text sorts like its prefix: year and month.
-        return F.substring(order, 1, 7)
+        return F.substring(order, 1, 16)
+    if isinstance(kind, T.IntegralType):
+        return F.shiftright(c.cast("bigint"), 20)
+    if isinstance(kind, T.NumericType):
+        return F.floor(c)
     return F.lit(0)
 
 
