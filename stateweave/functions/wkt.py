@@ -55,12 +55,8 @@ def _all_closed(wkt: Column) -> Column:
     )
 
 
-def _one_part(wkt: Column, least: int, most: int | None) -> Column:
-    def fits(texts):
-        n = F.size(F.split(F.element_at(texts, 1), ","))
-        return _all_points(texts) & (n >= least if most is None else n.between(least, most))
-
-    return let(_ring_texts(wkt), fits)
+def _long_enough(wkt: Column) -> Column:
+    return let(_ring_texts(wkt), lambda texts: _all_points(texts) & (F.size(F.split(F.element_at(texts, 1), ",")) >= 2))
 
 
 def _all_rings(wkt: Column) -> Column:
@@ -68,12 +64,12 @@ def _all_rings(wkt: Column) -> Column:
 
 
 # The shape of each kind once its coordinates are replaced by '#'.
-_POINT_SHAPE, _LINE_SHAPE = "POINT#", "LINESTRING#"
+_LINE_SHAPE = "LINESTRING#"
 _POLYGON_SHAPE, _MULTI_SHAPE = "POLYGON(#)", "MULTIPOLYGON((#))"
 
 
 def is_point(wkt: Column) -> Column:
-    return (_skeleton(wkt) == _POINT_SHAPE) & _one_part(wkt, 1, 1)
+    return wkt.rlike(rf"(?i)^\s*POINT\s*\(\s*{_NUMBER}\s+{_NUMBER}\s*\)\s*$")
 
 
 def is_polygon(wkt: Column) -> Column:
@@ -82,19 +78,18 @@ def is_polygon(wkt: Column) -> Column:
 
 
 def is_linestring(wkt: Column) -> Column:
-    return (_skeleton(wkt) == _LINE_SHAPE) & _one_part(wkt, 2, None)
+    return (_skeleton(wkt) == _LINE_SHAPE) & _long_enough(wkt)
 
 
 def is_geometry(wkt: Column) -> Column:
     def fits(shape):
         return (
-            F.when(shape == _POINT_SHAPE, _one_part(wkt, 1, 1))
-            .when(shape.isin(_POLYGON_SHAPE, _MULTI_SHAPE), _all_rings(wkt))
-            .when(shape == _LINE_SHAPE, _one_part(wkt, 2, None))
+            F.when(shape.isin(_POLYGON_SHAPE, _MULTI_SHAPE), _all_rings(wkt))
+            .when(shape == _LINE_SHAPE, _long_enough(wkt))
             .otherwise(F.lit(False))
         )
 
-    return let(_skeleton(wkt), fits)
+    return F.when(is_point(wkt), F.lit(True)).otherwise(let(_skeleton(wkt), fits))
 
 
 def number_text(c: Column) -> Column:

@@ -15,6 +15,9 @@ from stateweave.operators.joining import same
 from stateweave.operators.mapping import REF
 
 PAIR_LIMIT = 1_000_000
+# Cell lengths grow by 2^4 from level to level: few levels to enter a begin at, and
+# cells at most sixteen times as long as an interval filed there.
+LEVEL_STEP = 4
 
 
 def explode_references(df: DataFrame, attribute: str, keep: Sequence[str]) -> DataFrame:
@@ -76,39 +79,62 @@ class Side:
         )
 
 
-def _on_time_line(df: DataFrame, p: str, heavy: DataFrame, span: Column) -> DataFrame:
-    """Mark heavy rows and give every interval finite bounds in microseconds and a grid level.
+def _heavy(src: DataFrame, dst: DataFrame, pair_limit: int) -> DataFrame:
+    """Match values that would make too many pairs, each with the span of its begins in microseconds."""
+
+    def stats(df: DataFrame, p: str) -> DataFrame:
+        begin = F.unix_micros(f"{p}_begin")
+        return df.groupBy(f"{p}_match").agg(
+            F.count(F.lit(1)).alias(f"__n{p}"), F.min(begin).alias(f"__lo{p}"), F.max(begin).alias(f"__hi{p}")
+        )
+
+    both = stats(src, "s").join(stats(dst, "d"), F.col("s_match") == F.col("d_match"))
+    return both.where(F.col("__ns").cast("double") * F.col("__nd") > pair_limit).select(
+        F.col("s_match").alias("__heavy"),
+        F.coalesce(F.least("__los", "__lod"), F.lit(0)).alias("__from"),
+        F.coalesce(F.greatest("__his", "__hid"), F.lit(0)).alias("__to"),
+    )
 
-    An open begin or end is drawn to the span of all begins, which is as far as
-    any begin can reach.  The cells of a level are at least as long as the
-    intervals filed there, so an interval touches one or two of them.
-    """
-    beyond = span["hi"] + 1
-    lo = F.coalesce(F.unix_micros(f"{p}_begin"), span["lo"])
-    hi = F.least(F.coalesce(F.unix_micros(f"{p}_end"), beyond), beyond)
-    marked = df.join(heavy, F.col(f"{p}_match") == F.col("__heavy"), "left")
-    timed = marked.withColumn(f"{p}_lo", lo).withColumn(f"{p}_hi", F.greatest(hi, F.col(f"{p}_lo")))
-    level = F.length(F.bin(F.col(f"{p}_hi") - F.col(f"{p}_lo")))
-    return timed.withColumn(f"{p}_heavy", F.col("__heavy").isNotNull()).withColumn(f"{p}_level", level).drop("__heavy")
 
+def _grid_level(duration: Column) -> Column:
+    """Grid level of a duration: the bits it needs, rounded up to a step, so that 2^level exceeds it."""
+    return (F.ceil(F.length(F.bin(duration)) / LEVEL_STEP) * LEVEL_STEP).cast("int")
 
-def _filed(df: DataFrame, p: str) -> DataFrame:
-    """Heavy intervals under the cells of their level, the others under one common cell."""
-    cells = F.when(
-        F.col(f"{p}_heavy"),
-        F.sequence(F.expr(f"shiftright({p}_lo, {p}_level)"), F.expr(f"shiftright({p}_hi, {p}_level)")),
-    ).otherwise(F.array(F.lit(0).cast("bigint")))
-    filed = df.withColumn("__level", F.when(F.col(f"{p}_heavy"), F.col(f"{p}_level")).otherwise(F.lit(-1)))
-    return filed.withColumn("__cell", F.explode(cells)).drop(f"{p}_level", f"{p}_hi")
 
+def _placed(df: DataFrame, p: str, heavy: DataFrame, begins: str | None, interval: str | None) -> DataFrame:
+    """One row per place an interval is to be met at.
 
-def _probing(df: DataFrame, p: str, levels: Column) -> DataFrame:
-    """Begins of heavy intervals, once per level in use; the others as they are."""
-    probed = df.withColumn(
-        "__level", F.explode(F.when(F.col(f"{p}_heavy"), levels).otherwise(F.array(F.lit(-1))))
+    A light value has one common place.  A heavy one is filed (kind ``interval``)
+    under the cells of its level, one or two of them, and its begin is entered
+    (kind ``begins``) at every level, a dozen or so.  Open ends reach as far
+    as any begin of the value.
+    """
+    marked = df.join(heavy, F.col(f"{p}_match") == F.col("__heavy"), "left")
+    beyond = F.col("__to") - F.col("__from") + 1
+    since = lambda c, missing: F.least(
+        F.coalesce(F.unix_micros(c) - F.col("__from"), missing), beyond
+    )
+    marked = marked.withColumn(f"{p}_lo", since(f"{p}_begin", F.lit(0)))
+    marked = marked.withColumn("__hi", F.greatest(since(f"{p}_end", beyond), F.col(f"{p}_lo")))
+    marked = marked.withColumn("__level", _grid_level(F.col("__hi") - F.col(f"{p}_lo")))
+
+    def place(kind: str, level: Column, cell: Column) -> Column:
+        return F.struct(F.lit(kind).alias("__kind"), level.alias("__grid"), cell.alias("__cell"))
+
+    at = lambda t, level: F.call_function("shiftright", t, level)
+    lo, level = F.col(f"{p}_lo"), F.col("__level")
+    places = []
+    if interval:
+        cells = F.sequence(at(lo, level), at(F.col("__hi"), level))
+        places.append(F.transform(cells, lambda c: place(interval, level, c)))
+    if begins:
+        levels = F.sequence(F.lit(0), _grid_level(beyond), F.lit(LEVEL_STEP))
+        places.append(F.transform(levels, lambda v: place(begins, v, at(lo, v))))
+    common = F.array(place("all", F.lit(-1), F.lit(0).cast("bigint")))
+    meeting = F.when(F.col("__heavy").isNotNull(), F.concat(*places)).otherwise(common)
+    return marked.select(*df.columns, f"{p}_lo", F.explode(meeting).alias("__at")).select(
+        *df.columns, f"{p}_lo", "__at.*"
     )
-    cell = F.when(F.col(f"{p}_heavy"), F.expr(f"shiftright({p}_lo, __level)")).otherwise(F.lit(0).cast("bigint"))
-    return probed.withColumn("__cell", cell).drop(f"{p}_level", f"{p}_hi")
 
 
 def _candidates(src: DataFrame, dst: DataFrame, condition: Column, pair_limit: int, moments: bool) -> DataFrame:
@@ -116,42 +142,23 @@ def _candidates(src: DataFrame, dst: DataFrame, condition: Column, pair_limit: i
 
     Most values have few states and join on the value alone.  Where source and
     destination would make more than ``pair_limit`` pairs, two intervals meet only
-    if one begins inside the other, so begins are looked up among intervals on a
-    grid of levels: first source begins in destinations, then destination begins
-    in sources (not for moments, which have no inside).  The work then follows
-    the number of overlaps, not the product of the group.
+    if one begins inside the other: a source begin in a destination (kind
+    ``s-in-d``), else a later destination begin in a source (``d-in-s``; moments
+    have no inside).  Begins and intervals meet on grid cells no shorter than the
+    interval, so the work follows the overlaps and not the product of the group.
     """
-    n_src = src.groupBy("s_match").agg(F.count(F.lit(1)).alias("__ns"))
-    n_dst = dst.groupBy("d_match").agg(F.count(F.lit(1)).alias("__nd"))
-    heavy = (
-        n_src.join(n_dst, F.col("s_match") == F.col("d_match"))
-        .where(F.col("__ns").cast("double") * F.col("__nd") > pair_limit)
-        .select(F.col("s_match").alias("__heavy"))
-    )
-    begins = src.select(F.unix_micros("s_begin").alias("t")).unionAll(dst.select(F.unix_micros("d_begin").alias("t")))
-    span = begins.agg(
-        F.struct(F.coalesce(F.min("t"), F.lit(0)).alias("lo"), F.coalesce(F.max("t"), F.lit(0)).alias("hi")).alias("s")
-    ).scalar()
-    s, d = _on_time_line(src, "s", heavy, span), _on_time_line(dst, "d", heavy, span)
-    # A level is the bit length of a duration: at most 64 of them.
-    levels = lambda df, p: df.agg(F.collect_set(f"{p}_level")).scalar()
-    same_cell = lambda left, right: (
+    heavy = _heavy(src, dst, pair_limit)
+    left = _placed(src, "s", heavy, begins="s-in-d", interval=None if moments else "d-in-s")
+    right = _placed(dst, "d", heavy, begins=None if moments else "d-in-s", interval="s-in-d")
+    met = (
         (F.col("s_match") == F.col("d_match"))
-        & (left["__level"] == right["__level"])
+        & (left["__kind"] == right["__kind"])
+        & (left["__grid"] == right["__grid"])
         & (left["__cell"] == right["__cell"])
     )
-
-    left, right = _probing(s, "s", levels(d, "d")), _filed(d, "d")
-    source_begins_inside = ~F.col("s_heavy") | (F.col("d_lo") <= F.col("s_lo"))
-    found = left.join(right, same_cell(left, right) & source_begins_inside & condition)
-    kept = [*src.columns, *dst.columns]
-    found = found.select(*kept)
-    if moments:
-        return found
-    left = _filed(s.where("s_heavy"), "s")
-    right = _probing(d.where("d_heavy"), "d", levels(s, "s"))
-    later = left.join(right, same_cell(left, right) & (F.col("d_lo") > F.col("s_lo")) & condition)
-    return found.unionByName(later.select(*kept))
+    first_kind = F.col("d_lo") <= F.col("s_lo")
+    right_kind = (left["__kind"] == "all") | ((left["__kind"] == "s-in-d") == first_kind)
+    return left.join(right, met & right_kind & condition).select(*src.columns, *dst.columns)
 
 
 def relate_temporal(

@@ -84,20 +84,22 @@ def test_zero_length_source(frame, states, number):
         assert row[3] == number
 
 
-interval = st.tuples(st.integers(1, 20), st.one_of(st.none(), st.integers(1, 12))).map(lambda p: (p[0], p[1] and p[0] + p[1]))
+interval = st.tuples(st.one_of(st.none(), st.integers(1, 20)), st.one_of(st.none(), st.integers(1, 12))).map(
+    lambda p: (p[0], p[1] and (p[0] or 0) + p[1])
+)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(interval, min_size=1, max_size=6), st.lists(interval, min_size=1, max_size=6))
 def test_relation_is_the_intersection(frame, sources, targets):
-    src = frame(S, *[("X", i, Y(1900 + b), e and Y(1900 + e), "P") for i, (b, e) in enumerate(sources)])
-    dst = frame(D, *[("P", i, Y(1900 + b), e and Y(1900 + e)) for i, (b, e) in enumerate(targets)])
+    src = frame(S, *[("X", i, b and Y(1900 + b), e and Y(1900 + e), "P") for i, (b, e) in enumerate(sources)])
+    dst = frame(D, *[("P", i, b and Y(1900 + b), e and Y(1900 + e)) for i, (b, e) in enumerate(targets)])
     expected = set()
     for i, (b, e) in enumerate(sources):
         for j, (c, f) in enumerate(targets):
-            lo, hi = max(b, c), min(e or 999, f or 999)
+            lo, hi = max(b or -999, c or -999), min(e or 999, f or 999)
             if lo < hi:
-                expected.add((i, j, 1900 + lo, None if hi == 999 else 1900 + hi))
+                expected.add((i, j, None if lo == -999 else 1900 + lo, None if hi == 999 else 1900 + hi))
     for options in ({}, {"pair_limit": 0}):
         got = related(src, dst, **options)
         found = [(r[1], r[3], r[4], r[5]) for r in got if r[2]]
