@@ -234,6 +234,16 @@ def _(t):
     return quality.split_valid(rows, {"id": ("string", None)}, ["id"])[0]
 
 
+@check(
+    "q9_empty_load_accepted",
+    """SELECT 'leeg' AS dataset, count(*) AS rows, CAST(0 AS BIGINT) AS min_rows, true AS ok FROM orders
+       WHERE o_orderdate < TIMESTAMP '1990-01-01 00:00:00'""",
+)
+def _(t):
+    empty = t.orders.where(F.col("o_orderdate") < "1990-01-01").select(F.col("o_orderkey").cast("string").alias("id"))
+    return quality.row_guard({"leeg": (quality.split_valid(empty, {"id": ("integer", None)}, ["id"])[0], 0)})
+
+
 @check(
     "k1_protected_columns",
     """SELECT c_custkey, sha256('zout' || c_name) AS secure_naam, sha256('zout' || CAST(c_nationkey AS VARCHAR)) AS secure_ref,

@@ -11,8 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stateweave.operators.joining import same
-
 
 def lookup(df: DataFrame, dim: DataFrame, on: Mapping[str, str], take: Mapping[str, str]) -> DataFrame:
     """Left join to a code table; ``take`` is ``{output: column of the table}``."""
@@ -118,7 +116,6 @@ __all__ = [
     "latest_one",
     "lookup",
     "merge_dataset",
-    "same",
     "semi",
     "with_parent",
     "with_previous",

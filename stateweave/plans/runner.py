@@ -82,16 +82,37 @@ def _split(extract: DataFrame, definition: Definition, types: Mapping[str, str])
     return checked.where(F.size("_errors") == 0).drop("_errors"), bad
 
 
-def _geounion(entity: DataFrame, spec: Mapping, out: str, members: Mapping[str, DataFrame]) -> DataFrame:
+def _key(definition: Definition) -> list[str]:
+    return ["_id", *(["volgnummer"] if "volgnummer" in definition.mapping else [])]
+
+
+def _geounion(
+    entity: DataFrame, key: list[str], spec: Mapping, out: str, members: Mapping[str, DataFrame]
+) -> DataFrame:
+    """Union of the latest geometries of the members each state refers to."""
     attribute, _ = spec["on"].split(".")
     dataset, column = spec["from"].rsplit(".", 1)
-    refs = relations.explode_references(entity, attribute, ["_id"]).where(F.col(mapping.REF).isNotNull())
+    refs = relations.explode_references(entity, attribute, key).where(F.col(mapping.REF).isNotNull())
+    refs = refs.select(F.struct(*key).alias("__area"), mapping.REF).distinct()
     states = members[dataset].where(F.col(column).isNotNull())
     states = states.select(column, *[c for c in ("volgnummer",) if c in states.columns], spec["geometrie"])
     latest = lookups.latest_one(states, [column], [c for c in states.columns if c == "volgnummer"])
-    joined = refs.select("_id", mapping.REF).distinct().join(latest, F.col(mapping.REF) == F.col(column))
-    union = spatial.geometry_union(joined, "_id", spec["geometrie"], out="__union").drop("parts")
-    return entity.drop(out).join(union, "_id", "left").withColumnRenamed("__union", out)
+    joined = refs.join(latest, F.col(mapping.REF) == F.col(column)).select("__area", spec["geometrie"])
+    union = spatial.geometry_union(joined, "__area", spec["geometrie"], out="__union").drop("parts")
+    placed = entity.drop(out).withColumn("__area", F.struct(*key))
+    return placed.join(union, "__area", "left").drop("__area").withColumnRenamed("__union", out)
+
+
+def _missing_sources(definition: Definition, extract: DataFrame) -> set[str]:
+    """Attributes that read a column the extract lacks."""
+    present = {c.lower() for c in extract.columns}
+
+    def lacks(source: object) -> bool:
+        values = [v for k, v in source.items() if k != "format"] if isinstance(source, Mapping) else [source]
+        read = [v for v in values if not v.startswith("=")]
+        return any(v.lower() not in present and v.split(".")[0].lower() not in present for v in read)
+
+    return {name for name, spec in definition.mapping.items() if lacks(spec["source_mapping"])}
 
 
 def run(
@@ -104,11 +125,13 @@ def run(
     current: DataFrame | None = None,
     mode: str = "full",
     stage: bool = True,
+    lenient: bool = False,
 ) -> Load:
     """Turn an extract into its entity and compare it with the current snapshot.
 
     ``types`` declares attribute types, ``registry`` holds identifiers given out
-    before, ``members`` the datasets a geometry union draws on.
+    before, ``members`` the datasets a geometry union draws on.  An attribute that
+    reads a column the extract lacks is an error, or NULL when ``lenient``.
     """
     types = dict(types or {})
     if definition.merge and merge_with is not None:
@@ -118,8 +141,11 @@ def run(
     valid, quarantine = _split(extract, definition, types)
     guard = quality.row_guard({definition.table: (extract, definition.min_rows)})
 
-    specs = {n: s for n, s in definition.mapping.items() if n not in definition.not_provided}
-    absent = {n: convert.SPARK_TYPES.get(types.get(n, "string"), "string") for n in definition.not_provided}
+    left_out = dict.fromkeys(definition.not_provided)
+    if lenient:
+        left_out |= dict.fromkeys(sorted(_missing_sources(definition, extract)))
+    specs = {n: s for n, s in definition.mapping.items() if n not in left_out}
+    absent = {n: convert.SPARK_TYPES.get(types.get(n, "string"), "string") for n in left_out}
     entity = mapping.map_entity(valid, specs, types, keep=[F.col(f"`{definition.entity_id}`").cast("string").alias("_id")])
     entity = projection.add_not_provided(entity, absent)
     lineage = {"_source": definition.source_name, "_application": definition.application}
@@ -131,13 +157,13 @@ def run(
                 entity = entity.withColumn(name, F.lit(None).cast("string"))
             entity = identity.autoid(entity, spec["on"], name, spec["template"], registry)
         elif spec["type"] == "geounion":
-            entity = _geounion(entity, spec, name, members or {})
+            entity = _geounion(entity, _key(definition), spec, name, members or {})
         else:
             raise ValueError(f"unknown enrichment {spec['type']!r}")
 
     if stage:
         entity = staged(entity, "entity")
-    key = ["_id", *(["volgnummer"] if "volgnummer" in definition.mapping else [])]
+    key = _key(definition)
     diff = None
     if current is not None:
         compared = [c for c in entity.columns if c not in (*key, *SYSTEM)]

@@ -179,3 +179,31 @@ def test_extract_from_mapping(frame):
     assert out.columns == ["id", "datum_aanwijzing", "ligt_in"] and out.first()["datum_aanwijzing"] == "2001-01-01"
     with pytest.raises(DefinitionError, match="ligt_in"):
         extracts.draw_up(d, table.drop("ligtIn"))
+
+
+def test_states_have_their_own_union_and_missing_columns_may_be_null(frame):
+    d = Definition.from_dict(
+        {
+            "catalogue": "area",
+            "entity": "zone",
+            "source": {
+                "name": "S",
+                "application": "F",
+                "entity_id": "code",
+                "enrich": {"geo": {"type": "geounion", "on": "leden.bronwaarde", "from": "area:part.code", "geometrie": "g"}},
+            },
+            "mapping": {
+                "volgnummer": {"source_mapping": "nr"},
+                "leden": {"source_mapping": {"bronwaarde": "leden", "format": {"split": ";"}}},
+                "tot": {"source_mapping": "vervallen", "format": "%Y-%m-%d"},
+            },
+        }
+    )
+    extract = frame("code string, nr int, leden string", ("A", 1, "n1"), ("A", 2, "n2"))
+    parts = frame("code string, g string", ("n1", "POLYGON ((0 0, 1 0, 1 1, 0 0))"), ("n2", "POLYGON ((5 0, 6 0, 6 1, 5 0))"))
+    with pytest.raises(KeyError, match="vervallen"):
+        runner.run(d, extract, members={"area:part": parts}, stage=False)
+    load = runner.run(d, extract, members={"area:part": parts}, stage=False, lenient=True)
+    rows = {r["volgnummer"]: r for r in load.entity.collect()}
+    assert rows[1]["geo"] == "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))" and rows[2]["geo"] == "MULTIPOLYGON (((5 0, 6 0, 6 1, 5 0)))"
+    assert rows[1]["tot"] is None
