@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stateweave.operators.joining import same
 from stateweave.operators.mapping import REF
+from stateweave.session import staged
 
 PAIR_LIMIT = 1_000_000
 # Cell lengths grow by 2^4 from level to level: few levels to enter a begin at, and
@@ -101,15 +102,14 @@ def _grid_level(duration: Column) -> Column:
     return (F.ceil(F.length(F.bin(duration)) / LEVEL_STEP) * LEVEL_STEP).cast("int")
 
 
-def _placed(df: DataFrame, p: str, heavy: DataFrame, begins: str | None, interval: str | None) -> DataFrame:
-    """One row per place an interval is to be met at.
+def _placed(df: DataFrame, p: str, heavy: DataFrame, begins: str, interval: str) -> DataFrame:
+    """One row per place an interval of a heavy value is to be met at.
 
-    A light value has one common place.  A heavy one is filed (kind ``interval``)
-    under the cells of its level, one or two of them, and its begin is entered
-    (kind ``begins``) at every level, a dozen or so.  Open ends reach as far
-    as any begin of the value.
+    It is filed (kind ``interval``) under the cells of its level, one or two of
+    them, and its begin is entered (kind ``begins``) at every level, a dozen or
+    so.  Open ends reach as far as any begin of the value.
     """
-    marked = df.join(heavy, F.col(f"{p}_match") == F.col("__heavy"), "left")
+    marked = df.join(heavy, F.col(f"{p}_match") == F.col("__heavy"))
     beyond = F.col("__to") - F.col("__from") + 1
     since = lambda c, missing: F.least(
         F.coalesce(F.unix_micros(c) - F.col("__from"), missing), beyond
@@ -123,44 +123,56 @@ def _placed(df: DataFrame, p: str, heavy: DataFrame, begins: str | None, interva
 
     at = lambda t, level: F.call_function("shiftright", t, level)
     lo, level = F.col(f"{p}_lo"), F.col("__level")
-    places = []
-    if interval:
-        cells = F.sequence(at(lo, level), at(F.col("__hi"), level))
-        places.append(F.transform(cells, lambda c: place(interval, level, c)))
-    if begins:
-        levels = F.sequence(F.lit(0), _grid_level(beyond), F.lit(LEVEL_STEP))
-        places.append(F.transform(levels, lambda v: place(begins, v, at(lo, v))))
-    common = F.array(place("all", F.lit(-1), F.lit(0).cast("bigint")))
-    meeting = F.when(F.col("__heavy").isNotNull(), F.concat(*places)).otherwise(common)
-    return marked.select(*df.columns, f"{p}_lo", F.explode(meeting).alias("__at")).select(
+    cells = F.sequence(at(lo, level), at(F.col("__hi"), level))
+    levels = F.sequence(F.lit(0), _grid_level(beyond), F.lit(LEVEL_STEP))
+    places = F.concat(
+        F.transform(cells, lambda c: place(interval, level, c)),
+        F.transform(levels, lambda v: place(begins, v, at(lo, v))),
+    )
+    return marked.select(*df.columns, f"{p}_lo", F.explode(places).alias("__at")).select(
         *df.columns, f"{p}_lo", "__at.*"
     )
 
 
-def _candidates(src: DataFrame, dst: DataFrame, condition: Column, pair_limit: int, moments: bool) -> DataFrame:
-    """Pairs with equal match value that meet the interval condition, each once.
+def _candidates(src: DataFrame, dst: DataFrame, heavy: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of heavy values that meet the interval condition, each once.
 
-    Most values have few states and join on the value alone.  Where source and
-    destination would make more than ``pair_limit`` pairs, two intervals meet only
-    if one begins inside the other: a source begin in a destination (kind
-    ``s-in-d``), else a later destination begin in a source (``d-in-s``; moments
-    have no inside).  Begins and intervals meet on grid cells no shorter than the
+    Two intervals meet only if one begins inside the other: a source begin in a
+    destination (kind ``s-in-d``), else a later destination begin in a source
+    (``d-in-s``).  Begins and intervals meet on grid cells no shorter than the
     interval, so the work follows the overlaps and not the product of the group.
     """
-    heavy = _heavy(src, dst, pair_limit)
-    left = _placed(src, "s", heavy, begins="s-in-d", interval=None if moments else "d-in-s")
-    right = _placed(dst, "d", heavy, begins=None if moments else "d-in-s", interval="s-in-d")
+    left = _placed(src, "s", heavy, begins="s-in-d", interval="d-in-s")
+    right = _placed(dst, "d", heavy, begins="d-in-s", interval="s-in-d")
     met = (
         (F.col("s_match") == F.col("d_match"))
         & (left["__kind"] == right["__kind"])
         & (left["__grid"] == right["__grid"])
         & (left["__cell"] == right["__cell"])
     )
-    first_kind = F.col("d_lo") <= F.col("s_lo")
-    right_kind = (left["__kind"] == "all") | ((left["__kind"] == "s-in-d") == first_kind)
+    right_kind = (left["__kind"] == "s-in-d") == (F.col("d_lo") <= F.col("s_lo"))
     return left.join(right, met & right_kind & condition).select(*src.columns, *dst.columns)
 
 
+def _left_pairs(src: DataFrame, dst: DataFrame, heavy: DataFrame | None, condition: Column) -> DataFrame:
+    """Every source row with the destinations it meets, or once with none.
+
+    Most values have few states: one left join on the value with the interval
+    condition.  The heavy ones go through the grid instead.
+    """
+    by_value = (F.col("s_match") == F.col("d_match")) & condition
+    if heavy is None:
+        return src.join(dst, by_value, "left")
+    is_heavy = F.col("s_match") == F.col("__heavy")
+    light = src.join(heavy, is_heavy, "left_anti").join(dst, by_value, "left")
+    weighty = src.join(heavy, is_heavy, "left_semi")
+    found = _candidates(weighty, dst.join(heavy, F.col("d_match") == F.col("__heavy"), "left_semi"), heavy, condition)
+    row = ["s_id", "s_number", "s_match"]
+    alone = weighty.alias("a").join(found.select(*row).distinct().alias("b"), same("a", "b", row), "left_anti")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in dst.schema.fields]
+    return light.unionByName(found).unionByName(alone.select("*", *empty))
+
+
 def relate_temporal(
     src: DataFrame,
     dst: DataFrame,
@@ -178,44 +190,41 @@ def relate_temporal(
     with a NULL destination.
     """
     s = src_side.standard(src, "s", F.col(ref_begin) if ref_begin else None)
-    d = dst_side.standard(dst, "d").drop("d_own_begin")
-    collapsed = F.col("s_own_begin").isNotNull() & F.col("s_end").isNotNull() & (F.col("s_own_begin") == F.col("s_end"))
+    d = dst_side.standard(dst, "d").drop("d_own_begin").withColumn("d_met", F.lit(True))
+    own, end = F.col("s_own_begin"), F.col("s_end")
+    collapsed = F.coalesce(own == end, F.lit(False))
+    s = s.withColumn("s_begin", F.when(collapsed, own).otherwise(F.col("s_begin")))
+    # Few values are heavy; they are found once, and their number decides the plan.
+    heavy = staged(_heavy(s, d, pair_limit), "heavy")
+    heavy = None if heavy.isEmpty() else heavy
     row = ["s_id", "s_number", "s_match"]
-    out = [*row, "d_id", "d_number", "begin_geldigheid", "eind_geldigheid"]
-
-    whole = s.where(~collapsed)
-    begin, end = F.greatest("s_begin", "d_begin"), F.least("s_end", "d_end")
-    overlap = F.coalesce(begin < end, F.lit(True))
-    pairs = _candidates(whole, d, overlap, pair_limit, moments=False)
-    overlaps = pairs.select(
-        *row, "d_id", "d_number", begin.alias("begin_geldigheid"), end.alias("eind_geldigheid")
+    met = F.col("d_met").isNotNull()
+
+    begin, until = F.greatest("s_begin", "d_begin"), F.least("s_end", "d_end")
+    whole = _left_pairs(s.where(~collapsed), d, heavy, F.coalesce(begin < until, F.lit(True)))
+    overlaps = whole.select(
+        *row,
+        "d_id",
+        "d_number",
+        F.when(met, begin).alias("begin_geldigheid"),
+        F.when(met, until).alias("eind_geldigheid"),
     )
 
-    moments = s.where(collapsed).withColumn("s_begin", F.col("s_own_begin"))
-    at = F.col("s_own_begin")
-    in_force = F.coalesce(F.col("d_begin") <= at, F.lit(True)) & F.coalesce(at < F.col("d_end"), F.lit(True))
-    at_once = (F.col("d_begin") == at) & (F.col("d_end") == at)
-    ends_then = F.col("d_end") == at
+    in_force = F.coalesce(F.col("d_begin") <= own, F.lit(True)) & F.coalesce(own < F.col("d_end"), F.lit(True))
+    at_once = F.coalesce((F.col("d_begin") == own) & (F.col("d_end") == own), F.lit(False))
+    ends_then = F.coalesce(F.col("d_end") == own, F.lit(False))
     preference = F.when(in_force | at_once, F.lit(1)).otherwise(F.lit(0))
-    at_or_until = in_force | at_once | F.coalesce(ends_then, F.lit(False))
-    near = _candidates(moments, d, at_or_until, pair_limit, moments=True)
-    best = F.max(F.struct(preference.alias("p"), F.col("d_number").alias("n"), F.col("d_id").alias("id"))).alias("__top")
-    chosen = near.groupBy(*row, "s_own_begin", "s_end").agg(best)
+    near = _left_pairs(s.where(collapsed), d, heavy, in_force | at_once | ends_then)
+    best = F.max(
+        F.when(met, F.struct(preference.alias("p"), F.col("d_number").alias("n"), F.col("d_id").alias("id")))
+    )
+    chosen = near.groupBy(*row, "s_own_begin", "s_end").agg(best.alias("__top"))
+    found = F.col("__top").isNotNull()
     points = chosen.select(
         *row,
         F.col("__top.id").alias("d_id"),
         F.col("__top.n").alias("d_number"),
-        F.col("s_own_begin").alias("begin_geldigheid"),
-        F.col("s_end").alias("eind_geldigheid"),
-    )
-
-    matched = overlaps.unionByName(points)
-    alone = s.alias("a").join(matched.select(*row).distinct().alias("b"), same("a", "b", row), "left_anti")
-    none = alone.select(
-        *row,
-        F.lit(None).cast(d.schema["d_id"].dataType).alias("d_id"),
-        F.lit(None).cast("bigint").alias("d_number"),
-        F.lit(None).cast("timestamp").alias("begin_geldigheid"),
-        F.lit(None).cast("timestamp").alias("eind_geldigheid"),
+        F.when(found, own).alias("begin_geldigheid"),
+        F.when(found, end).alias("eind_geldigheid"),
     )
-    return matched.unionByName(none).select(*out)
+    return overlaps.unionByName(points)

@@ -80,7 +80,7 @@ def geometry_union(
     on a cluster: it keeps its members as single MULTIPOLYGON rows, and ``parts``
     tells how many polygons the row holds.
     """
-    known = members.where(F.col(area).isNotNull() & F.col(geometry).isNotNull()).select(area, geometry).distinct()
+    known = members.where(F.col(area).isNotNull() & F.col(geometry).isNotNull()).select(area, geometry)
     bodies = once(known, "__body", wkt.polygon_body(wkt.rings(F.col(geometry)))).select(area, "__body").distinct()
     sizes = bodies.groupBy(area).agg(F.count(F.lit(1)).alias("__n"))
     heavy = heavy_keys(sizes, [area], "__n", cell_limit)

@@ -20,7 +20,7 @@ def plan(df):
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_no_python_workers_and_no_cross_joins(spark, name):
     # Queries that write files or pin an order run jobs while they are built; their plans are seen elsewhere.
-    if name.startswith(("s4", "s5", "s6", "s8", "q2_wrong", "w3", "w4", "r3")):
+    if name.startswith(("s4", "s5", "s6", "s8", "q2_wrong", "w3", "w4", "r3", "j13", "j14", "j15")):
         pytest.skip("runs a job when it is built")
     text = plan(CHECKS[name](spark, FOLDER))
     assert not re.search(r"Python|Pandas|CartesianProduct|CollectLimit", text)
@@ -69,6 +69,11 @@ def test_hot_relation_is_whole(hot):
     assert plain.select(*columns).exceptAll(cut.select(*columns)).count() == 0
 
 
+def test_light_relation_is_one_join_per_kind(spark):
+    text = plan(CHECKS["j13_temporal_relation"](spark, FOLDER))
+    assert len(re.findall(r"\w+Join ", text)) <= 2 and "LeftAnti" not in text
+
+
 def test_hot_list_is_whole(hot):
     listed = lists.ordered_list(hot, ["k"], "b", cell_limit=50)
     long = listed.where("k = 'hot'")
