@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -87,5 +88,6 @@ def scan_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame] | Non
         view = name.replace(".", "__")
         df.createOrReplaceTempView(view)
         if view != name:
-            sql = sql.replace(name, view)
+            # The whole name only, not a longer one it begins or ends.
+            sql = re.sub(rf"(?<![\w.]){re.escape(name)}(?!\w)", view, sql)
     return spark.sql(sql.strip().rstrip(";"))

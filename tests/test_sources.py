@@ -30,6 +30,9 @@ def test_sql_over_views(frame, spark):
         "reg.one": frame("id int", (1,), (2,)), "two": frame("id int", (2,), (3,)),
     })
     assert [r["id"] for r in out.collect()] == [2]
+    frame("id int", (7,)).createOrReplaceTempView("reg__one_more")
+    longer = databases.scan_sql(spark, "SELECT id FROM reg__one_more", {"reg.one": frame("id int", (1,))})
+    assert [r["id"] for r in longer.collect()] == [7]
 
 
 def write(path, text, encoding="utf-8"):
