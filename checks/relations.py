@@ -116,7 +116,7 @@ def _(t):
 @check("j13_temporal_relation_all_keys_heavy", _with_unmatched(_WHOLE, f"SELECT * FROM ({_SRC}) WHERE b <> e OR e IS NULL"))
 def _(t):
     return relations.relate_temporal(
-        history.drop_empty_states(_source(t), "b", "e"), _destination(t), STATES, STATES, ref_begin="rb", pair_limit=0
+        history.drop_empty_states(_source(t), "b", "e"), _destination(t), STATES, STATES, ref_begin="rb", pair_limit=0, spread=0
     )
 
 
@@ -155,7 +155,7 @@ def _(t):
 @check("j15_collapsed_states_all_keys_heavy", _with_unmatched(_POINTS, f"SELECT * FROM ({_SRC}) WHERE b = e"))
 def _(t):
     collapsed = _source(t).where(F.col("b") == F.col("e"))
-    return relations.relate_temporal(collapsed, _destination(t), STATES, STATES, pair_limit=0)
+    return relations.relate_temporal(collapsed, _destination(t), STATES, STATES, pair_limit=0, spread=0)
 
 
 @check(

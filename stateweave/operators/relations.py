@@ -15,7 +15,8 @@ from stateweave.operators.joining import same
 from stateweave.operators.mapping import REF
 from stateweave.session import staged
 
-PAIR_LIMIT = 1_000_000
+# A value is heavy with more pairs than this, and more than SPREAD for each of its states.
+PAIR_LIMIT, SPREAD = 1_000_000, 32
 # Cell lengths grow by 2^4 from level to level: few levels to enter a begin at, and
 # cells at most sixteen times as long as an interval filed there.
 LEVEL_STEP = 4
@@ -80,7 +81,7 @@ class Side:
         )
 
 
-def _heavy(src: DataFrame, dst: DataFrame, pair_limit: int) -> DataFrame:
+def _heavy(src: DataFrame, dst: DataFrame, pair_limit: int, spread: int) -> DataFrame:
     """Match values that would make too many pairs, each with the span of its begins in microseconds."""
 
     def stats(df: DataFrame, p: str) -> DataFrame:
@@ -90,7 +91,8 @@ def _heavy(src: DataFrame, dst: DataFrame, pair_limit: int) -> DataFrame:
         )
 
     both = stats(src, "s").join(stats(dst, "d"), F.col("s_match") == F.col("d_match"))
-    return both.where(F.col("__ns").cast("double") * F.col("__nd") > pair_limit).select(
+    pairs = F.col("__ns").cast("double") * F.col("__nd")
+    return both.where((pairs > pair_limit) & (pairs > spread * (F.col("__ns") + F.col("__nd")))).select(
         F.col("s_match").alias("__heavy"),
         F.coalesce(F.least("__los", "__lod"), F.lit(0)).alias("__from"),
         F.coalesce(F.greatest("__his", "__hid"), F.lit(0)).alias("__to"),
@@ -167,8 +169,8 @@ def _left_pairs(src: DataFrame, dst: DataFrame, heavy: DataFrame | None, conditi
     light = src.join(heavy, is_heavy, "left_anti").join(dst, by_value, "left")
     weighty = src.join(heavy, is_heavy, "left_semi")
     found = _candidates(weighty, dst.join(heavy, F.col("d_match") == F.col("__heavy"), "left_semi"), heavy, condition)
-    row = ["s_id", "s_number", "s_match"]
-    alone = weighty.alias("a").join(found.select(*row).distinct().alias("b"), same("a", "b", row), "left_anti")
+    matched = found.select(*src.columns).distinct()
+    alone = weighty.alias("a").join(matched.alias("b"), same("a", "b", src.columns), "left_anti")
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in dst.schema.fields]
     return light.unionByName(found).unionByName(alone.select("*", *empty))
 
@@ -180,6 +182,7 @@ def relate_temporal(
     dst_side: Side,
     ref_begin: str | None = None,
     pair_limit: int = PAIR_LIMIT,
+    spread: int = SPREAD,
 ) -> DataFrame:
     """Relate source states to the destination states they overlap; NULL begin or end is unbounded.
 
@@ -195,7 +198,7 @@ def relate_temporal(
     collapsed = F.coalesce(own == end, F.lit(False))
     s = s.withColumn("s_begin", F.when(collapsed, own).otherwise(F.col("s_begin")))
     # Few values are heavy; they are found once, and their number decides the plan.
-    heavy = staged(_heavy(s, d, pair_limit), "heavy")
+    heavy = staged(_heavy(s, d, pair_limit, spread), "heavy")
     heavy = None if heavy.isEmpty() else heavy
     row = ["s_id", "s_number", "s_match"]
     met = F.col("d_met").isNotNull()

@@ -41,7 +41,7 @@ def test_intersections_gaps_and_open_ends(frame):
         key=repr,
     )
     assert related(src, dst) == expected
-    assert related(src, dst, pair_limit=0) == expected
+    assert related(src, dst, pair_limit=0, spread=0) == expected
 
 
 def test_own_start_of_a_reference(frame):
@@ -52,6 +52,13 @@ def test_own_start_of_a_reference(frame):
     ]
 
 
+def test_a_source_row_without_a_match_stays_beside_one_with(frame):
+    dst = frame(D, ("P", 1, Y(2000), Y(2001)))
+    src = frame(S, ("X", 1, Y(2000), Y(2001), "P"), ("X", 1, Y(2005), Y(2006), "P"))
+    expected = [("X", 1, "P", 1, 2000, 2001), ("X", 1, None, None, None, None)]
+    assert related(src, dst) == related(src, dst, pair_limit=0, spread=0) == expected
+
+
 def test_stateless_ends(frame):
     src = frame(S, ("X", 1, Y(2001), Y(2002), "P"))
     plain = frame("id string", ("P",))
@@ -79,7 +86,7 @@ def test_stateless_ends(frame):
 def test_zero_length_source(frame, states, number):
     src = frame(S, ("X", 1, Y(2000), Y(2000), "P"))
     dst = frame(D, *[("P", n, Y(b), Y(e)) for n, b, e in states])
-    for options in ({}, {"pair_limit": 0}):
+    for options in ({}, {"pair_limit": 0, "spread": 0}):
         (row,) = related(src, dst, **options)
         assert row[3] == number
 
@@ -100,7 +107,7 @@ def test_relation_is_the_intersection(frame, sources, targets):
             lo, hi = max(b or -999, c or -999), min(e or 999, f or 999)
             if lo < hi:
                 expected.add((i, j, None if lo == -999 else 1900 + lo, None if hi == 999 else 1900 + hi))
-    for options in ({}, {"pair_limit": 0}):
+    for options in ({}, {"pair_limit": 0, "spread": 0}):
         got = related(src, dst, **options)
         found = [(r[1], r[3], r[4], r[5]) for r in got if r[2]]
         assert set(found) == expected and len(found) == len(expected)
