@@ -23,7 +23,7 @@ PART = (
 def escape(text: Column) -> Column:
     """Put one more backslash behind the first character of each control string, escaped ones included."""
     for c in CONTROL:
-        text = F.regexp_replace(text, rf"({_quoted(c[0])})(\\*)(?={_quoted(c[1:])})", r"$1$2\\\\")
+        text = F.regexp_replace(text, rf"({_quoted(c[0])})(\\*)(?={_quoted(c[1:])})", r"$1$2\\")
     return text
 
 
@@ -35,7 +35,7 @@ def unescape(text: str) -> str:
 
 
 def _quoted(text: str) -> str:
-    return re.sub(r"([<>\[\]|/])", r"\\\1", text) if "[" in text or "|" in text else text
+    return re.sub(r"([\[\]|])", r"\\\1", text)
 
 
 _UNDO = [re.compile(rf"({_quoted(c[0])})\\(\\*)(?={_quoted(c[1:])})") for c in reversed(CONTROL)]
