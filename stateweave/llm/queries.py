@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from stateweave.llm import chat_format, decontaminate, html_tree, line_windows, range_join
+from stateweave.llm import brown, byte_bpe, chat_format, decontaminate, deobfuscate, html_tree, line_windows, range_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,12 @@ def op1_chat_parts(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.read_back(formatted)
 
 
+def op2_brown_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    held = brown.held_out("doc_id", 7, 2)
+    docs = table(spark, folder, "documents").select("doc_id", "text", held.alias("held_out"), (~held).alias("training"))
+    return brown.score_texts(docs, ["doc_id", "held_out"], "training")
+
+
 def op3_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_windows.remove_repeated_windows(docs).select("doc_id", "kept.n_lines", "kept.n_removed", sha256(F.coalesce("kept.text", F.lit(""))).alias("kept_sha256"))
@@ -51,6 +57,13 @@ FROM docs LEFT JOIN kept k USING (d)
 """
 
 
+def op5_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = brown.held_out("doc_id", 5, 0)
+    model = deobfuscate.fit(docs, table(spark, folder, "labels").where(~held))
+    return deobfuscate.score(docs, model).select("doc_id", held.alias("held_out"), "toxicity.score", "toxicity.predicted")
+
+
 def op6_aho_corasick(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, table(spark, folder, "benchmark"))
@@ -88,6 +101,19 @@ FROM docs LEFT JOIN covered USING (d) LEFT JOIN named USING (d)
 """
 
 
+def byte_bpe_digests(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN, ["doc_id"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(ids).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe_digests(table(spark, folder, "documents"))
+
+
 def op9_html_tree_model(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     found = html_tree.extract(pages, html_tree.fit(pages))
@@ -117,8 +143,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_chat_parts,
+        op2_brown_class_lm,
         op3_line_windows,
+        op5_noisy_channel,
         op6_aho_corasick,
+        op8_byte_bpe,
         op9_html_tree_model,
         op10_pivot_range_join,
     )
