@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from stateweave.llm import brown, byte_bpe, chat_format, decontaminate, deobfuscate, html_tree, line_windows, range_join
+from stateweave.llm import brown, byte_bpe, chat_format, decontaminate, deobfuscate, html_tree, line_windows, range_join, signature_trees, suffix_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,11 @@ FROM docs LEFT JOIN kept k USING (d)
 """
 
 
+def op4_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_spans.remove_repeated_spans(docs).select("doc_id", "kept.n_words", "kept.n_removed", sha256(F.col("kept.text")).alias("kept_sha256"))
+
+
 def op5_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held = brown.held_out("doc_id", 5, 0)
@@ -101,6 +106,10 @@ FROM docs LEFT JOIN covered USING (d) LEFT JOIN named USING (d)
 """
 
 
+def op7_signature_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_trees.link_documents(table(spark, folder, "documents"))
+
+
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -145,8 +154,10 @@ QUERIES: dict[str, Query] = {
         op1_chat_parts,
         op2_brown_class_lm,
         op3_line_windows,
+        op4_suffix_automata,
         op5_noisy_channel,
         op6_aho_corasick,
+        op7_signature_trees,
         op8_byte_bpe,
         op9_html_tree_model,
         op10_pivot_range_join,
