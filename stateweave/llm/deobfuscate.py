@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, doc_id: str =
     # Copies agree in label and features.
     sample = own.mapInArrow(features, "label int, features array<int>").distinct()
     row = sample.repartition(1).mapInArrow(_fit_batches, "weights map<int,double>, bias double").first()
-    return Toxicity(characters, dict(row["weights"]), row["bias"])
+    return Toxicity(characters, dict(row["weights"]), row["bias"]) if row else Toxicity(characters, {}, 0.0)
 
 
 def _fit_batches(batches):
