@@ -19,8 +19,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -30,7 +30,6 @@ from stateweave.llm.common import arrow_schema
 WORDS, POSITIONS, PIECE = 1 << 18, 1 << 22, 500
 #: Kinds of rows: words of a block, a document of it, and what a slot says of itself.
 WORD, DOCUMENT, SLOT = 0, 1, 2
-_OWN = ["kind", "slot", "block", "pack"]
 
 
 def pack(*parts: np.ndarray | bytes) -> bytes:
@@ -66,19 +65,28 @@ def cut_words(lengths: np.ndarray, joined: bytes) -> list[bytes]:
     return [joined[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def by_rank(rank: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values in the order of the block's list; words that came twice agree."""
+    out = np.zeros(int(rank.max()) + 1 if len(rank) else 0, values.dtype)
+    out[rank] = values
+    return out
+
+
 def slots_of(spark) -> int:
     """Four for each shuffle partition: a slot's words are a quarter of a partition's."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], keep: list[str], slots: int, text: str = "text", counted: str | None = None) -> DataFrame:
-    """Rows of words and of documents.
+def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], keep: list[str], slots: int, text: str = "text", counted: str | None = None, kinds: tuple[int, ...] = (WORD, DOCUMENT)) -> DataFrame:
+    """Rows of words and of documents, or of one of these ``kinds``.
 
     ``split`` makes, once a task, the function from a text to its words (str or
     bytes).  Document rows carry the columns ``keep``.  Words carry the number
     of their occurrences in documents whose column ``counted`` is true, or in
-    all.  A block's number comes from its task and place, which a scan or a
-    written table gives alike on each run.
+    all.  A block's number comes from its list of words.  So blocks with equal
+    lists are one, words and documents may come from two runs over a scan or a
+    written table, and if such runs ever differ, a document misses its words
+    and the job fails.
     """
     kept = docs.select(F.col(text).alias("__text"), *([F.coalesce(F.col(counted), F.lit(False)).alias("__counted")] if counted else []), *keep)
     schema = StructType(
@@ -87,7 +95,7 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], keep: li
     arrow = arrow_schema(schema)
 
     def run(batches):
-        block = _Block(split(), arrow, keep, slots)
+        block = _Block(split(), arrow, keep, slots, kinds)
         for batch in batches:
             for at in range(0, batch.num_rows, PIECE):
                 block.add(batch.slice(at, PIECE))
@@ -99,9 +107,8 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], keep: li
 
 
 class _Block:
-    def __init__(self, split, arrow: pa.Schema, keep: list[str], slots: int):
-        self.split, self.arrow, self.keep, self.slots = split, arrow, keep, slots
-        self.number = TaskContext.get().partitionId() << 32
+    def __init__(self, split, arrow: pa.Schema, keep: list[str], slots: int, kinds: tuple[int, ...]):
+        self.split, self.arrow, self.keep, self.slots, self.kinds = split, arrow, keep, slots, kinds
         self.start()
 
     def start(self) -> None:
@@ -138,20 +145,23 @@ class _Block:
         rank = np.empty(n, np.uint32)
         rank[np.argsort(-every, kind="stable")] = np.arange(n, dtype=np.uint32)
         words = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in self.numbers]
-        slot = np.fromiter(map(zlib.crc32, words), np.uint32, n) % self.slots
+        self.number = xxhash.xxh3_64_intdigest(b"\n".join([rank.tobytes(), *words])) >> 1
+        if WORD in self.kinds:
+            yield from self._words(words, rank, counted)
+        for i, (piece, sequences) in enumerate(self.pieces if DOCUMENT in self.kinds else ()):
+            packs = [pack(rank[s]) for s in sequences]
+            yield self._batch(DOCUMENT, [(i * PIECE + k) % self.slots for k in range(len(packs))], packs, piece)
+        self.start()
+
+    def _words(self, words: list[bytes], rank: np.ndarray, counted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        slot = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % self.slots
         order = np.argsort(slot, kind="stable")
-        cuts = np.flatnonzero(np.diff(slot[order])) + 1
         rows = []
-        for own in np.split(order, cuts) if n else []:
+        for own in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(order) else []:
             rows.append((int(slot[own[0]]), pack(rank[own], counted[own], *join_words([words[i] for i in own.tolist()]))))
         for at in range(0, len(rows), 200):
             some = rows[at : at + 200]
             yield self._batch(WORD, [s for s, _ in some], [p for _, p in some], None)
-        for i, (piece, sequences) in enumerate(self.pieces):
-            packs = [pack(rank[s]) for s in sequences]
-            yield self._batch(DOCUMENT, [(i * PIECE + k) % self.slots for k in range(len(packs))], packs, piece)
-        self.number += 1
-        self.start()
 
     def _batch(self, kind: int, slots: list[int], packs: list[bytes], piece: pa.RecordBatch | None) -> pa.RecordBatch:
         n = len(packs)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from stateweave.llm.block_dictionary import assemble, blocks, by_slot, cut_words, pack, slots_of, unpack
+from stateweave.llm.block_dictionary import DOCUMENT, WORD, assemble, blocks, by_rank, by_slot, cut_words, pack, slots_of, unpack
 from stateweave.llm.common import arrow_schema
 
 #: Encoded words a task remembers before it starts anew.
@@ -39,11 +39,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
 
         return regex.compile(pattern).findall
 
-    rows = blocks(docs, split, keep, slots_of(docs.sparkSession), text)
+    # Words and positions are cut in a run each: positions then are shuffled once, to their words.
+    slots = slots_of(docs.sparkSession)
+    rows, positions = (blocks(docs, split, keep, slots, text, kinds=(kind,)) for kind in (WORD, DOCUMENT))
     kept = [f for f in rows.schema.fields if f.name in keep]
     schema = StructType([*kept, StructField(result, ArrayType(IntegerType()))])
     arrow = arrow_schema(schema)
-    return assemble(by_slot(rows, lambda: _Words(shared.value)), lambda: _Ids(arrow), schema)
+    return assemble(by_slot(rows, lambda: _Words(shared.value)).union(positions), lambda: _Ids(arrow), schema)
 
 
 class _Words:
@@ -83,9 +85,8 @@ class _Ids:
     def words(self, packs: list[bytes]) -> None:
         parts = [unpack(p, "<u4", "<u4", "<u4") for p in packs] or [[np.zeros(0, np.uint32)] * 3]
         rank, sizes, self.flat = (np.concatenate(x) for x in zip(*parts))
-        self.size, self.start = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-        self.size[rank] = sizes
-        self.start[rank] = np.cumsum(sizes, dtype=np.int64) - sizes
+        self.size = by_rank(rank, sizes.astype(np.int64))
+        self.start = by_rank(rank, np.cumsum(sizes, dtype=np.int64) - sizes)
 
     def documents(self, batch: pa.RecordBatch, sequences: list[np.ndarray]):
         at = np.concatenate(sequences)
