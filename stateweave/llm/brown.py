@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from stateweave.llm.block_dictionary import SLOT, assemble, blocks, by_slot, cut_words, join_words, pack, slots_of, unpack
+from stateweave.llm.block_dictionary import SLOT, assemble, blocks, by_rank, by_slot, cut_words, join_words, pack, slots_of, unpack
 from stateweave.llm.common import arrow_schema, staged
 
 #: Words with at least this share of the training tokens are clustered one by one: 1 / SHARE of them at most.
@@ -177,9 +177,7 @@ def _units_by_rank(units: Units, packs: list[bytes]) -> np.ndarray:
         rank, _, lengths, joined = unpack(packed, "<u4", "<i8", "<u4", "")
         ranks.append(rank)
         own.append(units.of(cut_words(lengths, joined)))
-    out = np.zeros(sum(map(len, ranks)), np.int32)
-    out[np.concatenate(ranks)] = np.concatenate(own)
-    return out
+    return by_rank(np.concatenate(ranks), np.concatenate(own))
 
 
 def _with_ends(values: np.ndarray, sequences: list[np.ndarray]) -> np.ndarray:
@@ -235,7 +233,8 @@ def _best_class(matrix: np.ndarray, own: int, after: np.ndarray, before: np.ndar
     n[own, own] += self
     after[own] -= self
     before[own] -= self
-    rows, columns = n.sum(1), n.sum(0)
+    # What precedes and follows the unit counts with the other classes again, wherever it goes.
+    rows, columns = n.sum(1) + before, n.sum(0) + after
     gain = (_xlogx(n + after[None, :]) - _xlogx(n)).sum(1) + (_xlogx(n + before[:, None]) - _xlogx(n)).sum(0)
     at = np.diag(n)
     gain += _xlogx(at + after + before + self) + _xlogx(at) - _xlogx(at + after) - _xlogx(at + before)
@@ -275,10 +274,8 @@ class _Scores:
         self.model, self.arrow = model, arrow
 
     def words(self, packs: list[bytes]) -> None:
-        parts = [unpack(p, "<u4", "<i8", "<u4", "")[:2] for p in packs]
-        self.count = np.zeros(sum(len(r) for r, _ in parts), np.int64)
-        for rank, n in parts:
-            self.count[rank] = n
+        parts = [unpack(p, "<u4", "<i8", "<u4", "")[:2] for p in packs] or [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        self.count = by_rank(*map(np.concatenate, zip(*parts)))
         self.log = np.log10(self.count + 1.0)
         self.of = self.model.classes[_units_by_rank(self.model.units, packs)].astype(np.int32)
 
