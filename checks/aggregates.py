@@ -15,34 +15,30 @@ def _(t):
 @check(
     "a2_ordered_list_with_max",
     """SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ';' ORDER BY l_partkey) AS onderdelen,
-              CAST(1 AS BIGINT) AS times, max(l_shipdate) AS laatst FROM lineitem GROUP BY l_orderkey""",
+              max(l_shipdate) AS laatst FROM lineitem GROUP BY l_orderkey""",
 )
 def _(t):
     latest = t.lineitem.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("laatst"))
-    return lists.ordered_list(t.lineitem, ["l_orderkey"], "l_partkey", out="onderdelen").join(latest, "l_orderkey")
+    return lists.ordered_text(t.lineitem, ["l_orderkey"], "l_partkey", out="onderdelen").join(latest, "l_orderkey")
 
 
 @check(
-    "a2_list_over_the_cell_limit",
-    """WITH r AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
-            s AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY o_custkey)
-       SELECT o.o_custkey, string_agg(o_orderpriority, ';' ORDER BY o_orderpriority) AS soorten, CAST(1 AS BIGINT) AS times
-       FROM orders o JOIN s ON o.o_custkey = s.o_custkey WHERE k <= 9 GROUP BY o.o_custkey
-       UNION ALL
-       SELECT r.o_custkey, o_orderpriority, n FROM r JOIN s ON r.o_custkey = s.o_custkey WHERE k > 9""",
+    "a2_list_as_rows",
+    """SELECT o_custkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS positie, o_orderpriority AS soort, count(*) AS aantal
+       FROM orders GROUP BY o_custkey, o_orderpriority""",
 )
 def _(t):
-    return lists.ordered_list(t.orders, ["o_custkey"], "o_orderpriority", out="soorten", cell_limit=9)
+    return lists.ordered_rows(t.orders, ["o_custkey"], "o_orderpriority", out="soort", position="positie", copies="aantal")
 
 
 @check(
     "a3_list_ordered_by_value",
-    """SELECT user_id, date_trunc('day', ts) AS dag, string_agg(event_type, ';' ORDER BY event_type) AS soorten,
-              CAST(1 AS BIGINT) AS times FROM events GROUP BY ALL""",
+    """SELECT user_id, date_trunc('day', ts) AS dag, string_agg(event_type, ';' ORDER BY event_type) AS soorten
+       FROM events GROUP BY ALL""",
 )
 def _(t):
     days = t.events.select("user_id", F.date_trunc("day", "ts").alias("dag"), "event_type")
-    return lists.ordered_list(days, ["user_id", "dag"], "event_type", out="soorten")
+    return lists.ordered_text(days, ["user_id", "dag"], "event_type", out="soorten")
 
 
 @check(

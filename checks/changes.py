@@ -91,6 +91,17 @@ def _(t):
     return changes.apply_changes(_old(t), diff, KEY)
 
 
+@check(
+    "c6_null_in_key",
+    """SELECT c_mktsegment AS k, CAST(NULL AS INTEGER) AS nr, CAST(count(*) AS BIGINT) + 1 AS v FROM customer GROUP BY c_mktsegment""",
+)
+def _(t):
+    # Every record lacks a state number; each is changed, and none may stay beside its new self.
+    old = t.customer.groupBy(F.col("c_mktsegment").alias("k"), F.lit(None).cast("int").alias("nr")).agg(F.count(F.lit(1)).alias("v"))
+    new = old.withColumn("v", F.col("v") + 1)
+    return changes.apply_changes(old, changes.snapshot_diff(old, new, ["k", "nr"]), ["k", "nr"])
+
+
 @check(
     "c7_relation_update",
     """WITH a AS (SELECT c_custkey AS src, o_orderkey AS dst, o_orderpriority AS p FROM customer LEFT JOIN orders

@@ -1,10 +1,12 @@
 """The register queries end to end, over source tables derived from the given ones."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks.registry import check
 from checks.states import EVENT_STATES, event_states
-from stateweave.operators import changes, mapping, projection
+from stateweave.operators import mapping, projection
 from stateweave.plans import extracts, registers, runner
 from stateweave.plans.definition import Definition
 
@@ -238,25 +240,15 @@ def _(t):
 @check(
     "document_files",
     f"""WITH i AS ({_ITEMS}),
-             c AS (SELECT regexp_extract(b.subject2, '^([^_ ]*)[_ ]', 1) AS dossier, b.item_created, b.subject2 {_IMPORTED})
-        SELECT dossier, max(item_created) AS registratiedatum, string_agg(subject2, ';' ORDER BY subject2) AS heeft_bag_brondocument,
-               CAST(1 AS BIGINT) AS times FROM c WHERE dossier <> '' GROUP BY dossier""",
-)
-def _(t):
-    # Texts without a mark share the file ''; its list has its own query below.
-    return registers.document_files(_items(t)).where(F.col("dossier") != "")
-
-
-@check(
-    "document_files_without_code",
-    f"""WITH i AS ({_ITEMS}),
-             c AS (SELECT regexp_extract(b.subject2, '^([^_ ]*)[_ ]', 1) AS dossier, b.item_created, b.subject2 {_IMPORTED})
-        SELECT dossier, max(item_created) AS registratiedatum, md5(string_agg(subject2, ';' ORDER BY subject2)) AS lijst
-        FROM c WHERE dossier = '' GROUP BY dossier""",
+             c AS (SELECT regexp_extract(b.subject2, '^([^_ ]*)[_ ]', 1) AS dossier, b.item_created, b.subject2 {_IMPORTED}),
+             m AS (SELECT dossier, max(item_created) AS registratiedatum FROM c GROUP BY dossier)
+        SELECT c.dossier, registratiedatum, dense_rank() OVER (PARTITION BY c.dossier ORDER BY subject2) AS positie,
+               subject2 AS heeft_bag_brondocument, count(*) AS aantal
+        FROM c JOIN m ON c.dossier = m.dossier WHERE subject2 IS NOT NULL GROUP BY c.dossier, registratiedatum, subject2""",
 )
 def _(t):
-    out = registers.document_files(_items(t)).where((F.col("dossier") == "") & (F.col("times") == 1))
-    return out.select("dossier", "registratiedatum", F.md5("heeft_bag_brondocument").alias("lijst"))
+    # Texts without a mark share the file ''.
+    return registers.document_files(_items(t))
 
 
 _RESTRICTED = f"{_PAIR} AND b.subject1 LIKE '%IDOCWKPB%' AND d.text4 = 'WK' AND upper(substring(b.subject2, 16, 2)) = 'WK'"
@@ -275,9 +267,9 @@ def _(t):
 @check(
     "restriction_files",
     f"""WITH i AS ({_ITEMS})
-        SELECT trim(coalesce(nullif(regexp_extract(substr(b.subject2, 1, 21), '^(.*?)_', 1), ''), substr(b.subject2, 1, 21))) AS dossier,
-               string_agg(substr(b.subject2, 1, 21), ';' ORDER BY substr(b.subject2, 1, 21)) AS heeft_wkpb_brondocument, CAST(1 AS BIGINT) AS times
-        {_RESTRICTED} GROUP BY 1""",
+        SELECT dossier, dense_rank() OVER (PARTITION BY dossier ORDER BY document) AS positie, document AS heeft_wkpb_brondocument, count(*) AS aantal
+        FROM (SELECT trim(coalesce(nullif(regexp_extract(substr(b.subject2, 1, 21), '^(.*?)_', 1), ''), substr(b.subject2, 1, 21))) AS dossier,
+                     substr(b.subject2, 1, 21) AS document {_RESTRICTED}) GROUP BY dossier, document""",
 )
 def _(t):
     return registers.restriction_files(_items(t))
@@ -370,7 +362,7 @@ def _(t):
                    WHERE h.typ_nummer != 7 GROUP BY r.met_id)
         SELECT m.id AS identificatie, h.nummer AS hoort_bij_meetbout, strftime(m.inwindatum, {_DAY}) AS datum,
                m.wijze_inwinning AS wijze_van_inwinnen_id, r_name AS wijze_van_inwinnen, m.hoogte AS hoogte_tov_nap,
-               a.nummer AS refereert_aan_refpunt, CASE WHEN a.nummer IS NOT NULL THEN CAST(1 AS BIGINT) END AS refpunt_times,
+               a.nummer AS refereert_aan_refpunt,
                s_name AS is_gemeten_door_onderneming, h.orde AS publiceerbaar, m.id AS source_id, strftime(h.vervaldatum, {_MOMENT}) AS expirationdate
         FROM h JOIN m ON h.id = m.hoo_id LEFT JOIN a ON m.id = a.met_id LEFT JOIN region ON m.wijze_inwinning = r_regionkey
         LEFT JOIN supplier ON m.bro_id = s_suppkey WHERE (h.typ_nummer = 7 OR h.typ_nummer = 8) AND h.orde = 1""",
@@ -544,7 +536,7 @@ CUSTOMER_DEFINITION = Definition.from_dict(
             "application": "Orders",
             "entity_id": "c_custkey",
             "merge": {"dataset": "suppliers", "id": "fill", "on": "c_custkey", "copy": ["telefoon"]},
-            "enrich": {"identificatie": {"type": "autoid", "on": "code", "template": "0363XXXXXXXXX"}},
+            "enrich": {"identificatie": {"type": "autoid", "on": "code", "template": "77XXXXXXXXX"}},
         },
         "not_provided_attributes": ["registratiedatum"],
         "mapping": {
@@ -583,7 +575,7 @@ def _snapshot(extract, phones):
     "r3_run_definition",
     """WITH v AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, c_acctbal, CAST(c_custkey AS VARCHAR) AS code,
                          s_suppkey FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 17 <> 0)
-       SELECT CAST(c_custkey AS VARCHAR) AS _id, code, '0363' || lpad(CAST(row_number() OVER (ORDER BY code) AS VARCHAR), 9, '0') AS identificatie,
+       SELECT CAST(c_custkey AS VARCHAR) AS _id, code, '77' || lpad(CAST(row_number() OVER (ORDER BY code) AS VARCHAR), 9, '0') AS identificatie,
               c_acctbal AS saldo, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS land,
               CASE WHEN s_suppkey IS NOT NULL THEN 'tel ' || s_suppkey END AS telefoon, DATE '2010-01-01' AS begin_geldigheid,
               'TPCH' AS _source, 'Orders' AS _application FROM v""",
@@ -608,4 +600,79 @@ def _(t):
     extract, phones = _customers(t)
     current = _snapshot(extract, phones)
     load = runner.run(CUSTOMER_DEFINITION, extract, _CUSTOMER_TYPES, merge_with=phones, registry=current, current=current)
-    return load.changes.where(F.col("action") != changes.DELETE).select("_id", "action", F.array_join("changed", ",").alias("changed"))
+    return load.changes.select("_id", "action", F.array_join("changed", ",").alias("changed"))
+
+
+_BALANCE = {"saldo": "decimal"}
+
+
+@check(
+    "r3_quarantine_is_no_delete",
+    """SELECT CAST(c_custkey AS VARCHAR) AS _id, CASE WHEN c_custkey % 7 = 0 THEN 'DELETE' WHEN c_custkey % 5 = 0 THEN 'MODIFY' ELSE 'CONFIRM' END AS action
+       FROM customer WHERE c_custkey % 7 = 0 OR (c_custkey % 17 <> 0 AND c_custkey % 19 <> 0)""",
+)
+def _(t):
+    # All customers are known; the load lacks some, spoils some and brings some twice.
+    extract, phones = _customers(t)
+    known = runner.run(CUSTOMER_DEFINITION, extract.withColumn("saldo", F.lit("1")), _BALANCE, merge_with=phones)
+    key = F.col("c_custkey")
+    balance = F.when(key % 17 == 0, "onbekend").when(key % 5 == 0, "2").otherwise("1")
+    load = extract.withColumn("saldo", balance).where(key % 7 != 0)
+    load = load.unionByName(load.where(key % 19 == 0))
+    again = runner.run(CUSTOMER_DEFINITION, load, _BALANCE, merge_with=phones, registry=known.entity, current=known.entity)
+    return again.changes.select("_id", "action")
+
+
+@check(
+    "r3_doubled_keys_in_quarantine",
+    """SELECT CAST(c_custkey AS VARCHAR) AS _id, '_key' AS attribute, CAST(c_custkey AS VARCHAR) AS value
+       FROM customer, (SELECT 1 UNION ALL SELECT 2) WHERE c_custkey % 19 = 0""",
+)
+def _(t):
+    extract, phones = _customers(t)
+    load = extract.withColumn("saldo", F.lit("1"))
+    load = load.unionByName(load.where(F.col("c_custkey") % 19 == 0))
+    return runner.run(CUSTOMER_DEFINITION, load, _BALANCE, merge_with=phones).quarantine
+
+
+@check(
+    "r3_refused_load",
+    "SELECT 'trade.customers' AS dataset, count(*) AS rows, count(*) + 1 AS min_rows, FALSE AS ok, CAST(0 AS BIGINT) AS changes FROM customer",
+)
+def _(t):
+    # One row fewer than the definition asks for: everything would be deleted or changed, and nothing is.
+    extract, phones = _customers(t)
+    known = _snapshot(extract, phones)
+    strict = replace(CUSTOMER_DEFINITION, min_rows=t.customer.count() + 1)
+    load = runner.run(strict, extract, _CUSTOMER_TYPES, merge_with=phones, registry=known, current=known)
+    n = load.changes.agg(F.count(F.lit(1)).alias("changes"))
+    return load.guard.crossJoin(n)  # one row each
+
+
+@check(
+    "r3_format_implies_type",
+    """SELECT CAST(event_id AS VARCHAR) AS _id, 'dag' AS attribute, 'notadate' AS value FROM events WHERE event_id % 10 = 0""",
+)
+def _(t):
+    day = F.when(F.col("event_id") % 10 == 0, "notadate").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    rows = t.events.select("event_id", day.alias("dag"))
+    spec = {"dag": {"source_mapping": "dag", "format": "%Y-%m-%d"}}
+    source = {"name": "S", "application": "F", "entity_id": "event_id"}
+    return runner.run(Definition.from_dict({"catalogue": "c", "entity": "e", "source": source, "mapping": spec}), rows).quarantine
+
+
+@check(
+    "r3_protected_run",
+    """SELECT CAST(c_custkey AS VARCHAR) AS _id, sha256('zout' || c_name) AS naam, sha256('zout' || CAST(c_nationkey AS VARCHAR)) AS land,
+              c_mktsegment AS segment FROM customer""",
+)
+def _(t):
+    spec = {
+        "naam": {"source_mapping": "c_name"},
+        "land": {"source_mapping": {"bronwaarde": "c_nationkey"}},
+        "segment": {"source_mapping": "c_mktsegment"},
+    }
+    source = {"name": "S", "application": "F", "entity_id": "c_custkey"}
+    d = Definition.from_dict({"catalogue": "c", "entity": "e", "source": source, "mapping": spec})
+    load = runner.run(d, t.customer, {"naam": "secure_string", "land": "secure_number"}, salt="zout")
+    return load.entity.select("_id", "naam", F.col("land.bronwaarde").alias("land"), "segment")

@@ -125,7 +125,7 @@ def _(t):
     lines = t.lineitem.where(F.col("l_returnflag") != "N").select(
         "l_orderkey", F.col("l_partkey").cast("string").alias("part")
     )
-    listed = lists.ordered_list(lines, ["l_orderkey"], "part", out="onderdelen")
+    listed = lists.ordered_text(lines, ["l_orderkey"], "part", out="onderdelen")
     return lookups.lookup(t.orders, listed, {"o_orderkey": "l_orderkey"}, {"onderdelen": "onderdelen"}).select(
         "o_orderkey", "onderdelen"
     )

@@ -183,6 +183,27 @@ def _(t):
     )
 
 
+@check(
+    "p14_references_with_gaps",
+    """SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_partkey AS VARCHAR) || '|' || CAST(l_suppkey AS VARCHAR)
+                ELSE CAST(l_partkey AS VARCHAR) || '|x|' || CAST(l_suppkey AS VARCHAR) END AS veel,
+              CASE WHEN l_linenumber % 2 = 0 THEN 'd1|d3' ELSE 'd1|-|d3' END AS veel_begin
+       FROM lineitem""",
+)
+def _(t):
+    # A gap among the references, or among their dates: what stays keeps its own date.
+    part, supplier, even = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber") % 2 == 0
+    rows = t.lineitem.select(
+        "l_orderkey",
+        F.concat_ws(";", part, F.when(even, "").otherwise("x"), supplier).alias("lijst"),
+        F.when(even, "d1;d2;d3").otherwise("d1;;d3").alias("dagen"),
+    )
+    split = {"bronwaarde": "lijst", "begin_geldigheid": "dagen", "format": {"split": ";"}}
+    out = mapping.map_entity(rows, {"id": {"source_mapping": "l_orderkey"}, "veel": {"source_mapping": split}})
+    joined = lambda name: F.array_join(F.transform("veel", lambda e: e[name]), "|", "-").alias(name)
+    return out.select("id", joined("bronwaarde").alias("veel"), joined("begin_geldigheid").alias("veel_begin"))
+
+
 @check(
     "p14_references_with_begin",
     """SELECT l_orderkey AS id, CAST(l_partkey AS VARCHAR) AS een, strftime(l_shipdate, '%Y-%m-%d') AS een_begin,
@@ -275,27 +296,27 @@ def _(t):
     return projection.add_not_provided(t.nation.select("n_nationkey", "n_name"), {"zakking": "double", "cbs_code": "string"})
 
 
-STEM = [["re.sub", "(.+/)([^.]*)(.*)", "\\2"], ["upper"]]
+HOST = [["re.sub", "^[a-z]+://([^/?#]*).*$", "\\1"], ["upper"]]
 
 
 @check(
     "p19_value_filters",
-    r"SELECT page_id AS id, upper(regexp_replace(url, '(.+/)([^.]*)(.*)', '\2')) AS identificatie FROM pages",
+    r"SELECT page_id AS id, upper(regexp_replace(url, '^[a-z]+://([^/?#]*).*$', '\1')) AS identificatie FROM pages",
 )
 def _(t):
-    spec = {"id": {"source_mapping": "page_id"}, "identificatie": {"source_mapping": "url", "filters": STEM}}
+    spec = {"id": {"source_mapping": "page_id"}, "identificatie": {"source_mapping": "url", "filters": HOST}}
     return mapping.map_entity(t.pages, spec)
 
 
 @check(
     "p20_reference_filters",
-    r"""SELECT page_id AS id, nullif(upper(regexp_replace(url, '(.+/)([^.]*)(.*)', '\2')), '') AS bronwaarde
+    r"""SELECT page_id AS id, nullif(upper(regexp_replace(url, '^[a-z]+://([^/?#]*).*$', '\1')), '') AS bronwaarde
         FROM pages""",
 )
 def _(t):
     spec = {
         "id": {"source_mapping": "page_id"},
-        "blok": {"source_mapping": {"bronwaarde": "url"}, "filters": {"bronwaarde": STEM}},
+        "blok": {"source_mapping": {"bronwaarde": "url"}, "filters": {"bronwaarde": HOST}},
     }
     return mapping.map_entity(t.pages, spec).select("id", "blok.bronwaarde")
 

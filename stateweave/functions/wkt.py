@@ -36,6 +36,17 @@ def rings(wkt: Column) -> Column:
     return F.transform(_ring_texts(spaced), lambda r: F.transform(F.split(r, ","), point))
 
 
+def polygon_texts(wkt: Column) -> Column:
+    """Bodies '((x y, ...), (...))' of the polygons of a POLYGON or MULTIPOLYGON, spaced alike, numbers as they are written."""
+    tight = F.regexp_replace(F.regexp_replace(wkt, r"\s+", " "), r" ?([(),]) ?", "$1")
+    return F.regexp_extract_all(F.replace(tight, F.lit(","), F.lit(", ")), F.lit(r"\((?:\([^()]*\)(?:, )?)+\)"), 0)
+
+
+def polygons(wkt: Column) -> Column:
+    """Rings of each polygon: which ring is a hole of which polygon stays known."""
+    return F.transform(polygon_texts(wkt), rings)
+
+
 def _skeleton(wkt: Column) -> Column:
     """Text with each innermost bracket as '#', blanks gone and repeats collapsed."""
     s = F.regexp_replace(wkt, r"\([^()]*\)", "#")
@@ -93,8 +104,8 @@ def is_geometry(wkt: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """Plain text of a coordinate with up to six decimals: no exponent, no trailing zeros."""
-    fixed = c.cast("double").try_cast("decimal(38,6)").cast("string")
+    """Plain text of a coordinate, every decimal of the double kept: no exponent, no trailing zeros."""
+    fixed = c.cast("double").cast("string").try_cast("decimal(38,17)").cast("string")
     return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))
 
 
@@ -151,6 +162,11 @@ def polygon_area(ring_array: Column) -> Column:
     )
 
 
+def surface(polygon_array: Column) -> Column:
+    """Area of all polygons of a geometry."""
+    return _total(F.transform(polygon_array, polygon_area), F.lit(0.0))
+
+
 def bounds(ring_array: Column) -> Column:
     """Bounding box as struct(x0, y0, x1, y1)."""
 
@@ -167,10 +183,11 @@ def bounds(ring_array: Column) -> Column:
 
 
 def vertex_average(ring_array: Column) -> Column:
-    """Mean of the outer ring's vertices, the closing one left out; the point itself for a point."""
+    """Mean of the first ring's or line's vertices, a closing one left out; the point itself for a point."""
 
     def mean(outer):
-        n = F.greatest(F.size(outer) - 1, F.lit(1))
+        closed = (F.size(outer) > 1) & (F.try_element_at(outer, F.lit(1)) == F.try_element_at(outer, F.lit(-1)))
+        n = F.size(outer) - F.when(closed, F.lit(1)).otherwise(F.lit(0))
         axis = lambda name: _total(
             F.transform(F.slice(outer, F.lit(1), n), lambda p: p[name]), F.lit(0.0)
         )
@@ -214,3 +231,11 @@ def simplify_ring(ring: Column, tolerance: float) -> Column:
 
 def simplify(ring_array: Column, tolerance: float) -> Column:
     return F.transform(ring_array, lambda r: simplify_ring(r, tolerance))
+
+
+def simplify_text(wkt: Column, tolerance: float) -> Column:
+    """A POLYGON or MULTIPOLYGON with simplified rings; other geometries as they are."""
+    many = wkt.rlike(r"(?i)^\s*MULTIPOLYGON")
+    bodies = F.transform(polygons(wkt), lambda p: polygon_body(simplify(p, tolerance)))
+    one = let(bodies, lambda b: F.concat(F.lit("POLYGON "), F.element_at(b, 1)))
+    return F.when(many, multipolygon_wkt(bodies)).when(wkt.rlike(r"(?i)^\s*POLYGON"), one).otherwise(wkt)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stateweave.operators.joining import same
+
 ADD, MODIFY, CONFIRM, DELETE = "ADD", "MODIFY", "CONFIRM", "DELETE"
 
 
@@ -29,6 +31,8 @@ def snapshot_diff(
     mode: str = "full",
     source: str | None = None,
     loaded_sources: Sequence[str] | None = None,
+    seen: DataFrame | None = None,
+    seen_key: Sequence[str] | None = None,
 ) -> DataFrame:
     """Change set: key, action, changed attributes, and the loaded row as ``new``.
 
@@ -40,7 +44,8 @@ def snapshot_diff(
     ``mode='partial'`` leaves keys absent from the load alone.  ``source`` names
     a lineage column: only rows of the loaded sources may be deleted.  These are
     the ones found in the load unless ``loaded_sources`` names them, which an
-    empty full load needs.
+    empty full load needs.  ``seen`` holds keys (by ``seen_key``, a part of the
+    key) that were delivered but not loaded: they are no DELETE.
     """
     key = list(key)
     group = [*key, source] if source else key
@@ -84,13 +89,19 @@ def snapshot_diff(
         .when(F.size("changed") > 0, F.lit(MODIFY))
         .otherwise(F.lit(CONFIRM))
     )
-    return merged.withColumn("changed", changed).select(
+    found = merged.withColumn("changed", changed).select(
         *group,
         action.alias("action"),
         "changed",
         ((F.col("__no") > 1) | (F.col("__nn") > 1)).alias("doubled"),
         "new",
     )
+    if seen is None:
+        return found
+    seen_key = list(seen_key or key)
+    delivered = seen.select(*seen_key).distinct().withColumn("__seen", F.lit(True))
+    marked = found.alias("f").join(delivered.alias("s"), same("f", "s", seen_key), "left")
+    return marked.where((F.col("f.action") != DELETE) | F.col("__seen").isNull()).select("f.*")
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, key: Sequence[str], source: str | None = None) -> DataFrame:
@@ -101,7 +112,8 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: Sequence[str], so
     rows = written.select(
         *[F.col(c) if c in key else F.col(f"new.`{c}`").alias(c) for c in current.columns]
     )
-    return current.join(gone, group, "left_anti").unionByName(rows)
+    # NULL in a key equals NULL, as in the comparison.
+    return current.alias("c").join(gone.alias("g"), same("c", "g", group), "left_anti").unionByName(rows)
 
 
 def stack_sources(parts: dict[str, DataFrame], source: str = "_source") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stateweave.functions.text import null_if_empty
@@ -28,8 +30,8 @@ def max_sequence(df: DataFrame, id_: str, template: str) -> DataFrame:
     return df.agg(F.coalesce(F.max(sequence_of(F.col(id_), template)), F.lit(0)).cast("bigint").alias("max_sequence"))
 
 
-def global_number(df: DataFrame, column: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Number distinct values 1..n in order over the whole frame without one big window.
+def global_number(df: DataFrame, column: str | Sequence[str], out: str, partitions: int | None = None) -> DataFrame:
+    """Number distinct values of one or more columns 1..n in order over the whole frame without one big window.
 
     Range partitions are sorted on their own, their generated ids (partition and
     position) are pinned by a reliable checkpoint, and only one count per
@@ -38,7 +40,8 @@ def global_number(df: DataFrame, column: str, out: str, partitions: int | None =
     spark = df.sparkSession
     ensure_checkpoints(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, column).sortWithinPartitions(column)
+    columns = [column] if isinstance(column, str) else list(column)
+    ranged = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
     pinned = ranged.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
     placed = pinned.select(
         "*",

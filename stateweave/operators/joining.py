@@ -1,23 +1,14 @@
-"""Small shared pieces: null-safe join conditions, and which keys are too heavy for one task."""
+"""Null-safe join conditions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 
 def same(left: str, right: str, names: Sequence[str]) -> Column:
     """Null-safe equality of the named columns of two aliased frames; still a hash join for Spark."""
     pairs = [F.col(f"{left}.`{n}`").eqNullSafe(F.col(f"{right}.`{n}`")) for n in names]
     return reduce(lambda a, b: a & b, pairs)
-
-
-def heavy_keys(sizes: DataFrame, key: Sequence[str], size: str, limit: int) -> DataFrame:
-    """Keys whose size is over the limit: at most rows / limit of them.
-
-    No broadcast hint is given: the adaptive planner measures the result and
-    broadcasts it only when it is below Spark's own threshold.
-    """
-    return sizes.where(F.col(size) > limit).select(*key)

@@ -1,4 +1,9 @@
-"""Ordered string aggregation that keeps groups of any size whole."""
+"""Ordered lists of a key's values: as one text, or as rows.
+
+Which of the two is a choice of the caller and not of the data: a text for lists
+that are small by nature, such as the parts of an order, and rows for lists that
+may grow without bound.
+"""
 
 from __future__ import annotations
 
@@ -6,34 +11,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from stateweave.operators.joining import heavy_keys, same
+from stateweave.operators.identity import global_number
+from stateweave.operators.joining import same
+
 
-CELL_LIMIT = 100_000
+def ordered_text(df: DataFrame, key: Sequence[str], value: str, out: str = "listing", sep: str = ";") -> DataFrame:
+    """One row per key with its values in order, joined to one text; NULL values are left out."""
+    text = F.expr(f"listagg(CAST(`{value}` AS STRING), '{sep}') WITHIN GROUP (ORDER BY `{value}`)")
+    return df.where(F.col(value).isNotNull()).groupBy(*key).agg(text.alias(out))
 
 
-def ordered_list(
-    df: DataFrame, key: Sequence[str], value: str, out: str = "listing", sep: str = ";", cell_limit: int = CELL_LIMIT
-) -> DataFrame:
-    """Values of each key in order, joined to one text; NULL values are left out.
+def ordered_rows(df: DataFrame, key: Sequence[str], value: str, out: str = "value", position: str = "position", copies: str = "copies") -> DataFrame:
+    """One row per key and distinct value: its position in the key's order, and how often it occurs.
 
-    Copies are counted before the shuffle.  A key with up to ``cell_limit`` values
-    gives one row with the whole text and ``times`` = 1.  A larger key cannot be
-    one cell on a cluster; it gives one row per distinct value with ``times``
-    copies, so nothing is lost and no task holds the group.
+    Copies are counted before the shuffle and positions come from range
+    partitions over (key, value), so no task holds a key.  NULL values are left out.
     """
     key = list(key)
-    known = df.where(F.col(value).isNotNull())
-    runs = known.groupBy(*key, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = known.groupBy(*key).agg(F.count(F.lit(1)).alias("__size"))
-    heavy = heavy_keys(sizes, key, "__size", cell_limit)
-    short = runs.alias("r").join(heavy.alias("h"), same("r", "h", key), "left_anti")
-    spelled = F.when(F.col("__n") > 1, F.repeat(F.concat(F.col("__v").cast("string"), F.lit(sep)), (F.col("__n") - 1).cast("int")))
-    piece = F.concat(F.coalesce(spelled, F.lit("")), F.col("__v").cast("string"))
-    cells = short.groupBy(*key).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("__v", piece.alias("p")))), lambda s: s["p"]), sep
-        ).alias(out)
-    )
-    whole = cells.withColumn("times", F.lit(1).cast("bigint"))
-    long = runs.alias("r").join(heavy.alias("h"), same("r", "h", key), "left_semi")
-    return whole.unionByName(long.select(*key, F.col("__v").cast("string").alias(out), F.col("__n").alias("times")))
+    runs = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias(out)).agg(F.count(F.lit(1)).alias(copies))
+    numbered = global_number(runs, [*key, out], "__n")
+    first = numbered.groupBy(*key).agg(F.min("__n").alias("__first"))
+    joined = numbered.alias("n").join(first.alias("f"), same("n", "f", key))
+    return joined.select(*[F.col(f"n.`{c}`") for c in key], (F.col("__n") - F.col("__first") + 1).alias(position), out, copies)

@@ -136,10 +136,14 @@ def reference(value: Column, **extra: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(value.alias(REF), *[c.alias(k) for k, c in extra.items()]))
 
 
+def split_items(c: Column, separator: str) -> Column:
+    """Items of a separator string, trimmed of blanks; empty ones keep their place."""
+    return F.transform(F.split(c, re.escape(separator)), lambda x: F.trim(x))
+
+
 def split_values(c: Column, separator: str) -> Column:
     """Items of a separator string, trimmed of blanks; empty ones (a trailing separator) left out."""
-    items = F.transform(F.split(c, re.escape(separator)), lambda x: F.trim(x))
-    return F.filter(items, lambda x: x != "")
+    return F.filter(split_items(c, separator), lambda x: x != "")
 
 
 def _list_of(values: Column, name: str) -> Column:
@@ -208,15 +212,11 @@ def _object_attribute(df: DataFrame, source: Mapping, spec: Mapping, type_: str
     if spec.get("force_list"):
         return force_list(parts, kinds)
     if separator is not None or type_ == "manyreference":
-        lists = {
-            k: c if isinstance(kinds[k], T.ArrayType)
-            else split_values(c, separator or ";") if k == REF or separator
-            else F.split(c, ";")
-            for k, c in parts.items()
-        }
-        if len(lists) == 1:
-            (name, values), = lists.items()
-            return _list_of(values, name)
+        if len(parts) == 1:
+            (name, c), = parts.items()
+            return _list_of(c if isinstance(kinds[name], T.ArrayType) else split_values(c, separator or ";"), name)
+        # Parallel lists are zipped with their empty items; pairs without a reference go then.
+        lists = {k: c if isinstance(kinds[k], T.ArrayType) else split_items(c, separator or ";") for k, c in parts.items()}
         return zipped_reference(lists.pop(REF), **lists)
     if any(isinstance(t, T.ArrayType) for t in kinds.values()):
         return force_list(parts, kinds)
@@ -228,6 +228,16 @@ def _object_attribute(df: DataFrame, source: Mapping, spec: Mapping, type_: str
     return struct_of(parts)
 
 
+def text_type(spec: Mapping, type_: str | None = None) -> str | None:
+    """Type that text of an attribute is read as: the declared one, else what its format implies."""
+    fmt = spec.get("format")
+    if type_ is not None or not isinstance(fmt, str):
+        return type_
+    if fmt in convert.BOOLEAN_FORMATS:
+        return "boolean"
+    return "datetime" if "%H" in fmt else "date"
+
+
 def attribute(df: DataFrame, spec: Mapping, type_: str | None = None) -> Column:
     """Column of one attribute from its mapping entry.
 
@@ -250,11 +260,8 @@ def attribute(df: DataFrame, spec: Mapping, type_: str | None = None) -> Column:
         return F.when(c == 1, F.lit(True)).when(c == 0, F.lit(False))
     if not isinstance(kind, T.StringType):
         return c if type_ is None else c.try_cast(convert.SPARK_TYPES[type_])
-    if type_ is None:
-        if fmt is None:
-            return c
-        type_ = "datetime" if "%H" in fmt else "date"
-    return convert.convert(c, type_, fmt)
+    type_ = text_type(spec, type_)
+    return c if type_ is None else convert.convert(c, type_, fmt)
 
 
 def map_entity(

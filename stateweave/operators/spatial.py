@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stateweave.functions import wkt
 from stateweave.functions.evaluate import once
-from stateweave.operators.joining import heavy_keys
 
 _LOWEST, _HIGHEST = -30, 60
 
@@ -70,36 +69,33 @@ def relate_spatial(
     return placed.join(lowest, ["__x", "__y"], "left").select(src_key, area_key)
 
 
-def geometry_union(
-    members: DataFrame, area: str, geometry: str, out: str = "geometrie", cell_limit: int = 100_000
-) -> DataFrame:
-    """MULTIPOLYGON of the member polygons of each area, sorted by text and not dissolved.
+def member_polygons(members: DataFrame, area: str, geometry: str, out: str = "polygon") -> DataFrame:
+    """Each distinct member polygon of each area, a row each: for areas whose members have no bound."""
+    known = members.where(F.col(area).isNotNull() & F.col(geometry).isNotNull())
+    return known.select(area, F.explode(wkt.polygon_texts(F.col(geometry))).alias(out)).distinct()
+
 
-    ``members`` holds one row per (area, member polygon).  Copies are dropped
-    before the shuffle.  An area over ``cell_limit`` members cannot be one value
-    on a cluster: it keeps its members as single MULTIPOLYGON rows, and ``parts``
-    tells how many polygons the row holds.
+def geometry_union(members: DataFrame, area: str, geometry: str, out: str = "geometrie") -> DataFrame:
+    """One MULTIPOLYGON per area of its member polygons, sorted by text and not dissolved.
+
+    ``members`` holds one row per (area, member POLYGON or MULTIPOLYGON).
+    Polygons keep their holes and their coordinates as written; copies are
+    dropped before the shuffle.  ``parts`` counts the polygons.
     """
-    known = members.where(F.col(area).isNotNull() & F.col(geometry).isNotNull()).select(area, geometry)
-    bodies = once(known, "__body", wkt.polygon_body(wkt.rings(F.col(geometry)))).select(area, "__body").distinct()
-    sizes = bodies.groupBy(area).agg(F.count(F.lit(1)).alias("__n"))
-    heavy = heavy_keys(sizes, [area], "__n", cell_limit)
-    short = bodies.join(heavy, area, "left_anti").groupBy(area).agg(F.array_sort(F.collect_list("__body")).alias("__all"))
-    long = bodies.join(heavy, area, "left_semi").select(area, F.array("__body").alias("__all"))
-    return short.unionByName(long).select(
-        area, wkt.multipolygon_wkt(F.col("__all")).alias(out), F.size("__all").cast("bigint").alias("parts")
-    )
+    bodies = member_polygons(members, area, geometry, "__body")
+    whole = bodies.groupBy(area).agg(F.array_sort(F.collect_list("__body")).alias("__all"))
+    return whole.select(area, wkt.multipolygon_wkt(F.col("__all")).alias(out), F.size("__all").cast("bigint").alias("parts"))
 
 
 def area_summary(members: DataFrame, area: str, geometry: str) -> DataFrame:
     """Bounding box, summed area and number of member polygons, all as mergeable aggregates."""
-    r = once(members.select(area, geometry), "__r", wkt.rings(F.col(geometry)))
-    b = once(r, "b", wkt.bounds(F.col("__r"))).select(area, "b", wkt.polygon_area(F.col("__r")).alias("a"))
+    r = once(members.select(area, geometry), "__r", wkt.polygons(F.col(geometry)))
+    b = once(r, "__b", wkt.bounds(F.flatten("__r"))).select(area, "__b", wkt.surface(F.col("__r")).alias("__a"))
     return b.groupBy(area).agg(
-        F.min("b.x0").alias("x0"),
-        F.min("b.y0").alias("y0"),
-        F.max("b.x1").alias("x1"),
-        F.max("b.y1").alias("y1"),
-        F.sum("a").alias("area"),
+        F.min("__b.x0").alias("x0"),
+        F.min("__b.y0").alias("y0"),
+        F.max("__b.x1").alias("x1"),
+        F.max("__b.y1").alias("y1"),
+        F.sum("__a").alias("area"),
         F.count(F.lit(1)).alias("members"),
     )

@@ -27,8 +27,7 @@ _moment = lambda c: dates.moment_text(F.col(c))
 
 def _simplified(c: Column) -> Column:
     """Single polygons simplified; other geometries as they are."""
-    rings = wkt.simplify(wkt.rings(c), TOLERANCE)
-    return F.when(c.rlike(r"^\s*POLYGON"), wkt.polygon_wkt(rings)).otherwise(c)
+    return wkt.simplify_text(c, TOLERANCE)
 
 
 def city_blocks(topography: DataFrame, blocks: DataFrame, ordered: bool = True) -> DataFrame:
@@ -161,13 +160,13 @@ def source_documents(items: DataFrame) -> DataFrame:
 
 
 def document_files(items: DataFrame) -> DataFrame:
-    """Files with their documents listed; ``times`` is 1 but for lists too long for one value."""
+    """Files with their documents in order, a row each: a file's list may grow without bound."""
     coded = _imported_items(items).select(
         text.prefix_before(F.col("subject2")).alias("dossier"), "item_created", "subject2"
     )
     latest = coded.groupBy("dossier").agg(F.max("item_created").alias("registratiedatum"))
-    listed = lists.ordered_list(coded, ["dossier"], "subject2", out="heeft_bag_brondocument")
-    return latest.join(listed, "dossier").select("dossier", "registratiedatum", "heeft_bag_brondocument", "times")
+    listed = lists.ordered_rows(coded, ["dossier"], "subject2", out="heeft_bag_brondocument", position="positie", copies="aantal")
+    return listed.join(latest, "dossier").select("dossier", "registratiedatum", "positie", "heeft_bag_brondocument", "aantal")
 
 
 def _described(points: DataFrame, ring_points: DataFrame, marks: DataFrame, statuses: DataFrame, mark_text: str) -> DataFrame:
@@ -211,9 +210,9 @@ def measurements(
     )
     anchors = points.where(F.col("typ_nummer") != BOLT).select(F.col("id").alias("__anchor"), "nummer")
     linked = reference_links.join(anchors, F.col("hoo_id") == F.col("__anchor")).select("met_id", "nummer")
-    listed = lists.ordered_list(linked, ["met_id"], "nummer", out="refereert_aan_refpunt")
+    listed = lists.ordered_text(linked, ["met_id"], "nummer", out="refereert_aan_refpunt")
     out = measured.join(wanted, F.col("hoo_id") == F.col("__point"))
-    out = lookups.lookup(out, listed, {"id": "met_id"}, {"refereert_aan_refpunt": "refereert_aan_refpunt", "refpunt_times": "times"})
+    out = lookups.lookup(out, listed, {"id": "met_id"}, {"refereert_aan_refpunt": "refereert_aan_refpunt"})
     out = lookups.lookup(out, methods, {"wijze_inwinning": "id"}, {"wijze_van_inwinnen": "omschrijving"})
     out = lookups.lookup(out, firms, {"bro_id": "id"}, {"is_gemeten_door_onderneming": "omschrijving"})
     return out.select(
@@ -224,7 +223,6 @@ def measurements(
         "wijze_van_inwinnen",
         F.col("hoogte").alias("hoogte_tov_nap"),
         "refereert_aan_refpunt",
-        "refpunt_times",
         "is_gemeten_door_onderneming",
         F.col("orde").alias("publiceerbaar"),
         F.col("id").alias("source_id"),
@@ -330,7 +328,7 @@ def restriction_files(items: DataFrame) -> DataFrame:
     coded = _restriction_items(items).select(
         text.file_code(F.col("subject2")).alias("dossier"), F.substring("subject2", 1, 21).alias("document")
     )
-    return lists.ordered_list(coded, ["dossier"], "document", out="heeft_wkpb_brondocument")
+    return lists.ordered_rows(coded, ["dossier"], "document", out="heeft_wkpb_brondocument", position="positie", copies="aantal")
 
 
 __all__ = [

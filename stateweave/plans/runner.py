@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stateweave.functions import convert
 from stateweave.functions.evaluate import once
-from stateweave.operators import changes, identity, lookups, mapping, projection, quality, relations, spatial
+from stateweave.functions.text import null_if_empty
+from stateweave.operators import changes, identity, lookups, mapping, projection, protect, quality, relations, spatial
+from stateweave.operators.joining import same
 from stateweave.plans.definition import Definition
 from stateweave.session import staged
 from stateweave.sources import databases, files
@@ -57,31 +59,69 @@ def scan(
 
 
 def _checked_attributes(definition: Definition, extract: DataFrame, types: Mapping[str, str]):
-    """Scalar attributes that come straight from a text column, with type and format."""
+    """Scalar attributes that come straight from a text column, with the type they are read as and its format."""
     text = {f.name for f in extract.schema.fields if isinstance(f.dataType, T.StringType)}
     for name, spec in definition.mapping.items():
-        source = spec["source_mapping"]
+        source, type_ = spec["source_mapping"], mapping.text_type(spec, types.get(name))
         direct = isinstance(source, str) and source in text and not spec.get("filters")
-        if direct and name in types and types[name] not in ("manyreference",):
-            yield name, source, types[name], spec.get("format")
+        if direct and type_ is not None and type_ != "manyreference":
+            yield name, source, type_, spec.get("format")
 
 
-def _split(extract: DataFrame, definition: Definition, types: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+def _with_errors(extract: DataFrame, definition: Definition, types: Mapping[str, str]) -> DataFrame:
+    """The extract with the bad attributes of each row; protected values are masked."""
     found = [
         F.when(
-            convert.is_bad(F.col(source), type_, fmt),
-            F.struct(F.lit(name).alias("attribute"), F.col(source).alias("value")),
+            convert.is_bad(F.col(f"`{source}`"), type_, fmt),
+            F.struct(
+                F.lit(name).alias("attribute"),
+                (protect.masked(F.col(f"`{source}`")) if type_.startswith(protect.SECURE) else F.col(f"`{source}`")).alias("value"),
+            ),
         )
         for name, source, type_, fmt in _checked_attributes(definition, extract, types)
     ]
     empty = F.array().cast("array<struct<attribute:string,value:string>>")
-    errors = F.array_compact(F.array(*found)) if found else empty
-    checked = once(extract, "_errors", errors)
-    key = F.col(f"`{definition.entity_id}`").cast("string").alias("_id")
+    return once(extract, "_errors", F.array_compact(F.array(*found)) if found else empty)
+
+
+def _split(checked: DataFrame, entity_id: str) -> tuple[DataFrame, DataFrame]:
+    key = F.col(f"`{entity_id}`").cast("string").alias("_id")
     bad = checked.select(key, F.explode("_errors").alias("e")).select("_id", "e.attribute", "e.value")
     return checked.where(F.size("_errors") == 0).drop("_errors"), bad
 
 
+def _sources(spec: Mapping) -> list[str]:
+    source = spec["source_mapping"]
+    values = [v for k, v in source.items() if k != "format"] if isinstance(source, Mapping) else [source]
+    return [v for v in values if not v.startswith("=")]
+
+
+def _protected(extract: DataFrame, specs: Mapping[str, Mapping], types: dict[str, str], salt: str | None) -> tuple[DataFrame, dict, dict]:
+    """Pseudonyms in place of what protected attributes read, before anything is written.
+
+    The column in clear stays only where another attribute reads it too.
+    """
+    secure = {n: s for n, s in specs.items() if types.get(n, "").startswith(protect.SECURE)}
+    if not secure:
+        return extract, dict(specs), types
+    if salt is None:
+        raise ValueError(f"protected attributes {sorted(secure)} need a salt")
+    read = {v for s in secure.values() for v in _sources(s) if v in extract.columns}
+    elsewhere = {v.split(".")[0] for n, s in specs.items() if n not in secure for v in _sources(s)} | {"_errors"}
+    name = lambda v: f"__secure_{v}" if v in read else v
+    extract = extract.withColumns({name(v): protect.pseudonym(null_if_empty(F.col(f"`{v}`").cast("string")), salt) for v in sorted(read)})
+    extract = extract.drop(*[v for v in read if v not in elsewhere])
+
+    def renamed(spec: Mapping) -> dict:
+        source = spec["source_mapping"]
+        new = {k: name(v) if k != "format" else v for k, v in source.items()} if isinstance(source, Mapping) else name(source)
+        return {**{k: v for k, v in spec.items() if k not in ("format", "filters")}, "source_mapping": new}
+
+    specs = {n: renamed(s) if n in secure else s for n, s in specs.items()}
+    kinds = {n: t for n, t in types.items() if n not in secure}
+    return extract, specs, kinds
+
+
 def _key(definition: Definition) -> list[str]:
     return ["_id", *(["volgnummer"] if "volgnummer" in definition.mapping else [])]
 
@@ -106,13 +146,8 @@ def _geounion(
 def _missing_sources(definition: Definition, extract: DataFrame) -> set[str]:
     """Attributes that read a column the extract lacks."""
     present = {c.lower() for c in extract.columns}
-
-    def lacks(source: object) -> bool:
-        values = [v for k, v in source.items() if k != "format"] if isinstance(source, Mapping) else [source]
-        read = [v for v in values if not v.startswith("=")]
-        return any(v.lower() not in present and v.split(".")[0].lower() not in present for v in read)
-
-    return {name for name, spec in definition.mapping.items() if lacks(spec["source_mapping"])}
+    lacks = lambda v: v.lower() not in present and v.split(".")[0].lower() not in present
+    return {name for name, spec in definition.mapping.items() if any(map(lacks, _sources(spec)))}
 
 
 def run(
@@ -126,30 +161,46 @@ def run(
     mode: str = "full",
     stage: bool = True,
     lenient: bool = False,
+    salt: str | None = None,
 ) -> Load:
     """Turn an extract into its entity and compare it with the current snapshot.
 
     ``types`` declares attribute types, ``registry`` holds identifiers given out
     before, ``members`` the datasets a geometry union draws on.  An attribute that
     reads a column the extract lacks is an error, or NULL when ``lenient``.
+
+    Rows with a bad value, and all rows of a key that comes more than once, go to
+    the quarantine: they are not loaded, and their records are not deleted either.
+    When the extract has fewer rows than the definition asks for, the guard says
+    so and there are no changes.  Attributes of ``secure_*`` types are replaced
+    with pseudonyms under ``salt`` before anything is written.
     """
     types = dict(types or {})
     if definition.merge and merge_with is not None:
         extract = lookups.merge_dataset(extract, merge_with, definition.merge["on"], definition.merge["copy"])
-    if stage:
-        extract = staged(extract, "extract")
-    valid, quarantine = _split(extract, definition, types)
-    guard = quality.row_guard({definition.table: (extract, definition.min_rows)})
-
     left_out = dict.fromkeys(definition.not_provided)
     if lenient:
         left_out |= dict.fromkeys(sorted(_missing_sources(definition, extract)))
     specs = {n: s for n, s in definition.mapping.items() if n not in left_out}
     absent = {n: convert.SPARK_TYPES.get(types.get(n, "string"), "string") for n in left_out}
-    entity = mapping.map_entity(valid, specs, types, keep=[F.col(f"`{definition.entity_id}`").cast("string").alias("_id")])
+    checked = _with_errors(extract, definition, types).withColumn("__id", F.col(f"`{definition.entity_id}`").cast("string"))
+    checked, specs, types = _protected(checked, specs, types, salt)
+    if stage:
+        checked = staged(checked, "extract")
+    valid, quarantine = _split(checked, "__id")
+    guard = quality.row_guard({definition.table: (checked, definition.min_rows)})
+
+    entity = mapping.map_entity(valid, specs, types, keep=[F.col("__id").alias("_id")])
     entity = projection.add_not_provided(entity, absent)
     lineage = {"_source": definition.source_name, "_application": definition.application}
     entity = entity.withColumns({n: F.lit(v) for n, v in lineage.items()})
+    key = _key(definition)
+    doubled = quality.duplicate_keys(entity, key).alias("d")
+    twice = entity.alias("e").join(doubled, same("e", "d", key), "left_semi")
+    quarantine = quarantine.unionByName(
+        twice.select("_id", F.lit("_key").alias("attribute"), F.concat_ws("/", *[F.col(k).cast("string") for k in key]).alias("value"))
+    )
+    entity = entity.alias("e").join(doubled, same("e", "d", key), "left_anti")
 
     for name, spec in definition.enrich.items():
         if spec["type"] == "autoid":
@@ -163,14 +214,14 @@ def run(
 
     if stage:
         entity = staged(entity, "entity")
-    key = _key(definition)
     diff = None
     if current is not None:
         compared = [c for c in entity.columns if c not in (*key, *SYSTEM)]
         diff = changes.snapshot_diff(
             current, entity, key, compare=compared, mode=mode, source="_source",
-            loaded_sources=[definition.source_name],
+            loaded_sources=[definition.source_name], seen=quarantine, seen_key=["_id"],
         )
+        diff = diff.where(guard.agg(F.min("ok").alias("ok")).scalar())
     return Load(entity, quarantine, guard, diff)
 
 

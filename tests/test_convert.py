@@ -89,6 +89,11 @@ def test_simplify_drops_near_vertices_only(one):
     assert one(rings(), g="POLYGON ((0 0, 5 0.01, 10 0, 10 8, 0 8, 0 0))") == "POLYGON ((0 0, 10 0, 10 8, 0 8, 0 0))"
     kept = "POLYGON ((0 0, 5 0.06, 10 0, 10 8, 0 8, 0 0))"
     assert one(rings(), g=kept) == kept
+    text = lambda: wkt.simplify_text(F.col("g"), 0.05)
+    assert one(text(), g="polygon((0 0, 5 0.01, 10 0, 10 8, 0 8, 0 0))") == "POLYGON ((0 0, 10 0, 10 8, 0 8, 0 0))"
+    many = "MULTIPOLYGON (((0 0, 5 0.01, 10 0, 10 8, 0 8, 0 0)), ((1 1, 2 1, 2 2, 1 1)))"
+    assert one(text(), g=many) == "MULTIPOLYGON (((0 0, 10 0, 10 8, 0 8, 0 0)), ((1 1, 2 1, 2 2, 1 1)))"
+    assert one(text(), g="POINT (1 2)") == "POINT (1 2)"
     # A ring that would fall apart stays.
     sliver = "POLYGON ((0 0, 5 0.01, 10 0, 0 0))"
     assert one(rings(), g=sliver) == sliver
@@ -96,7 +101,7 @@ def test_simplify_drops_near_vertices_only(one):
 
 def test_number_text(one):
     text = wkt.number_text(F.col("n").cast("double"))
-    for value, shown in [("100", "100"), ("0.50", "0.5"), ("-0.0", "0"), ("1e7", "10000000"), ("0.1234567", "0.123457")]:
+    for value, shown in [("100", "100"), ("0.50", "0.5"), ("-0.0", "0"), ("1e7", "10000000"), ("4.123456789", "4.123456789"), ("1e-7", "0.0000001"), ("-12.5", "-12.5")]:
         assert one(text, n=value) == shown
 
 

@@ -90,9 +90,13 @@ def test_merge_fills_nulls_from_the_fullest_row(frame):
     assert out == {"a": ("z1", None), "b": ("eigen", "w"), "c": (None, None), None: (None, None)}
 
 
-def test_ordered_list_short_and_long(frame):
+def test_ordered_lists_as_text_and_as_rows(frame):
     df = frame("k string, v string", *[("a", x) for x in "cabbd"], ("b", None), (None, "x"), ("c", "z"))
-    short = {(r["k"]): (r["listing"], r["times"]) for r in lists.ordered_list(df, ["k"], "v").collect()}
-    assert short == {"a": ("a;b;b;c;d", 1), None: ("x", 1), "c": ("z", 1)}
-    long = sorted((r["k"] or "", r["listing"], r["times"]) for r in lists.ordered_list(df, ["k"], "v", cell_limit=3).collect())
-    assert long == [("", "x", 1), ("a", "a", 1), ("a", "b", 2), ("a", "c", 1), ("a", "d", 1), ("c", "z", 1)]
+    # The same data many times over keeps schema and rows per key.
+    for times in (1, 50):
+        grown = df.withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("__i")
+        text = {r["k"]: r["listing"] for r in lists.ordered_text(grown, ["k"], "v").collect()}
+        assert text == {"a": ";".join(sorted("cabbd" * times)), None: ";".join("x" * times), "c": ";".join("z" * times)}
+        rows = sorted((r["k"] or "", r["position"], r["value"], r["copies"]) for r in lists.ordered_rows(grown, ["k"], "v").collect())
+        counted = [("", 1, "x", 1), ("a", 1, "a", 1), ("a", 2, "b", 2), ("a", 3, "c", 1), ("a", 4, "d", 1), ("c", 1, "z", 1)]
+        assert rows == [(k, p, v, n * times) for k, p, v, n in counted]

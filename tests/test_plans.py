@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +104,9 @@ def test_run_definition_end_to_end(frame):
     assert guard["dataset"] == "area.zone" and guard["rows"] == 3 and guard["ok"]
 
     again = frame(ROWS, (None, "B", "2", "2001-02-03", "n1;n2"), (None, "D", "4", "2001-02-03", None))
-    second = runner.run(ZONE, again, TYPES, registry=load.entity, members={"area:part": parts}, current=load.entity)
+    refused = runner.run(ZONE, again, TYPES, registry=load.entity, members={"area:part": parts}, current=load.entity)
+    assert not refused.guard.first()["ok"] and refused.changes.count() == 0
+    second = runner.run(replace(ZONE, min_rows=2), again, TYPES, registry=load.entity, members={"area:part": parts}, current=load.entity)
     got = {r["_id"]: (r["action"], r["changed"]) for r in second.changes.collect()}
     assert got == {"A": ("DELETE", []), "B": ("CONFIRM", []), "D": ("ADD", [])}
     assert {r["code"]: r["identificatie"] for r in second.entity.collect()} == {"B": "03007", "D": "03009"}
@@ -207,3 +210,37 @@ def test_states_have_their_own_union_and_missing_columns_may_be_null(frame):
     rows = {r["volgnummer"]: r for r in load.entity.collect()}
     assert rows[1]["geo"] == "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))" and rows[2]["geo"] == "MULTIPOLYGON (((5 0, 6 0, 6 1, 5 0)))"
     assert rows[1]["tot"] is None
+
+
+def _simple(**mapping):
+    return Definition.from_dict(
+        {"catalogue": "a", "entity": "b", "min_rows": 1, "source": {"name": "S", "application": "F", "entity_id": "k"}, "mapping": mapping}
+    )
+
+
+def test_quarantined_rows_are_no_deletes(frame):
+    d = _simple(k={"source_mapping": "k"}, n={"source_mapping": "n"}, dag={"source_mapping": "dag", "format": "%Y-%m-%d"})
+    first = runner.run(d, frame("k string, n string, dag string", *[(k, "1", "2001-01-01") for k in "abcde"]), {"n": "integer"})
+    extract = frame(
+        "k string, n string, dag string",
+        ("a", "x", "2001-01-01"), ("b", "1", "notadate"), ("c", "1", "2001-01-01"), ("c", "2", "2001-01-01"), ("d", "2", "2001-01-01"),
+    )
+    second = runner.run(d, extract, {"n": "integer"}, current=first.entity)
+    assert {r["_id"]: r["action"] for r in second.changes.collect()} == {"d": "MODIFY", "e": "DELETE"}
+    bad = sorted((r["_id"], r["attribute"], r["value"]) for r in second.quarantine.collect())
+    assert bad == [("a", "n", "x"), ("b", "dag", "notadate"), ("c", "_key", "c"), ("c", "_key", "c")]
+    empty = runner.run(d, extract.limit(0), {"n": "integer"}, current=first.entity)
+    assert not empty.guard.first()["ok"] and empty.changes.count() == 0
+
+
+def test_protected_attributes_of_a_run(frame):
+    d = _simple(k={"source_mapping": "k"}, geheim={"source_mapping": "g"}, ref={"source_mapping": {"bronwaarde": "r"}}, moment={"source_mapping": "m"})
+    types = {"geheim": "secure_string", "moment": "secure_datetime", "ref": "secure_string"}
+    extract = frame("k string, g string, r string, m string", ("1", "x", "y", "2001-01-01"), ("2", "x", None, "bad1"))
+    with pytest.raises(ValueError, match="salt"):
+        runner.run(d, extract, types)
+    load = runner.run(d, extract, types, salt="s")
+    (row,) = load.entity.collect()
+    assert len(row["geheim"]) == len(row["ref"]["bronwaarde"]) == len(row["moment"]) == 64
+    (bad,) = load.quarantine.collect()
+    assert (bad["_id"], bad["attribute"], bad["value"]) == ("2", "moment", "xxxn")

@@ -156,7 +156,7 @@ def test_spatial_against_brute_force(frame):
     assert {r["p"]: r["a"] for r in out.collect()} == expected
 
 
-def test_union_drops_copies_and_keeps_large_areas_whole(frame):
+def test_union_drops_copies(frame):
     box = lambda x: f"POLYGON (({x} 0, {x + 1} 0, {x + 1} 1, {x} 0))"
     members = frame("a string, g string", ("p", box(3)), ("p", box(1)), ("p", box(1)), ("q", box(5)), ("q", None))
     got = {r["a"]: (r["geometrie"], r["parts"]) for r in spatial.geometry_union(members, "a", "g").collect()}
@@ -164,5 +164,15 @@ def test_union_drops_copies_and_keeps_large_areas_whole(frame):
         "p": ("MULTIPOLYGON (((1 0, 2 0, 2 1, 1 0)), ((3 0, 4 0, 4 1, 3 0)))", 2),
         "q": ("MULTIPOLYGON (((5 0, 6 0, 6 1, 5 0)))", 1),
     }
-    split = spatial.geometry_union(members, "a", "g", cell_limit=1)
-    assert split.where(F.col("a") == "p").count() == 2 and split.where(F.col("a") == "q").count() == 1
+    assert spatial.member_polygons(members, "a", "g").count() == 3
+
+
+def test_union_and_area_of_multipolygons(frame):
+    square = lambda x: f"({x} 0, {x + 1} 0,{x + 1} 1, {x} 1, {x} 0)"
+    two = f"multipolygon (({square(0)}), ( {square(5)} ))"
+    hole = "POLYGON ((0 0, 4.123456789 0, 4.123456789 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))"
+    members = frame("a string, g string", ("p", two), ("p", hole))
+    (row,) = spatial.geometry_union(members, "a", "g").collect()
+    assert row["parts"] == 3 and "4.123456789 0" in row["geometrie"] and "(1 1, 2 1, 2 2, 1 2, 1 1))" in row["geometrie"]
+    (summary,) = spatial.area_summary(members, "a", "g").collect()
+    assert abs(summary["area"] - (1 + 1 + 4 * 4.123456789 - 1)) < 1e-9 and summary["members"] == 2

@@ -75,10 +75,11 @@ def test_light_relation_is_one_join_per_kind(spark):
 
 
 def test_hot_list_is_whole(hot):
-    listed = lists.ordered_list(hot, ["k"], "b", cell_limit=50)
+    listed = lists.ordered_rows(hot, ["k"], "b")
     long = listed.where("k = 'hot'")
-    assert long.agg(F.sum("times")).first()[0] == hot.where("k = 'hot'").count()
-    assert long.count() == hot.where("k = 'hot'").select("b").distinct().count()
+    assert long.agg(F.sum("copies")).first()[0] == hot.where("k = 'hot'").count()
+    assert long.count() == hot.where("k = 'hot'").select("b").distinct().count() == long.agg(F.max("position")).first()[0]
+    assert "collect_list" not in plan(listed)
 
 
 def test_diff_uses_one_exchange(hot):
