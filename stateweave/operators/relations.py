@@ -9,14 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from stateweave.operators.joining import same
 from stateweave.operators.mapping import REF
-from stateweave.session import staged
 
-# A value is heavy with more pairs than this, and more than SPREAD for each of its states.
-PAIR_LIMIT, SPREAD = 1_000_000, 32
 # Cell lengths grow by 2^4 from level to level: few levels to enter a begin at, and
 # cells at most sixteen times as long as an interval filed there.
 LEVEL_STEP = 4
@@ -81,21 +77,15 @@ class Side:
         )
 
 
-def _heavy(src: DataFrame, dst: DataFrame, pair_limit: int, spread: int) -> DataFrame:
-    """Match values that would make too many pairs, each with the span of its begins in microseconds."""
-
-    def stats(df: DataFrame, p: str) -> DataFrame:
-        begin = F.unix_micros(f"{p}_begin")
-        return df.groupBy(f"{p}_match").agg(
-            F.count(F.lit(1)).alias(f"__n{p}"), F.min(begin).alias(f"__lo{p}"), F.max(begin).alias(f"__hi{p}")
-        )
-
-    both = stats(src, "s").join(stats(dst, "d"), F.col("s_match") == F.col("d_match"))
-    pairs = F.col("__ns").cast("double") * F.col("__nd")
-    return both.where((pairs > pair_limit) & (pairs > spread * (F.col("__ns") + F.col("__nd")))).select(
-        F.col("s_match").alias("__heavy"),
-        F.coalesce(F.least("__los", "__lod"), F.lit(0)).alias("__from"),
-        F.coalesce(F.greatest("__his", "__hid"), F.lit(0)).alias("__to"),
+def _spans(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """For each match value, the span of its begins in microseconds, and their number."""
+    begins = src.select(F.col("s_match").alias("__value"), F.unix_micros("s_begin").alias("__b")).unionByName(
+        dst.select(F.col("d_match").alias("__value"), F.unix_micros("d_begin").alias("__b"))
+    )
+    return begins.where(F.col("__value").isNotNull()).groupBy("__value").agg(
+        F.coalesce(F.min("__b"), F.lit(0)).alias("__from"),
+        F.coalesce(F.max("__b"), F.lit(0)).alias("__to"),
+        F.count(F.lit(1)).alias("__n"),
     )
 
 
@@ -104,21 +94,24 @@ def _grid_level(duration: Column) -> Column:
     return (F.ceil(F.length(F.bin(duration)) / LEVEL_STEP) * LEVEL_STEP).cast("int")
 
 
-def _placed(df: DataFrame, p: str, heavy: DataFrame, begins: str, interval: str) -> DataFrame:
-    """One row per place an interval of a heavy value is to be met at.
+def _placed(df: DataFrame, p: str, spans: DataFrame, begins: str, interval: str) -> DataFrame:
+    """One row per place an interval is to be met at.
 
     It is filed (kind ``interval``) under the cells of its level, one or two of
-    them, and its begin is entered (kind ``begins``) at every level, a dozen or
-    so.  Open ends reach as far as any begin of the value.
+    them, and its begin is entered (kind ``begins``) at every level of its value.
+    These lead from the mean distance of the value's begins to their span: one
+    or two levels for a value with a few states, half a dozen for one with
+    millions.  Open ends reach as far as any begin of the value.
     """
-    marked = df.join(heavy, F.col(f"{p}_match") == F.col("__heavy"))
+    marked = df.join(spans, F.col(f"{p}_match") == F.col("__value"))
     beyond = F.col("__to") - F.col("__from") + 1
     since = lambda c, missing: F.least(
         F.coalesce(F.unix_micros(c) - F.col("__from"), missing), beyond
     )
     marked = marked.withColumn(f"{p}_lo", since(f"{p}_begin", F.lit(0)))
     marked = marked.withColumn("__hi", F.greatest(since(f"{p}_end", beyond), F.col(f"{p}_lo")))
-    marked = marked.withColumn("__level", _grid_level(F.col("__hi") - F.col(f"{p}_lo")))
+    lowest = _grid_level(F.expr("(__to - __from + 1) div __n"))
+    marked = marked.withColumn("__level", F.greatest(_grid_level(F.col("__hi") - F.col(f"{p}_lo")), lowest))
 
     def place(kind: str, level: Column, cell: Column) -> Column:
         return F.struct(F.lit(kind).alias("__kind"), level.alias("__grid"), cell.alias("__cell"))
@@ -126,7 +119,7 @@ def _placed(df: DataFrame, p: str, heavy: DataFrame, begins: str, interval: str)
     at = lambda t, level: F.call_function("shiftright", t, level)
     lo, level = F.col(f"{p}_lo"), F.col("__level")
     cells = F.sequence(at(lo, level), at(F.col("__hi"), level))
-    levels = F.sequence(F.lit(0), _grid_level(beyond), F.lit(LEVEL_STEP))
+    levels = F.sequence(lowest, F.greatest(_grid_level(beyond), lowest), F.lit(LEVEL_STEP))
     places = F.concat(
         F.transform(cells, lambda c: place(interval, level, c)),
         F.transform(levels, lambda v: place(begins, v, at(lo, v))),
@@ -136,16 +129,17 @@ def _placed(df: DataFrame, p: str, heavy: DataFrame, begins: str, interval: str)
     )
 
 
-def _candidates(src: DataFrame, dst: DataFrame, heavy: DataFrame, condition: Column) -> DataFrame:
-    """Pairs of heavy values that meet the interval condition, each once.
+def _pairs(src: DataFrame, dst: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of one match value that meet the interval condition, each once.
 
     Two intervals meet only if one begins inside the other: a source begin in a
     destination (kind ``s-in-d``), else a later destination begin in a source
     (``d-in-s``).  Begins and intervals meet on grid cells no shorter than the
     interval, so the work follows the overlaps and not the product of the group.
     """
-    left = _placed(src, "s", heavy, begins="s-in-d", interval="d-in-s")
-    right = _placed(dst, "d", heavy, begins="d-in-s", interval="s-in-d")
+    spans = _spans(src, dst)
+    left = _placed(src, "s", spans, begins="s-in-d", interval="d-in-s")
+    right = _placed(dst, "d", spans, begins="d-in-s", interval="s-in-d")
     met = (
         (F.col("s_match") == F.col("d_match"))
         & (left["__kind"] == right["__kind"])
@@ -156,23 +150,24 @@ def _candidates(src: DataFrame, dst: DataFrame, heavy: DataFrame, condition: Col
     return left.join(right, met & right_kind & condition).select(*src.columns, *dst.columns)
 
 
-def _left_pairs(src: DataFrame, dst: DataFrame, heavy: DataFrame | None, condition: Column) -> DataFrame:
-    """Every source row with the destinations it meets, or once with none.
+_FAR = "9999-12-31 23:59:59.999999"
 
-    Most values have few states: one left join on the value with the interval
-    condition.  The heavy ones go through the grid instead.
-    """
-    by_value = (F.col("s_match") == F.col("d_match")) & condition
-    if heavy is None:
-        return src.join(dst, by_value, "left")
-    is_heavy = F.col("s_match") == F.col("__heavy")
-    light = src.join(heavy, is_heavy, "left_anti").join(dst, by_value, "left")
-    weighty = src.join(heavy, is_heavy, "left_semi")
-    found = _candidates(weighty, dst.join(heavy, F.col("d_match") == F.col("__heavy"), "left_semi"), heavy, condition)
-    matched = found.select(*src.columns).distinct()
-    alone = weighty.alias("a").join(matched.alias("b"), same("a", "b", src.columns), "left_anti")
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in dst.schema.fields]
-    return light.unionByName(found).unionByName(alone.select("*", *empty))
+
+def _gaps(found: DataFrame) -> DataFrame:
+    """Stretches of matched source states that no destination covers, with a NULL destination."""
+    far = F.lit(_FAR).cast("timestamp")
+    until = F.coalesce("eind_geldigheid", far)
+    before = Window.partitionBy("__row").orderBy(F.col("begin_geldigheid").asc_nulls_first())
+    reached = F.max(until).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(reached, F.col("__row.s_begin"))
+    open_begin = reached.isNull() & F.col("__row.s_begin").isNull()
+    between = found.select(
+        "__row", start.alias("begin_geldigheid"), F.col("begin_geldigheid").alias("eind_geldigheid"), open_begin.alias("__open")
+    ).where(F.col("eind_geldigheid").isNotNull() & (F.col("__open") | (F.col("begin_geldigheid") < F.col("eind_geldigheid"))))
+    last = found.groupBy("__row").agg(F.max(until).alias("begin_geldigheid"))
+    end = F.col("__row.s_end")
+    after = last.where(F.col("begin_geldigheid") < F.coalesce(end, far)).select("__row", "begin_geldigheid", end.alias("eind_geldigheid"))
+    return between.drop("__open").unionByName(after)
 
 
 def relate_temporal(
@@ -181,8 +176,7 @@ def relate_temporal(
     src_side: Side,
     dst_side: Side,
     ref_begin: str | None = None,
-    pair_limit: int = PAIR_LIMIT,
-    spread: int = SPREAD,
+    fill_gaps: bool = False,
 ) -> DataFrame:
     """Relate source states to the destination states they overlap; NULL begin or end is unbounded.
 
@@ -190,44 +184,37 @@ def relate_temporal(
     the reference itself.  A source state of zero length is matched at its
     moment: a state in force then (or of zero length then), else one that ends
     then, the highest number first.  Source states without a match give one row
-    with a NULL destination.
+    with a NULL destination; ``fill_gaps`` gives such rows for uncovered
+    stretches of matched states too.  Copies of a source row each keep theirs.
     """
     s = src_side.standard(src, "s", F.col(ref_begin) if ref_begin else None)
-    d = dst_side.standard(dst, "d").drop("d_own_begin").withColumn("d_met", F.lit(True))
+    d = dst_side.standard(dst, "d").drop("d_own_begin")
     own, end = F.col("s_own_begin"), F.col("s_end")
     collapsed = F.coalesce(own == end, F.lit(False))
     s = s.withColumn("s_begin", F.when(collapsed, own).otherwise(F.col("s_begin")))
-    # Few values are heavy; they are found once, and their number decides the plan.
-    heavy = staged(_heavy(s, d, pair_limit, spread), "heavy")
-    heavy = None if heavy.isEmpty() else heavy
-    row = ["s_id", "s_number", "s_match"]
-    met = F.col("d_met").isNotNull()
+    row = F.struct(*s.columns).alias("__row")
+    states = s.groupBy(*s.columns).agg(F.count(F.lit(1)).cast("int").alias("__copies"))
+    single = states.drop("__copies")
 
     begin, until = F.greatest("s_begin", "d_begin"), F.least("s_end", "d_end")
-    whole = _left_pairs(s.where(~collapsed), d, heavy, F.coalesce(begin < until, F.lit(True)))
-    overlaps = whole.select(
-        *row,
-        "d_id",
-        "d_number",
-        F.when(met, begin).alias("begin_geldigheid"),
-        F.when(met, until).alias("eind_geldigheid"),
+    whole = _pairs(single.where(~collapsed), d, F.coalesce(begin < until, F.lit(True))).select(
+        row, "d_id", "d_number", begin.alias("begin_geldigheid"), until.alias("eind_geldigheid")
     )
+    if fill_gaps:
+        whole = whole.unionByName(_gaps(whole), allowMissingColumns=True)
 
     in_force = F.coalesce(F.col("d_begin") <= own, F.lit(True)) & F.coalesce(own < F.col("d_end"), F.lit(True))
     at_once = F.coalesce((F.col("d_begin") == own) & (F.col("d_end") == own), F.lit(False))
     ends_then = F.coalesce(F.col("d_end") == own, F.lit(False))
     preference = F.when(in_force | at_once, F.lit(1)).otherwise(F.lit(0))
-    near = _left_pairs(s.where(collapsed), d, heavy, in_force | at_once | ends_then)
-    best = F.max(
-        F.when(met, F.struct(preference.alias("p"), F.col("d_number").alias("n"), F.col("d_id").alias("id")))
-    )
-    chosen = near.groupBy(*row, "s_own_begin", "s_end").agg(best.alias("__top"))
-    found = F.col("__top").isNotNull()
+    near = _pairs(single.where(collapsed), d, in_force | at_once | ends_then)
+    best = F.max(F.struct(preference.alias("p"), F.col("d_number").alias("n"), F.col("d_id").alias("id")))
+    chosen = near.groupBy(row).agg(best.alias("__top"))
     points = chosen.select(
-        *row,
-        F.col("__top.id").alias("d_id"),
-        F.col("__top.n").alias("d_number"),
-        F.when(found, own).alias("begin_geldigheid"),
-        F.when(found, end).alias("eind_geldigheid"),
+        "__row", F.col("__top.id").alias("d_id"), F.col("__top.n").alias("d_number"),
+        F.col("__row.s_own_begin").alias("begin_geldigheid"), F.col("__row.s_end").alias("eind_geldigheid"),
     )
-    return overlaps.unionByName(points)
+    found = whole.unionByName(points)
+    keyed = states.select(row, "__copies")
+    joined = keyed.join(found, "__row", "left").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return joined.select("__row.s_id", "__row.s_number", "__row.s_match", "d_id", "d_number", "begin_geldigheid", "eind_geldigheid")

@@ -41,7 +41,6 @@ def test_intersections_gaps_and_open_ends(frame):
         key=repr,
     )
     assert related(src, dst) == expected
-    assert related(src, dst, pair_limit=0, spread=0) == expected
 
 
 def test_own_start_of_a_reference(frame):
@@ -56,7 +55,7 @@ def test_a_source_row_without_a_match_stays_beside_one_with(frame):
     dst = frame(D, ("P", 1, Y(2000), Y(2001)))
     src = frame(S, ("X", 1, Y(2000), Y(2001), "P"), ("X", 1, Y(2005), Y(2006), "P"))
     expected = [("X", 1, "P", 1, 2000, 2001), ("X", 1, None, None, None, None)]
-    assert related(src, dst) == related(src, dst, pair_limit=0, spread=0) == expected
+    assert related(src, dst) == expected
 
 
 def test_stateless_ends(frame):
@@ -86,9 +85,25 @@ def test_stateless_ends(frame):
 def test_zero_length_source(frame, states, number):
     src = frame(S, ("X", 1, Y(2000), Y(2000), "P"))
     dst = frame(D, *[("P", n, Y(b), Y(e)) for n, b, e in states])
-    for options in ({}, {"pair_limit": 0, "spread": 0}):
-        (row,) = related(src, dst, **options)
-        assert row[3] == number
+    (row,) = related(src, dst)
+    assert row[3] == number
+
+
+def test_copies_of_a_source_row_are_kept(frame):
+    dst = frame(D, ("P", 1, Y(1999), None))
+    for end, reference in ((2000, "P"), (2002, "P"), (2000, "weg"), (2002, "weg")):
+        assert len(related(frame(S, *[("X", 1, Y(2000), Y(end), reference)] * 2), dst)) == 2
+
+
+def test_gaps_of_matched_states_on_demand(frame):
+    dst = frame(D, ("P", 1, Y(1990), Y(1995)), ("P", 2, Y(1993), Y(1996)), ("P", 3, Y(2002), Y(2004)))
+    src = frame(S, ("X", 1, Y(1985), Y(2010), "P"), ("X", 2, None, None, "P"), ("X", 3, Y(1991), Y(1994), "P"), ("X", 4, Y(1997), Y(1999), "P"))
+    found = related(src, dst, fill_gaps=True)
+    gaps = [(r[1], r[4], r[5]) for r in found if r[2] is None]
+    assert sorted(gaps, key=repr) == sorted(
+        [(1, 1985, 1990), (1, 1996, 2002), (1, 2004, 2010), (2, None, 1990), (2, 1996, 2002), (2, 2004, None), (4, None, None)], key=repr
+    )
+    assert [r for r in found if r[2]] == [r for r in related(src, dst) if r[2]]
 
 
 interval = st.tuples(st.one_of(st.none(), st.integers(1, 20)), st.one_of(st.none(), st.integers(1, 12))).map(
@@ -107,11 +122,10 @@ def test_relation_is_the_intersection(frame, sources, targets):
             lo, hi = max(b or -999, c or -999), min(e or 999, f or 999)
             if lo < hi:
                 expected.add((i, j, None if lo == -999 else 1900 + lo, None if hi == 999 else 1900 + hi))
-    for options in ({}, {"pair_limit": 0, "spread": 0}):
-        got = related(src, dst, **options)
-        found = [(r[1], r[3], r[4], r[5]) for r in got if r[2]]
-        assert set(found) == expected and len(found) == len(expected)
-        assert {r[1] for r in got} == set(range(len(sources)))
+    got = related(src, dst)
+    found = [(r[1], r[3], r[4], r[5]) for r in got if r[2]]
+    assert set(found) == expected and len(found) == len(expected)
+    assert {r[1] for r in got} == set(range(len(sources)))
 
 
 def test_resolving_one_or_several(frame):
