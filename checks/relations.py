@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from stateweave.operators import history, relations
+from stateweave.plans import relate, runner
+from stateweave.plans.definition import Definition
 from stateweave.operators.relations import Side
 
 
@@ -138,6 +140,86 @@ def _(t):
     return relations.relate_temporal(_source(t).where(F.col("b") == F.col("e")), _destination(t), STATES, STATES)
 
 
+@check(
+    "j13_gaps_filled",
+    f"""WITH s AS (SELECT * FROM ({_SRC}) WHERE b <> e OR e IS NULL), d AS ({_DST}),
+             f AS (SELECT s.*, d_id, d_number, greatest(s.b, d.b) AS fb, least(s.e, d.e) AS fe FROM s
+                   JOIN (SELECT * FROM d) d ON s_match = d_match AND (least(s.e, d.e) IS NULL OR greatest(s.b, d.b) < least(s.e, d.e))),
+             o AS (SELECT *, max(coalesce(fe, TIMESTAMP '9999-12-31')) OVER (PARTITION BY s_id ORDER BY fb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM f),
+             g AS (SELECT s_id, s_number, s_match, coalesce(reached, b) AS gb, fb AS ge FROM o WHERE coalesce(reached, b) < fb
+                   UNION ALL
+                   SELECT s_id, s_number, s_match, m, e FROM (SELECT s_id, s_number, s_match, e, max(coalesce(fe, TIMESTAMP '9999-12-31')) AS m FROM f GROUP BY ALL)
+                   WHERE m < coalesce(e, TIMESTAMP '9999-12-31'))
+       SELECT s_id, s_number, s_match, d_id, d_number, fb AS begin_geldigheid, fe AS eind_geldigheid FROM f
+       UNION ALL SELECT s_id, s_number, s_match, NULL, NULL, gb, ge FROM g
+       UNION ALL SELECT s_id, s_number, s_match, NULL, NULL, NULL, NULL FROM s WHERE s_id NOT IN (SELECT s_id FROM f)""",
+)
+def _(t):
+    return relations.relate_temporal(history.drop_empty_states(_source(t), "b", "e"), _destination(t), STATES, STATES, fill_gaps=True)
+
+
+def _defined(entity_id, **mapping):
+    source = {"name": "S", "application": "F", "entity_id": entity_id}
+    return Definition.from_dict({"catalogue": "c", "entity": "e", "source": source, "mapping": mapping})
+
+
+def _related(definition, extract, name, target, types=None):
+    entity = runner.run(definition, extract, types).entity
+    return relate.relate(definition, entity, {name: target})[name]
+
+
+@check(
+    "j16_relation_by_definition",
+    """SELECT CAST(s_suppkey AS VARCHAR) AS src_id, CAST(NULL AS BIGINT) AS src_volgnummer, CAST(NULL AS VARCHAR) AS bronwaarde,
+              CAST(min(p_partkey) AS VARCHAR) AS dst_id, CAST(NULL AS BIGINT) AS dst_volgnummer,
+              CAST(NULL AS TIMESTAMP) AS begin_geldigheid, CAST(NULL AS TIMESTAMP) AS eind_geldigheid
+       FROM supplier LEFT JOIN part ON s_suppkey + 0.5 > p_partkey * 3 AND s_suppkey + 0.5 < p_partkey * 3 + 2 GROUP BY s_suppkey""",
+)
+def _(t):
+    d = _defined("s_suppkey", geometrie={"source_mapping": "punt"}, ligt_in={"source_mapping": {"bronwaarde": "=geometrie"}})
+    points = t.supplier.select("s_suppkey", F.format_string("POINT (%d.5 1)", F.col("s_suppkey")).alias("punt"))
+    x = F.col("p_partkey") * 3
+    areas = t.part.select("p_partkey", F.format_string("POLYGON ((%1$d 0, %2$d 0, %2$d 2, %1$d 2, %1$d 0))", x, x + 2).alias("vlak"))
+    return _related(d, points, "ligt_in", relate.Destination(areas, "p_partkey", geometry="vlak"))
+
+
+@check(
+    "j17_relation_by_definition",
+    """SELECT CAST(c_custkey AS VARCHAR) AS src_id, CAST(NULL AS BIGINT) AS src_volgnummer, CAST(c_custkey AS VARCHAR) AS bronwaarde,
+              CAST(o_orderkey AS VARCHAR) AS dst_id, CAST(NULL AS BIGINT) AS dst_volgnummer,
+              CAST(NULL AS TIMESTAMP) AS begin_geldigheid, CAST(NULL AS TIMESTAMP) AS eind_geldigheid
+       FROM customer LEFT JOIN orders ON o_custkey = c_custkey""",
+)
+def _(t):
+    d = _defined("c_custkey", nummer={"source_mapping": "c_custkey"}, heeft={"source_mapping": {"bronwaarde": "=nummer"}})
+    return _related(d, t.customer, "heeft", relate.Destination(t.orders, "o_orderkey", "o_custkey"))
+
+
+@check(
+    "j13_relation_by_definition",
+    """SELECT CAST(o.o_orderkey AS VARCHAR) AS src_id, CAST(1 AS BIGINT) AS src_volgnummer, CAST(o.o_custkey AS VARCHAR) AS bronwaarde,
+              CAST(k.c_custkey AS VARCHAR) AS dst_id, CAST(nr AS BIGINT) AS dst_volgnummer,
+              CASE WHEN nr IS NOT NULL THEN greatest(date_trunc('day', o.o_orderdate), k.b) END AS begin_geldigheid,
+              CASE WHEN nr IS NOT NULL THEN k.e END AS eind_geldigheid
+       FROM orders o LEFT JOIN (SELECT c_custkey, 1 AS nr, TIMESTAMP '1990-01-01' AS b, TIMESTAMP '1996-01-01' AS e FROM customer
+                                UNION ALL SELECT c_custkey, 2, TIMESTAMP '1996-01-01', NULL FROM customer) k
+         ON o.o_custkey = k.c_custkey AND (k.e IS NULL OR greatest(date_trunc('day', o.o_orderdate), k.b) < k.e)""",
+)
+def _(t):
+    d = _defined(
+        "o_orderkey",
+        volgnummer={"source_mapping": "nr"},
+        begin_geldigheid={"source_mapping": "dag", "format": "%Y-%m-%d"},
+        van={"source_mapping": {"bronwaarde": "o_custkey"}},
+    )
+    orders = t.orders.select("o_orderkey", F.lit(1).alias("nr"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("dag"), F.col("o_custkey").cast("string").alias("o_custkey"))
+    at = lambda y: F.lit(f"{y}-01-01").cast("timestamp")
+    first = t.customer.select("c_custkey", F.lit(1).alias("nr"), at(1990).alias("b"), at(1996).alias("e"))
+    second = t.customer.select("c_custkey", F.lit(2).alias("nr"), at(1996).alias("b"), F.lit(None).cast("timestamp").alias("e"))
+    target = relate.Destination(first.unionByName(second), "c_custkey", number="nr", begin="b", end="e")
+    return _related(d, orders, "van", target)
+
+
 @check(
     "j17_inverse_by_shared_key",
     """SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN

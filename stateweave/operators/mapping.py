@@ -189,6 +189,13 @@ def force_list_scalar(c: Column, kind: T.DataType) -> Column:
 
 # --- whole entity -----------------------------------------------------------------
 
+def marker_of(spec: Mapping) -> str | None:
+    """What a reference is found by instead of a delivered value: the name after ``=`` in its ``bronwaarde``."""
+    source = spec["source_mapping"]
+    value = source.get(REF) if isinstance(source, Mapping) else None
+    return value[1:] if isinstance(value, str) and value.startswith("=") else None
+
+
 def _split_of(spec: object) -> str | None:
     return spec.get("split") if isinstance(spec, Mapping) else None
 
@@ -207,7 +214,12 @@ def _object_attribute(df: DataFrame, source: Mapping, spec: Mapping, type_: str
         dotted = "." in v and not v.startswith("=") and not _has(df, v)
         return path_list(df, v) if listed and dotted else source_value(df, v)
 
-    parts = {k: apply_filters(value(v), chains[k]) if k in chains else value(v) for k, v in source.items()}
+    # A marker is no value: the relation is found later.
+    marked = marker_of(spec) is not None
+    parts = {
+        k: F.lit(None).cast("string") if marked and k == REF else apply_filters(value(v), chains[k]) if k in chains else value(v)
+        for k, v in source.items()
+    }
     kinds = {k: _kind(df, c) for k, c in parts.items()}
     if spec.get("force_list"):
         return force_list(parts, kinds)
