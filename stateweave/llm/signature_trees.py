@@ -129,7 +129,7 @@ def link_documents(docs: DataFrame, size: int = 3, above: int = 90, below: int =
     the block's first document.  Where a bucket still holds several components,
     the members outside its largest one are joined with all of them.  Joins give
     spanning links only, so a group of n copies costs n rows and no link between
-    components is lost.
+    components is lost.  A block of one part is done when that part is.
 
     Each row gives a row.  Rows that share a doc_id are one node with several
     sets; a null doc_id has no component.  Other columns take no part.
@@ -150,7 +150,7 @@ def link_documents(docs: DataFrame, size: int = 3, above: int = 90, below: int =
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").drop("b")
     blocks = components(buckets.join(leaders, "bucket").select("a", F.col("node").alias("b"))).withColumnsRenamed({"component": "block"})
     taken = rows.join(blocks, rows["doc_id"] == blocks["node"]).select("node", "block", "text")
-    whole = staged(taken.mapInArrow(lambda b: _sets(b, size), "node long, block long, n long, shingles binary"), "sets")
+    whole = staged(taken.mapInArrow(lambda b: _sets(b, size), "node long, block long, n long, shingles binary, bits binary"), "sets")
     inside = staged(_join_blocks(whole, above, below), "links")
     parted = staged(components(inside), "parted")
     left_over = _join_buckets(whole, buckets.join(leaders.select("bucket"), "bucket"), parted, above, below)
@@ -254,19 +254,38 @@ def _sets(batches, size: int):
             piece = batch.slice(at, 500)
             own = [shingles.of(t or "") for t in piece.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("node"), piece.column("block"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())],
-                names=["node", "block", "n", "shingles"],
+                [piece.column("node"), piece.column("block"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([_bitmap(s, _width(len(s))).tobytes() for s in own], pa.binary())],
+                names=["node", "block", "n", "shingles", "bits"],
             )
 
 
+def _width(n: int) -> int:
+    """Bits of a stored bitmap: one to two for each element."""
+    return max(64, 1 << max(1, n).bit_length())
+
+
+def _bitmap(shingles: np.ndarray, width: int) -> np.ndarray:
+    bits = np.zeros(width, np.uint8)
+    bits[(shingles % np.uint64(width)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of fewer bits: those that fall on one are joined."""
+    return np.bitwise_or.reduce(bitmap.reshape(-1, words), axis=0)
+
+
 def _parts(n: str, shingles: str):
     return F.greatest(F.ceil(F.col(n) / PART), F.ceil(F.col(shingles) / SHINGLES)).cast("int")
 
 
+def _block_parts(whole: DataFrame) -> DataFrame:
+    return whole.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).select("block", _parts("rows", "all").alias("parts"))
+
+
 def _join_blocks(whole: DataFrame, above: int, below: int) -> DataFrame:
     """Spanning links within each part of a block, its first document added to every part."""
-    sizes = whole.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).select("block", _parts("rows", "all").alias("parts"))
-    held = whole.join(sizes, "block")
+    held = whole.join(_block_parts(whole), "block")
     own = held.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     first = held.where("node = block AND parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     both = own.union(first).select("block", "part", "node", "shingles")
@@ -274,23 +293,48 @@ def _join_blocks(whole: DataFrame, above: int, below: int) -> DataFrame:
 
 
 def _join_buckets(whole: DataFrame, buckets: DataFrame, parted: DataFrame, above: int, below: int) -> DataFrame:
-    """Spanning links between the components that a bucket holds."""
+    """Spanning links between the components that a bucket of a block of several parts holds."""
+    parted_blocks = _block_parts(whole).where("parts > 1").select("block")
+    whole = whole.join(parted_blocks, "block", "left_semi")
+    buckets = buckets.join(whole.select("node").distinct(), "node", "left_semi")
     named = buckets.join(parted, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     counts = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     open_ = counts.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("several"), F.sum("k").alias("rows")).where("several > 1")
-    members = named.join(open_, "bucket").join(whole.select("node", "n", "shingles"), "node")
-    members = members.withColumn("outside", F.col("component") != F.col("most.component"))
+    members = named.join(open_, "bucket").withColumn("outside", F.col("component") != F.col("most.component"))
+    members = members.select("bucket", "node", "component", "outside")
+    # By bitmaps alone, which of them can have a partner at all; only their sets are sent.
+    drawn = members.join(whole.select("node", "n", "bits"), "node")
+    able = _dealt(drawn, ["component", "n", "bits"]).groupBy("bucket", "i", "j").applyInArrow(lambda t: _able(t, above, below), "bucket long, node long").distinct()
+    rest = members.join(able, ["bucket", "node"]).join(whole.select("node", "n", "shingles"), "node")
+    return _dealt(rest, ["component", "shingles"]).groupBy("bucket", "i", "j").applyInArrow(lambda t: _links(t, above, below), "a long, b long")
+
+
+def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
+    """A bucket's members against those outside its largest component, in parts: each pair meets in one."""
     parts = members.groupBy("bucket").agg(
         F.count("*").alias("r"), F.sum("n").alias("rn"), F.sum(F.col("outside").cast("int")).alias("l"), F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("ln")
     )
-    parts = parts.select("bucket", _parts("r", "rn").alias("i_parts"), _parts("l", "ln").alias("j_parts"))
-    held = members.drop("rows", "several", "most", "k").join(parts, "bucket")
+    parts = parts.where("l > 0").select("bucket", _parts("r", "rn").alias("i_parts"), _parts("l", "ln").alias("j_parts"))
+    held = members.join(parts, "bucket")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["bucket", "i", "j", "node", "component", "shingles"]
+    columns = ["bucket", "i", "j", "node", *columns]
     right = held.withColumn("i", part("i_parts")).withColumn("j", every("j_parts")).select(*columns, F.lit(False).alias("left"))
     left = held.where("outside").withColumn("j", part("j_parts")).withColumn("i", every("i_parts")).select(*columns, F.lit(True).alias("left"))
-    return right.union(left).groupBy("bucket", "i", "j").applyInArrow(lambda t: _links(t, above, below), "a long, b long")
+    return right.union(left)
+
+
+def _able(table: pa.Table, above: int, below: int) -> pa.Table:
+    """Members with a partner in another component whose bitmap does not rule the pair out."""
+    nodes, groups, left = table.column("node").to_numpy(), table.column("component").to_numpy(), table.column("left").to_numpy()
+    sizes = table.column("n").to_numpy()
+    maps = [np.frombuffer(b, np.uint64) for b in table.column("bits").to_pylist()]
+    words = min(map(len, maps))
+    packed = np.stack([_folded(m, words) for m in maps])
+    i, j, _ = _survivors(np.flatnonzero(left), np.flatnonzero(~left), sizes, packed, packed[:, 0], above, below)
+    apart = groups[i] != groups[j]
+    found = np.unique(nodes[np.concatenate([i[apart], j[apart]])])
+    return pa.table({"bucket": pa.array(np.full(len(found), table.column("bucket")[0].as_py()), pa.int64()), "node": pa.array(found, pa.int64())})
 
 
 def _links(table: pa.Table, above: int, below: int) -> pa.Table:
@@ -332,13 +376,33 @@ def _join(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], groups: l
     if not len(left) or not len(right) or not sizes.max():
         return []
     width = 1 << int(np.clip(4 * sizes.max(), 256, 1 << 15)).bit_length()
-    bits = np.zeros((len(sets), width), np.uint8)
-    for i, s in enumerate(sets):
-        bits[i, (s % np.uint64(width)).astype(np.int64)] = 1
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    del bits
-    extra = sizes - np.bitwise_count(packed).sum(1)
+    packed = np.stack([_bitmap(s, width) for s in sets])
     low = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
+    i, j, bound = _survivors(left, right, sizes, packed, low, above, below)
+    parent = {g: g for g in groups}
+
+    def root(g):
+        while parent[g] != g:
+            parent[g] = g = parent[parent[g]]
+        return g
+
+    links = []
+    for k in np.argsort(-(bound / np.maximum(1, sizes[i] + sizes[j])), kind="stable"):
+        a, b = int(i[k]), int(j[k])
+        ra, rb = root(groups[a]), root(groups[b])
+        if ra != rb and sizes[a] and sizes[b]:
+            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if below * shared >= above * (sizes[a] + sizes[b] - shared):
+                parent[ra] = rb
+                links.append((a, b))
+    return links
+
+
+def _survivors(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, packed: np.ndarray, low: np.ndarray, above: int, below: int):
+    """(i, j, most) of the pairs that the trees' dual traversal leaves: at most ``most`` elements are shared."""
+    if not len(left) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    extra = sizes - np.bitwise_count(packed).sum(1)
     trees = [_Tree(side[np.lexsort((low[side], sizes[side]))], sizes, packed, extra) for side in (left, right)]
     x = y = np.zeros(1, np.int64)
     deep = [len(t.levels) - 1 for t in trees]
@@ -369,21 +433,4 @@ def _join(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], groups: l
             if n is not None:
                 fits &= at < n
         x, y = xs[fits], ys[fits]
-    i, j = trees[0].rows[x], trees[1].rows[y]
-    parent = {g: g for g in groups}
-
-    def root(g):
-        while parent[g] != g:
-            parent[g] = g = parent[parent[g]]
-        return g
-
-    links = []
-    for k in np.argsort(-(bound / np.maximum(1, sizes[i] + sizes[j])), kind="stable") if len(x) else ():
-        a, b = int(i[k]), int(j[k])
-        ra, rb = root(groups[a]), root(groups[b])
-        if ra != rb and sizes[a] and sizes[b]:
-            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if below * shared >= above * (sizes[a] + sizes[b] - shared):
-                parent[ra] = rb
-                links.append((a, b))
-    return links
+    return trees[0].rows[x], trees[1].rows[y], bound
