@@ -62,6 +62,23 @@ def op4_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_spans.remove_repeated_spans(docs).select("doc_id", "kept.n_words", "kept.n_removed", sha256(F.col("kept.text")).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT d, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS win FROM (SELECT d, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+),
+several AS (SELECT win FROM starts GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT d, unnest(range(i, i + 35)) AS p FROM starts JOIN several USING (win)),
+words AS (SELECT d, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (
+  SELECT x.d, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE g.p IS NULL) AS t
+  FROM words x LEFT JOIN gone g ON g.d = x.d AND g.p = x.p GROUP BY x.d
+)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (d)
+"""
+
+
 def op5_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held = brown.held_out("doc_id", 5, 0)
@@ -110,6 +127,24 @@ def op7_signature_trees(spark: SparkSession, folder: str) -> DataFrame:
     return signature_trees.link_documents(table(spark, folder, "documents"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+),
+sets AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                          ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM docs)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.least_id AS component_id
+FROM documents d JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) c ON c.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -164,4 +199,10 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-SQL = {"op3_line_windows": OP3_SQL, "op6_aho_corasick": OP6_SQL, "op10_pivot_range_join": OP10_SQL}
+SQL = {
+    "op3_line_windows": OP3_SQL,
+    "op4_suffix_automata": OP4_SQL,
+    "op6_aho_corasick": OP6_SQL,
+    "op7_signature_trees": OP7_SQL,
+    "op10_pivot_range_join": OP10_SQL,
+}
