@@ -49,7 +49,7 @@ FRAME_TAGS = frozenset(("#root", "html", "body"))
 #: Elements made for running text; others (div, section, list and table parts) say nothing by their tag.
 TEXT_TAGS = frozenset("#text p h1 h2 h3 h4 h5 h6 pre blockquote figcaption dd".split())
 
-#: Pages the model is fitted on, chosen by the hash of their id.
+#: Pages the model is fitted on, about, chosen by a hash.
 TRAINING_PAGES = 2000
 #: Pseudo-counts with which the words and tags above enter the fitted counts.
 PRIOR = 50.0
@@ -216,12 +216,14 @@ COUNTS = StructType([StructField("what", StringType()), StructField("state", Int
 def fit(pages: DataFrame, html_column: str = "html", key: str = "page_id", limit: int = TRAINING_PAGES) -> dict[str, list[float]]:
     """Log potentials from labelled pages: each feature given the state, and a child's state given its parent's.
 
-    Labels come from the pages' own article and main regions.  The ``limit``
-    pages of least id hash are read; the table of counts has one row for each
-    feature and state, whatever the number of pages.
+    Labels come from the pages' own article and main regions.  About ``limit``
+    pages are read, chosen by a hash of id and page where they lie; the table of
+    counts has one row for each feature and state, whatever the number of pages.
     """
-    sample = pages.where(F.col(html_column).contains("<article") | F.col(html_column).contains("<main")).select(F.col(html_column).alias("html"), F.xxhash64(key, html_column).alias("h"))
-    sample = sample.orderBy("h").limit(limit).repartition(8, "h")
+    n = pages.count()
+    share = int((1 << 30) * min(1.0, limit / max(1, n)))
+    labelled = F.col(html_column).contains("<article") | F.col(html_column).contains("<main")
+    sample = pages.where(labelled & (F.pmod(F.xxhash64(key, html_column), F.lit(1 << 30)) < share)).select(F.col(html_column).alias("html"))
 
     def count(batches):
         total: Counter = Counter()
