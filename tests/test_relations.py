@@ -3,7 +3,6 @@ import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from stateweave.operators import relations, spatial
 from stateweave.operators.relations import Side
