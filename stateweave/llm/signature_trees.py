@@ -149,8 +149,13 @@ def link_documents(docs: DataFrame, size: int = 3, above: int = 90, below: int =
     )
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").drop("b")
     blocks = components(buckets.join(leaders, "bucket").select("a", F.col("node").alias("b"))).withColumnsRenamed({"component": "block"})
-    taken = rows.join(blocks, rows["doc_id"] == blocks["node"]).select("node", "block", "text")
-    whole = staged(taken.mapInArrow(lambda b: _sets(b, size), "node long, block long, n long, shingles binary, bits binary"), "sets")
+    # Sizes are known before the sets are made, so these carry their part along.
+    members = blocks.join(sets.select(F.col("doc_id").alias("node"), "n"), "node")
+    parts = members.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).select("block", _parts("rows", "all").alias("parts"))
+    members = staged(blocks.join(parts, "block"), "blocks")
+    # They grow with the corpus: they meet the texts in a shuffle at every size and are never broadcast.
+    taken = rows.join(members.hint("merge"), rows["doc_id"] == members["node"]).select("node", "block", "parts", "text")
+    whole = staged(taken.mapInArrow(lambda b: _sets(b, size), "node long, block long, parts int, n long, shingles binary, bits binary"), "sets")
     inside = staged(_join_blocks(whole, above, below), "links")
     parted = staged(components(inside), "parted")
     left_over = _join_buckets(whole, buckets.join(leaders.select("bucket"), "bucket"), parted, above, below)
@@ -254,8 +259,8 @@ def _sets(batches, size: int):
             piece = batch.slice(at, 500)
             own = [shingles.of(t or "") for t in piece.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("node"), piece.column("block"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([_bitmap(s, _width(len(s))).tobytes() for s in own], pa.binary())],
-                names=["node", "block", "n", "shingles", "bits"],
+                [piece.column("node"), piece.column("block"), piece.column("parts"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([_bitmap(s, _width(len(s))).tobytes() for s in own], pa.binary())],
+                names=["node", "block", "parts", "n", "shingles", "bits"],
             )
 
 
@@ -279,13 +284,9 @@ def _parts(n: str, shingles: str):
     return F.greatest(F.ceil(F.col(n) / PART), F.ceil(F.col(shingles) / SHINGLES)).cast("int")
 
 
-def _block_parts(whole: DataFrame) -> DataFrame:
-    return whole.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).select("block", _parts("rows", "all").alias("parts"))
-
-
 def _join_blocks(whole: DataFrame, above: int, below: int) -> DataFrame:
     """Spanning links within each part of a block, its first document added to every part."""
-    held = whole.join(_block_parts(whole), "block")
+    held = whole.drop("n", "bits")
     own = held.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     first = held.where("node = block AND parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     both = own.union(first).select("block", "part", "node", "shingles")
@@ -294,8 +295,7 @@ def _join_blocks(whole: DataFrame, above: int, below: int) -> DataFrame:
 
 def _join_buckets(whole: DataFrame, buckets: DataFrame, parted: DataFrame, above: int, below: int) -> DataFrame:
     """Spanning links between the components that a bucket of a block of several parts holds."""
-    parted_blocks = _block_parts(whole).where("parts > 1").select("block")
-    whole = whole.join(parted_blocks, "block", "left_semi")
+    whole = whole.where("parts > 1")
     buckets = buckets.join(whole.select("node").distinct(), "node", "left_semi")
     named = buckets.join(parted, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     counts = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
