@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from stateweave.llm.block_dictionary import SLOT, assemble, blocks, by_rank, by_slot, cut_words, join_words, pack, slots_of, unpack
+from stateweave.llm.block_dictionary import SLOT, WORD, assemble, blocks, by_rank, by_slot, cut_words, join_words, pack, slots_of, unpack
 from stateweave.llm.common import arrow_schema, staged
 
-#: Words with at least this share of the training tokens are clustered one by one: 1 / SHARE of them at most.
+#: The start: words with at least this share of the training tokens are clustered one by one, 1 / SHARE of them at most,
 SHARE = 1 / 5000
-#: The others are clustered by their last letters, hashed to so many spellings.
+#: and the others by their last letters, hashed to so many spellings. Then every word moves by itself.
 SPELLINGS = 256
-CLASSES, SWEEPS = 64, 4
+#: Classes, sweeps over the units of the start, and the rise (nats a token, in a sweep over all words) below which the likelihood stands still.
+CLASSES, SWEEPS, RISE = 64, 4, 1e-3
+#: Words whose counts are laid out at a time.
+TOGETHER = 1 << 13
 #: The weight of a class's own share in its transitions.
 BACKOFF = 8.0
 #: The end of a text: unit 0 and the only one of class 0. No word holds white space.
@@ -31,7 +35,7 @@ def split_words(text: str) -> list[bytes]:
 
 @dataclass
 class Units:
-    """Which unit a word belongs to: the frequent words each, the rest by spelling."""
+    """Which unit a word starts from: the frequent words each, the rest by spelling."""
 
     frequent: dict[bytes, int]
 
@@ -49,15 +53,16 @@ class Units:
 
 @dataclass
 class Model:
-    """What scoring needs besides the words' counts: nothing here grows with the corpus but ``tokens`` and ``types`` as numbers."""
+    """What scoring needs besides the words' counts: nothing here grows with the corpus but ``tokens`` and ``types`` as numbers, and ``words`` as a table."""
 
     units: Units
-    classes: np.ndarray  # of each unit
+    classes: np.ndarray  # of each frequent word; of a spelling, where most of its words are, for words never seen
     transition: np.ndarray  # log10, from the row's class to the column's
     room: np.ndarray  # log10 of each class's tokens + types + 1
     tokens: int
     types: int
     ends: int
+    words: DataFrame | None = None  # (block, pack): the class of each word seen in training, by block
 
 
 def count_words(docs: DataFrame, training: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -93,13 +98,15 @@ def vocabulary(counted: DataFrame) -> DataFrame:
 
 
 def learn(counted: DataFrame, training: str, share: float = SHARE, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
-    """Exchange clustering over all training texts.
-
-    Frequent words are units of their own and the others units by spelling, so
-    a bounded number of units takes part whatever the corpus, and every word
-    and every bigram of the training texts counts in one.  In each sweep all
-    units weigh, against the classes as they stand, the gain in likelihood of
-    every class; half of them move, so that neighbours don't chase each other.
+    """Exchange clustering of all words of the training texts.
+
+    A start is found among units, the frequent words each and the others by
+    spelling.  Then every word stands for itself: each sweep counts what classes
+    stand before and after it in all training texts, and it weighs, against the
+    classes as they stand, the gain in likelihood of every class.  Half of the
+    words move in a sweep, so that neighbours don't chase each other.  Sweeps go
+    on until the likelihood stops rising; the best classes met are kept.  Counts
+    and classes of words meet by hash and by block, and no task holds them all.
     """
     words = vocabulary(counted)
     spark = counted.sparkSession
@@ -114,9 +121,8 @@ def learn(counted: DataFrame, training: str, share: float = SHARE, classes: int
     for r in words.mapInArrow(lambda bs: _unit_sizes(bs, shared.value), "unit int, tokens long, types long").groupBy("unit").agg(F.sum("tokens"), F.sum("types")).collect():
         sizes[r[0]] = r[1], r[2]
     sizes[0] = ends, int(ends > 0)
-    pairs = staged(
-        assemble(counted, lambda: _Pairs(shared.value, training), _PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams"
-    )
+    held = staged(assemble(counted, lambda: _Blocks(shared.value, training), _BLOCK), "bigrams")
+    pairs = staged(held.mapInArrow(lambda bs: _unit_pairs(bs, shared.value.size), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "units")
     of = _first_classes(sizes[:, 0], classes)
     matrix = None
     for sweep in range(sweeps + 1):
@@ -128,7 +134,37 @@ def learn(counted: DataFrame, training: str, share: float = SHARE, classes: int
             matrix[r[0], r[1]] = r[2]
         if sweep < sweeps:
             of = _sweep(both, of, matrix, sweep)
-    return _model(units, of, matrix, sizes, tokens, types, ends, classes)
+    first = spark.sparkContext.broadcast(of)
+    states = held.select("block", "words").mapInArrow(lambda bs: _first_states(bs, first.value), "block long, pack binary")
+    best, seen = None, []
+    while True:
+        counts = _word_counts(states, held, classes, slots_of(spark)).persist(StorageLevel.DISK_ONLY)
+        matrix = np.zeros((classes, classes))
+        for r in counts.where("slot < 0").groupBy("a", "b").agg(F.sum("n")).collect():
+            matrix[r[0], r[1]] = r[2]
+        seen.append(_likelihood(matrix))
+        if best is None or seen[-1] > best[0]:
+            best = seen[-1], matrix, states, len(seen) > 1
+        # Either half has had its turn and little came of it.
+        if not tokens or len(seen) > 2 and seen[-1] - seen[-3] < 2 * RISE * tokens:
+            counts.unpersist()
+            break
+        moved = staged(_move_words(counts, matrix, len(seen) % 2), "classes")
+        counts.unpersist()
+        states = moved
+    _, matrix, states, moved = best
+    # Types of each unit by class: a frequent word is one type, in its class.
+    own = np.zeros((units.size, classes), np.int64)
+    if moved:
+        for r in states.where("block < 0").groupBy("unit", "class").agg(F.sum("types")).collect():
+            own[r[0], r[1]] = r[2]
+    else:
+        own[np.arange(units.size), of] = sizes[:, 1]
+    own[0] = 0
+    own[0, 0] = int(ends > 0)
+    of = np.where(own.any(1), own.argmax(1), of)
+    of[0] = 0
+    return _model(units, of, matrix, own.sum(0), tokens, types, ends, states.where("block >= 0").select("block", "pack"))
 
 
 def _unit_sizes(batches, units: Units):
@@ -141,33 +177,188 @@ def _unit_sizes(batches, units: Units):
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(tokens[found]), pa.array(types[found].astype(np.int64))], names=["unit", "tokens", "types"])
 
 
-_PAIRS = StructType([StructField("a", IntegerType()), StructField("b", IntegerType()), StructField("n", LongType())])
+_BLOCK = StructType([StructField("block", LongType()), StructField("words", BinaryType()), StructField("pairs", BinaryType())])
 
 
-class _Pairs:
-    """Counts bigrams of units in a block's training documents."""
+class _Blocks:
+    """A block's words that training texts hold (rank, key, unit), and its bigrams (a, b, n) by rank + 1; 0 is the end."""
 
     def __init__(self, units: Units, training: str):
-        self.units, self.training, self.counts = units, training, []
+        self.units, self.training = units, training
 
     def words(self, packs: list[bytes]) -> None:
-        self.unit = _units_by_rank(self.units, packs)
+        import xxhash
+
+        self.counts, held = [], []
+        for packed in packs:
+            rank, n, lengths, joined = unpack(packed, "<u4", "<i8", "<u4", "")
+            words = cut_words(lengths, joined)
+            key = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            held.append([x[n > 0] for x in (rank, key, self.units.of(words))])
+        rank, key, unit = map(np.concatenate, zip(*held)) if held else (np.zeros(0, k) for k in (np.uint32, np.uint64, np.int32))
+        rank, at = np.unique(rank, return_index=True)  # a block that came twice lists its words twice
+        self.own = pack(rank, key[at], unit[at])
 
     def documents(self, batch: pa.RecordBatch, sequences: list[np.ndarray]):
+        self.block = batch.column("block")[0].as_py()
         own = [s for s, m in zip(sequences, batch.column(self.training).to_pylist()) if m]
         if own:
-            line = _with_ends(self.unit, own)
-            codes = line[:-1].astype(np.int64) * self.units.size + line[1:]
-            self.counts.append(np.unique(codes, return_counts=True))
+            end = np.zeros(1, np.int64)
+            line = np.concatenate([end, *(x for s in own for x in (s.astype(np.int64) + 1, end))])
+            self.counts.append(np.unique((line[:-1] << 32) | line[1:], return_counts=True))
         return ()
 
     def end(self):
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if self.counts:
             codes, where = np.unique(np.concatenate([c for c, _ in self.counts]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([n for _, n in self.counts])).astype(np.int64)
-            self.counts = []
-            size = self.units.size
-            yield pa.RecordBatch.from_arrays([pa.array((codes // size).astype(np.int32)), pa.array((codes % size).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+            n = np.bincount(where, np.concatenate([n for _, n in self.counts]))
+        self.counts = []
+        pairs = pack((codes >> 32).astype(np.uint32), (codes & 0xFFFFFFFF).astype(np.uint32), n.astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array([self.block], pa.int64()), pa.array([self.own], pa.binary()), pa.array([pairs], pa.binary())], names=_BLOCK.names)
+
+
+def _by_place(size: int, rank: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values at rank + 1, the end's 0 first."""
+    out = np.zeros(size, np.int64)
+    out[rank.astype(np.int64) + 1] = values
+    return out
+
+
+def _places(rank: np.ndarray, *sides: np.ndarray) -> int:
+    return max([1, *(int(x.max()) + 1 for x in sides if len(x)), *([int(rank.max()) + 2] if len(rank) else [])])
+
+
+def _unit_pairs(batches, units: int):
+    """Bigrams of units from a block's bigrams."""
+    for batch in batches:
+        for words, pairs in zip(batch.column("words").to_pylist(), batch.column("pairs").to_pylist()):
+            rank, _, unit = unpack(words, "<u4", "<u8", "<i4")
+            a, b, n = unpack(pairs, "<u4", "<u4", "<u4")
+            of = _by_place(_places(rank, a, b), rank, unit)
+            codes, where = np.unique(of[a] * units + of[b], return_inverse=True)
+            n = np.bincount(where, n, minlength=len(codes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((codes // units).astype(np.int32)), pa.array((codes % units).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+
+
+def _first_states(batches, of: np.ndarray):
+    """A block's words with the class of their unit: rank, key, unit, class."""
+    for batch in batches:
+        packs = []
+        for words in batch.column("words").to_pylist():
+            rank, key, unit = unpack(words, "<u4", "<u8", "<i4")
+            packs.append(pack(rank, key, unit, of[unit].astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packs, pa.binary())], names=["block", "pack"])
+
+
+_COUNTS = "slot int, block long, pack binary, a int, b int, n long"
+
+
+def _word_counts(states: DataFrame, held: DataFrame, classes: int, slots: int) -> DataFrame:
+    """What classes stand after and before each word, by block, packed for the slot of the word; and the bigrams of classes (slot -1)."""
+    own = states.where("block >= 0").select("block", F.lit(0).alias("kind"), "pack")
+    rows = own.union(held.select("block", F.lit(1), F.col("pairs")))
+
+    def run(batches):
+        block, packs = None, []
+        for batch in batches:
+            for b, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "pack"))):
+                if b != block:
+                    block, packs = b, []
+                if kind:
+                    yield from _count_block(block, packs, packed, classes, slots)
+                else:
+                    packs.append(packed)
+
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, _COUNTS)
+
+
+def _count_block(block: int, packs: list[bytes], pairs: bytes, classes: int, slots: int):
+    parts = [unpack(p, "<u4", "<u8", "<i4", "<u1") for p in packs] or [[np.zeros(0, k) for k in (np.uint32, np.uint64, np.int32, np.uint8)]]
+    rank, key, unit, own = map(np.concatenate, zip(*parts))
+    a, b, n = (x.astype(np.int64) for x in unpack(pairs, "<u4", "<u4", "<u4"))
+    size, width = _places(rank, a, b), 2 * classes + 1
+    of = _by_place(size, rank, own)
+    matrix = np.bincount(of[a] * classes + of[b], n, minlength=classes**2).astype(np.int64)
+    at = np.flatnonzero(matrix)
+    nothing = [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())]
+    numbers = [pa.array((at // classes).astype(np.int32)), pa.array((at % classes).astype(np.int32)), pa.array(matrix[at])]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), *nothing, *numbers], names=["slot", "block", "pack", "a", "b", "n"])
+    # Entries (place of the word, code, n) in the order of places; bigrams come in the order of ``a``.
+    by_b = np.argsort(b, kind="stable")
+    before, after = (b[by_b], classes + of[a[by_b]], n[by_b]), (a, of[b], n)
+    twice = a == b
+    self = a[twice], np.full(int(twice.sum()), 2 * classes), n[twice]
+    place, code, number = [], [], []
+    for low in range(0, size, TOGETHER):
+        some = [[x[slice(*np.searchsorted(side[0], (low, low + TOGETHER)))] for x in side] for side in (after, before, self)]
+        w, c, k = (np.concatenate(x) for x in zip(*some))
+        dense = np.bincount((w - low) * width + c, k)
+        found = np.flatnonzero(dense)
+        place.append(low + found // width)
+        code.append((found % width).astype(np.uint16))
+        number.append(dense[found].astype(np.uint32))
+    place, code, number = map(np.concatenate, (place, code, number))
+    many = np.bincount(place, minlength=size)
+    start = np.cumsum(many) - many
+    slot = (key % np.uint64(slots)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    for p in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(order) else []:
+        at = rank[p].astype(np.int64) + 1
+        k = many[at]
+        e = np.repeat(start[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        packed = pack(rank[p], key[p], unit[p], own[p], k.astype(np.uint16), code[e], number[e])
+        nothing = [pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([int(slot[p[0]])], pa.int32()), pa.array([block], pa.int64()), pa.array([packed], pa.binary()), *nothing], names=["slot", "block", "pack", "a", "b", "n"])
+
+
+def _move_words(counts: DataFrame, matrix: np.ndarray, half: int) -> DataFrame:
+    """New classes of the words of one half, back to their blocks; and types by unit and class (block -1)."""
+    shared = counts.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        slot, held = None, []
+        for batch in batches:
+            for s, b, p in zip(*(batch.column(c).to_pylist() for c in ("slot", "block", "pack"))):
+                if s != slot and held:
+                    yield from _move_slot(held, shared.value, half)
+                    held = []
+                slot = s
+                held.append((b, p))
+        if held:
+            yield from _move_slot(held, shared.value, half)
+
+    rows = counts.where("slot >= 0").select("slot", "block", "pack")
+    return rows.repartition("slot").sortWithinPartitions("slot", "block").mapInArrow(run, "block long, pack binary, unit int, class int, types long")
+
+
+def _move_slot(held: list[tuple[int, bytes]], matrix: np.ndarray, half: int):
+    classes, width = len(matrix), 2 * len(matrix) + 1
+    parts = [unpack(p, "<u4", "<u8", "<i4", "<u1", "<u2", "<u2", "<u4") for _, p in held]
+    key, unit, own, many, code, n = (np.concatenate([x[i] for x in parts]) for i in range(1, 7))
+    keys, first, where = np.unique(key, return_index=True, return_inverse=True)
+    old = own[first].astype(np.int64)
+    word = np.repeat(where, many)
+    order = np.argsort(word, kind="stable")
+    word, code, n = word[order], code[order].astype(np.int64), n[order]
+    new, turn = old.copy(), (keys >> np.uint64(40)) % np.uint64(2) == half
+    for low in range(0, len(keys), TOGETHER):
+        high = min(len(keys), low + TOGETHER)
+        i, j = np.searchsorted(word, (low, high))
+        dense = np.bincount((word[i:j] - low) * width + code[i:j], n[i:j], minlength=(high - low) * width).reshape(-1, width)
+        at = np.flatnonzero(turn[low:high])
+        sides = dense[at]
+        new[low + at] = _best_classes(matrix, old[low + at], sides[:, :classes], sides[:, classes:-1], sides[:, -1])
+    of, at, packs = new[where].astype(np.uint8), 0, []
+    for p in parts:
+        packs.append(pack(p[0], p[1], p[2], of[at : at + len(p[0])]))
+        at += len(p[0])
+    names, none = ["block", "pack", "unit", "class", "types"], lambda k, *kinds: [pa.nulls(k, t) for t in kinds]
+    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array(packs, pa.binary()), *none(len(held), pa.int32(), pa.int32(), pa.int64())], names=names)
+    kinds, types = np.unique(unit[first].astype(np.int64) * classes + new, return_counts=True)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(kinds), -1)), *none(len(kinds), pa.binary()), pa.array((kinds // classes).astype(np.int32)), pa.array((kinds % classes).astype(np.int32)), pa.array(types.astype(np.int64))], names=names
+    )
 
 
 def _units_by_rank(units: Units, packs: list[bytes]) -> np.ndarray:
@@ -180,14 +371,6 @@ def _units_by_rank(units: Units, packs: list[bytes]) -> np.ndarray:
     return by_rank(np.concatenate(ranks), np.concatenate(own))
 
 
-def _with_ends(values: np.ndarray, sequences: list[np.ndarray]) -> np.ndarray:
-    """The units of documents one after another, an end (0) before the first and after each."""
-    parts = [np.zeros(1, np.int32)]
-    for s in sequences:
-        parts += [values[s], parts[0]]
-    return np.concatenate(parts)
-
-
 def _first_classes(tokens: np.ndarray, classes: int) -> np.ndarray:
     """The end alone; the most frequent units a class each, the others in turn."""
     of = np.zeros(len(tokens), np.int64)
@@ -244,13 +427,49 @@ def _best_class(matrix: np.ndarray, own: int, after: np.ndarray, before: np.ndar
     return best if gain[best] > gain[own] + 1e-9 else own
 
 
-def _model(units, of, matrix, sizes, tokens, types, ends, classes) -> Model:
-    n, v = np.zeros(classes), np.zeros(classes)
-    np.add.at(n, of, sizes[:, 0])
-    np.add.at(v, of, sizes[:, 1])
+def _best_classes(matrix: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, self: np.ndarray) -> np.ndarray:
+    """``_best_class`` of many words; of a word only the classes that stand beside it are looked at."""
+    if not len(own):
+        return own
+    words, every = np.arange(len(own)), np.arange(len(matrix))
+    after, before = after.copy(), before.copy()
+    after[words, own] -= self
+    before[words, own] -= self
+    gain = np.zeros(after.shape)
+    for side, other, n in ((after, before, matrix.T), (before, after, matrix)):
+        w, c = np.nonzero(side)
+        if not len(w):
+            continue
+        k = side[w, c]
+        left = n[c]  # of the class beside the word with every class, the word itself taken out
+        left[np.arange(len(w)), own[w]] -= k
+        same = c == own[w]
+        left[same] -= other[w[same]]
+        left[same, c[same]] -= self[w[same]]
+        starts = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[starts]] += np.add.reduceat(_xlogx(left + k[:, None]) - _xlogx(left), starts)
+    is_own = own[:, None] == every[None, :]
+    at = np.diag(matrix)[None, :] - is_own * (after + before + self[:, None])
+    gain += _xlogx(at + after + before + self[:, None]) + _xlogx(at) - _xlogx(at + after) - _xlogx(at + before)
+    for side, total in ((after, matrix.sum(1)), (before, matrix.sum(0))):
+        n = (side.sum(1) + self)[:, None]
+        rest = total[None, :] - is_own * n
+        gain -= _xlogx(rest + n) - _xlogx(rest)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
+
+
+def _likelihood(matrix: np.ndarray) -> float:
+    """What the classes' bigrams add to the log likelihood of the training texts, in nats."""
+    return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(0)).sum() - _xlogx(matrix.sum(1)).sum())
+
+
+def _model(units, of, matrix, v, tokens, types, ends, words) -> Model:
+    n, classes = matrix.sum(0), len(matrix)  # each token follows one
     share = (n + 1) / (n.sum() + classes)
     transition = (matrix + BACKOFF * share[None, :]) / (matrix.sum(1, keepdims=True) + BACKOFF)
-    return Model(units, of, np.log10(transition), np.log10(n + v + 1), tokens, types, ends)
+    return Model(units, of, np.log10(transition), np.log10(n + v + 1), tokens, types, ends, words)
 
 
 def score(counted: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -265,8 +484,19 @@ def score(counted: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     names = [("n_tokens", LongType()), ("n_known", LongType()), ("train_tokens", LongType()), ("base_score", DoubleType()), ("score", DoubleType()), ("perplexity", DoubleType())]
     schema = StructType([*(f for f in counted.schema.fields if f.name in held), *(StructField(n, k) for n, k in names)])
     arrow = arrow_schema(schema)
-    shared = counted.sparkSession.sparkContext.broadcast(model)
-    return assemble(counted, lambda: _Scores(shared.value, arrow), schema)
+    shared = counted.sparkSession.sparkContext.broadcast(replace(model, words=None))
+    # The classes go to their block as words without spelling do, and counts below 0 tell them.
+    own = model.words.mapInArrow(_class_packs, "block long, pack binary").select(F.lit(WORD).alias("kind"), F.lit(-1).alias("slot"), "block", "pack")
+    return assemble(counted.unionByName(own, allowMissingColumns=True), lambda: _Scores(shared.value, arrow), schema)
+
+
+def _class_packs(batches):
+    for batch in batches:
+        packs = []
+        for packed in batch.column("pack").to_pylist():
+            rank, _, _, own = unpack(packed, "<u4", "<u8", "<i4", "<u1")
+            packs.append(pack(rank, -1 - own.astype(np.int64), *join_words([])))
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packs, pa.binary())], names=["block", "pack"])
 
 
 class _Scores:
@@ -275,9 +505,13 @@ class _Scores:
 
     def words(self, packs: list[bytes]) -> None:
         parts = [unpack(p, "<u4", "<i8", "<u4", "")[:2] for p in packs] or [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
-        self.count = by_rank(*map(np.concatenate, zip(*parts)))
+        classed = [len(n) > 0 and n[0] < 0 for _, n in parts]
+        named = [p for p, c in zip(packs, classed) if not c]
+        self.count = by_rank(*map(np.concatenate, zip(*(p for p, c in zip(parts, classed) if not c))))
         self.log = np.log10(self.count + 1.0)
-        self.of = self.model.classes[_units_by_rank(self.model.units, packs)].astype(np.int32)
+        self.of = self.model.classes[_units_by_rank(self.model.units, named)].astype(np.int32)
+        for rank, n in (p for p, c in zip(parts, classed) if c):
+            self.of[rank] = -1 - n
 
     def documents(self, batch: pa.RecordBatch, sequences: list[np.ndarray]):
         m, rows = self.model, []

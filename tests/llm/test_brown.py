@@ -76,6 +76,40 @@ def test_exchange_gain_by_brute_force():
         assert gains[best - 1] == pytest.approx(max(gains))
 
 
+def test_gains_of_many_words_equal_one_by_one():
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(0, 4, (40, 40)) * (rng.random((40, 40)) < 0.3)
+    of = np.concatenate(([0], rng.integers(1, 6, 39)))
+    onto = np.eye(6)[of]
+    matrix = onto.T @ pairs @ onto
+    own, after, before, self = of[1:], (pairs @ onto)[1:], (pairs.T @ onto)[1:], np.diag(pairs)[1:].astype(float)
+    want = [brown._best_class(matrix, int(o), x.copy(), y.copy(), z) for o, x, y, z in zip(own, after, before, self)]
+    assert brown._best_classes(matrix, own, after, before, self).tolist() == want
+
+
+def test_rare_words_are_classed_by_neighbours(spark):
+    """Rare words of one ending, and so of one spelling, part by what stands beside them."""
+    rows = []
+    for i in range(60):
+        rows += [f"the red x{i}zzz runs fast", f"we often y{i}zzz under trees"] * 2
+        rows += ["the red car runs fast", "the red bus runs fast", "we often sing under trees", "we often walk under trees"]
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(rows)], "doc_id long, text string, training boolean").repartition(3)
+    counted = brown.count_words(docs, "training", ["doc_id", "training"])
+    model = brown.learn(counted, "training", share=1 / 60, classes=14)
+    blocks = {}
+    for r in counted.where(F.col("kind") == brown.WORD).collect():
+        rank, _, lengths, joined = brown.unpack(r.pack, "<u4", "<i8", "<u4", "")
+        blocks.setdefault(r.block, {}).update(zip(rank.tolist(), brown.cut_words(lengths, joined)))
+    found = {}
+    for r in model.words.collect():
+        rank, _, _, own = brown.unpack(r.pack, "<u4", "<u8", "<i4", "<u1")
+        for k, c in zip(rank.tolist(), own.tolist()):
+            assert found.setdefault(blocks[r.block][k], c) == c
+    assert len(found) == model.types - 1
+    x, y = ({c for w, c in found.items() if w.startswith(first) and w.endswith(b"zzz")} for first in (b"x", b"y"))
+    assert not x & y
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b", False), (2, None, None)], "doc_id long, text string, training boolean")
     rows = {r.doc_id: r for r in brown.score_texts(df, ["doc_id"], "training").collect()}
