@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -164,18 +166,21 @@ def remove_repeated_spans(docs: DataFrame, size: int = 35, text: str = "text", k
     its number, in shards of bounded size, and the documents' passages stream
     through each shard's automaton.  The reference grows with the corpus, so its
     shards go to where the passages that can match them are, and not to all
-    tasks.
+    tasks.  An anchor with more places than one automaton takes is dealt on by
+    the md5 of each whole window, equal ones counted before they are sent, so a
+    common line in differing contexts spreads over the slots.
     """
     spark = docs.sparkSession
     slots = slots_of(spark)
+    hot = max(2, SHARD_WORDS // (2 * size - (size + 1) // 2))  # passages of one automaton
     base = docs.select(*keep, F.col(text).alias("__text")).withColumn("__row", F.xxhash64(*(F.col(c).cast("string") for c in keep), "__text"))
     plain = base.select(F.col("__row").alias("row"), F.col("__text").alias("text")).where("text IS NOT NULL")
     anchors = plain.mapInArrow(lambda b: _send_anchors(b, size, slots), "slot int, pack binary")
-    places = staged(anchors.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda b: _by_slot(b, _shared_anchors), "row long, anchor long, first int, last int"), "anchors")
+    places = staged(anchors.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda b: _by_slot(b, lambda p: _shared_anchors(p, hot)), "row long, anchor long, first int, last int, hot boolean"), "anchors")
     # A row's own places: no more than its text has words.
-    own = places.distinct().groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("places"))
+    own = places.distinct().groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", "hot")).alias("places"))
     passages = plain.join(own, "row").mapInArrow(lambda b: _send_passages(b, size, slots), "slot int, pack binary")
-    spans = staged(passages.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda b: _by_slot(b, lambda p: _repeated(p, size)), "row long, start int, end int"), "spans")
+    spans = staged(passages.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda b: _by_slot(b, lambda p: _spans_of_slot(p, size)), "row long, start int, end int"), "spans")
     gone = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("__gone"))
     held = base.join(gone, base["__row"] == gone["row"], "left").select(*keep, "__text", "__gone")
     schema = StructType([*(held.schema[c] for c in keep if c != result), StructField(result, SPANS)])
@@ -220,30 +225,63 @@ def _by_slot(batches, each):
         yield from each(held)
 
 
-def _shared_anchors(packs: list[bytes]):
+def _shared_anchors(packs: list[bytes], hot: int):
     anchor, row, first, last = (np.concatenate(x) for x in zip(*(unpack(p, "<u8", "<i8", "<i4", "<i4") for p in packs)))
     order = np.argsort(anchor, kind="stable")
     same = anchor[order][1:] == anchor[order][:-1]
-    several = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) > 1 else order[:0]
+    starts = np.flatnonzero(np.concatenate(([True], ~same)))[: len(order)]
+    many = np.diff(np.append(starts, len(order)))
+    many = np.repeat(many, many)  # places of the anchor, in the order of ``order``
+    several, many = order[many > 1], many[many > 1]
     for at in range(0, len(several), 1 << 16):
         p = several[at : at + (1 << 16)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(row[p]), pa.array(anchor[p].view(np.int64)), pa.array(first[p]), pa.array(last[p])], names=["row", "anchor", "first", "last"]
+            [pa.array(row[p]), pa.array(anchor[p].view(np.int64)), pa.array(first[p]), pa.array(last[p]), pa.array(many[at : at + (1 << 16)] > hot)], names=["row", "anchor", "first", "last", "hot"]
         )
 
 
+#: Kinds of packs, by their first byte: passages, windows of hot anchors, and spans already known to recur.
+_PASSAGES, _WINDOWS, _SPANS = b"P", b"W", b"S"
+
+
 def _send_passages(batches, size: int, slots: int):
     for batch in batches:
         held: list[tuple] = []
+        windows: dict[bytes, list[tuple[int, int]]] = {}
+        n = 0
         for row, text, places in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "places"))):
             words = _split(text)
             for p in places:
-                held.append((p["anchor"], row, p["first"], b" ".join(words[p["first"] : p["last"] + size])))
-            if len(held) >= PASSAGES:
-                yield _passages(held, slots)
-                held = []
-        if held:
-            yield _passages(held, slots)
+                n += 1
+                if p["hot"]:
+                    for first in range(p["first"], p["last"] + 1):
+                        windows.setdefault(hashlib.md5(b" ".join(words[first : first + size])).digest(), []).append((row, first))
+                else:
+                    held.append((p["anchor"], row, p["first"], b" ".join(words[p["first"] : p["last"] + size])))
+            if n >= PASSAGES:
+                yield from _flush(held, windows, size, slots)
+                held, windows, n = [], {}, 0
+        yield from _flush(held, windows, size, slots)
+
+
+def _flush(held: list[tuple], windows: dict[bytes, list[tuple[int, int]]], size: int, slots: int):
+    if held:
+        yield _passages(held, slots)
+    if windows:
+        yield from _windows(windows, size, slots)
+
+
+def _windows(windows: dict[bytes, list[tuple[int, int]]], size: int, slots: int):
+    """One entry for each window; where it came several times its places are known to recur, and go as spans."""
+    low, high = np.frombuffer(b"".join(windows), "<u8").reshape(-1, 2).T
+    many = np.fromiter(map(len, windows.values()), np.int64, len(windows))
+    row, first = np.array([at[0] for at in windows.values()], np.int64).reshape(-1, 2).T
+    yield _dealt(low, slots, lambda p: _WINDOWS + pack(low[p], high[p], row[p], first[p].astype(np.int32), many[p]))
+    known = [x for at in windows.values() if len(at) > 1 for x in at]
+    if known:
+        row, first = np.array(known, np.int64).T
+        spread = mix(row.view(np.uint64) if row.flags.c_contiguous else row.copy().view(np.uint64))
+        yield _dealt(spread, slots, lambda p: _SPANS + pack(row[p], first[p].astype(np.int32), (first[p] + size).astype(np.int32)))
 
 
 def _passages(held: list[tuple], slots: int) -> pa.RecordBatch:
@@ -252,11 +290,33 @@ def _passages(held: list[tuple], slots: int) -> pa.RecordBatch:
 
     def packed(p: np.ndarray) -> bytes:
         texts = [held[i][3] for i in p.tolist()]
-        return pack(anchor[p], row[p], first[p].astype(np.int32), b"\n".join(texts))
+        return _PASSAGES + pack(anchor[p], row[p], first[p].astype(np.int32), b"\n".join(texts))
 
     return _dealt(anchor, slots, packed)
 
 
+def _spans_of_slot(packs: list[bytes], size: int):
+    own: dict[bytes, list[bytes]] = {}
+    for p in packs:
+        own.setdefault(p[:1], []).append(p[1:])
+    for p in own.get(_SPANS, ()):
+        yield _spans(*unpack(p, "<i8", "<i4", "<i4"))
+    if _WINDOWS in own:
+        low, high, row, first, many = (np.concatenate(x) for x in zip(*(unpack(p, "<u8", "<u8", "<i8", "<i4", "<i8") for p in own[_WINDOWS])))
+        order = np.lexsort((high, low))
+        low, high, row, first, many = (x[order] for x in (low, high, row, first, many))
+        starts = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+        total = np.repeat(np.add.reduceat(many, starts), np.diff(np.append(starts, len(low))))
+        again = (total > 1) & (many == 1)  # the places of the others were sent as spans
+        yield _spans(row[again], first[again], first[again] + np.int32(size))
+    if _PASSAGES in own:
+        yield from _repeated(own[_PASSAGES], size)
+
+
+def _spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["row", "start", "end"])
+
+
 def _repeated(packs: list[bytes], size: int):
     """Spans (row, start, end) of words that repeated windows cover, in the passages of one slot."""
     passages: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
@@ -292,7 +352,7 @@ def _repeated(packs: list[bytes], size: int):
         rows += _stream(single, [*shards, shard], size)
     if rows:
         row, start, end = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["row", "start", "end"])
+        yield _spans(row, start, end)
 
 
 def _stream(single: list[tuple[bytes, int, int]], shards: list[list], size: int) -> list[tuple[int, int, int]]:

@@ -70,5 +70,26 @@ def test_shards_add_up(monkeypatch):
     assert whole and sorted(whole, key=key) == sorted(parts, key=key)
 
 
+def test_common_line_in_differing_contexts(spark, monkeypatch):
+    """An anchor beyond one automaton is dealt on by window, and no automaton meets its passages."""
+    rng = random.Random(7)
+    line = [f"w{i}" for i in range(34)]
+    monkeypatch.setattr(s, "SHARD_WORDS", 500)
+    docs = [(i, " ".join([f"a{rng.random()}" for _ in range(25)] + line + [f"b{rng.random()}" for _ in range(25)])) for i in range(150)]
+    docs += [(900 + i, docs[i // 2][1]) for i in range(20)]
+    docs += [(1000 + i, f"{i} " + " ".join(docs[40][1].split()[5:65])) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    rows = s.remove_repeated_spans(df).collect()
+    assert sorted(((r.doc_id, r.kept.n_words, r.kept.n_removed, r.kept.text) for r in rows), key=str) == plain(docs, 35)
+    # The places of the line's anchors are marked, and its passages go as windows, counted before they are sent.
+    anchors = s.Anchors(35)
+    packs = [s.pack(a, s.np.full(len(a), i), f, z) for i, t in docs for a, f, z in [anchors.of(t.encode().split())]]
+    marked = [r for b in s._shared_anchors(packs, 50) for r in b.to_pylist() if r["hot"]]
+    assert len({r["row"] for r in marked}) > 150
+    batch = s.pa.RecordBatch.from_pylist([{"row": i, "text": t, "places": [r for r in marked if r["row"] == i]} for i, t in docs])
+    sent = [p for b in s._send_passages([batch], 35, 8) for p in b.column("pack").to_pylist()]
+    assert {p[:1] for p in sent} == {s._WINDOWS, s._SPANS}
+
+
 def test_empty(spark):
     assert s.remove_repeated_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
