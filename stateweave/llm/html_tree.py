@@ -16,7 +16,9 @@ from stateweave.llm.common import append_column
 
 # The element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math canvas object select button title".split())
+RAW = frozenset("script style iframe textarea title".split())
+#: Elements without running text that hold others; left out to their own end tag, and one without it is no more than a tag.
+CONTROLS = frozenset("noscript template svg canvas object select button".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead"
@@ -76,12 +78,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     Inline elements belong to the block around them.  Comments, declarations
     and the text of scripts, styles and controls are left out, unclosed tags
-    end where HTML ends them, and a cut-off tag at the end of the page is no text.
+    end where HTML ends them (a control without its end tag leaves nothing out),
+    and a cut-off tag at the end of the page is no text.
     """
     nodes = [Node("#root", "", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, inline ones with the block they are in
     out: list[tuple[int, str]] = []
     links, at = 0, 0
+    ends: dict[int, int] | None = None  # where the controls end, once one is met
 
     def text(raw: str) -> None:
         if raw:
@@ -134,8 +138,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = _raw_end(page, tag, at)
+            continue
+        if tag in CONTROLS:
+            if not m[3].endswith("/"):
+                ends = _control_ends(page) if ends is None else ends
+                at = ends.get(at, at)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -151,11 +159,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if stack[i][0] in BLOCK:
                     break
         if tag in SIBLING:
-            ends, bounds = SIBLING[tag]
+            ended, bounds = SIBLING[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in bounds:
                     break
-                if stack[i][0] in ends:
+                if stack[i][0] in ended:
                     close(i)
         if tag in BLOCK:
             parent = stack[-1][1]
@@ -176,6 +184,30 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, out
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Behind the end tag of a raw text; without one HTML takes the rest of the page."""
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _control_ends(page: str) -> dict[int, int]:
+    """Behind the start tag of each control that has an end tag of its own: behind that one."""
+    out: dict[int, int] = {}
+    starts: dict[str, list[int]] = {}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag in RAW and not m[1] and not m[3].endswith("/"):
+            at = _raw_end(page, tag, at)
+        elif tag in CONTROLS and m[1]:
+            if starts.get(tag):
+                out[starts[tag].pop()] = at
+        elif tag in CONTROLS and not m[3].endswith("/"):
+            starts.setdefault(tag, []).append(at)
+    return out
+
+
 def features(node: Node) -> tuple[str, list[str]]:
     """What is seen of an element: the purpose its tag or attributes name; its tag, length of text and share of links, in a few grades."""
     words, hidden = [], False

@@ -42,6 +42,18 @@ def test_layouts(potentials, page, text):
     assert h.main_text(page or "", potentials) == text
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "canvas", "object", "template", "noscript"])
+def test_controls_end_at_their_own_end_tag(potentials, tag):
+    closed = f"<{tag}>c</{tag}>"
+    for before, inside in ((f"<{tag}>", ""), ("", f"<{tag}>"), (closed, closed), (f"<{tag}>", closed), (f"<{tag}><script>'</{tag}>'</script>", "")):
+        assert h.main_text(f"<body>{before}<article><p>{P}</p>{inside}<p>{P}</p></article></body>", potentials) == f"{P}\n{P}"
+    assert h.main_text(f"<article><p>x<{tag}>a<{tag}>b</{tag}>c</{tag}>y</p></article>", potentials) == "xy"
+
+
+def test_math_is_text(potentials):
+    assert h.main_text("<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p></article>", potentials) == "if x=2 then"
+
+
 def test_messages_equal_enumeration(potentials):
     """Sum-product marginals are those of summing over all labellings of a small tree."""
     import itertools
