@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from stateweave.llm import brown, byte_bpe, chat_format, decontaminate, deobfuscate, html_tree, line_windows, range_join, signature_trees, suffix_spans
+from stateweave.llm import brown, byte_bpe, chat_format, decontaminate, deobfuscate, html_tree, line_windows, range_join, signature_trees, skyband, source_mix, suffix_spans, token_alignment
+from stateweave.operators.identity import global_number
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,6 +184,100 @@ JOIN (SELECT a AS vec_id, min(b) AS least_id FROM reach GROUP BY a) USING (vec_i
 LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
 """
 
+
+def op11_dominance_skyband(spark: SparkSession, folder: str) -> DataFrame:
+    return skyband.audit(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+occurrences AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+),
+kept AS (SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM occurrences SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (coalesce(t.total, 0) + 2 * v) AS p,
+         1 + (1000000000 * (k.n + 2)::HUGEINT) // (l.total + 2 * v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+sums AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+  FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+),
+pairs AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_capped_water_filling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    named = global_number(docs.select("source").distinct(), [F.col("source").asc_nulls_last()], "place")
+    weights = named.select("source", ((F.col("place") - 1) % 3 + 1).alias("weight"))
+    return source_mix.mix(docs, weights).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, dense_rank() OVER (ORDER BY source NULLS LAST) AS s,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS draw
+  FROM documents
+),
+sources AS (SELECT s, ((s - 1) % 3 + 1)::HUGEINT AS w, sum(size)::HUGEINT AS size, count(*) AS n FROM docs GROUP BY s),
+filling AS (
+  SELECT *, (SELECT sum(size) FROM sources) - 3 * (sum(size) OVER o - size) AS left_over, sum(w) OVER () - (sum(w) OVER o - w) AS share, row_number() OVER o AS k
+  FROM sources WINDOW o AS (ORDER BY size * (6 // w), s ROWS UNBOUNDED PRECEDING)
+),
+until_ AS (SELECT coalesce(min(k), (SELECT count(*) + 1 FROM sources)) AS k FROM filling WHERE left_over * w <= 3 * size * share),
+level AS (SELECT left_over, share FROM filling JOIN until_ USING (k)),
+targets AS (
+  SELECT s, size, n, w, k < (SELECT k FROM until_) AS clamped,
+         CASE WHEN k < (SELECT k FROM until_) THEN (3 * size)::DOUBLE ELSE ((SELECT left_over FROM level) * w)::DOUBLE / (SELECT share FROM level)::DOUBLE END AS target
+  FROM filling
+),
+plan AS (
+  SELECT *, CASE WHEN clamped OR size = 0 THEN 0 ELSE greatest(0, round(target)::HUGEINT - whole * size) END AS rest
+  FROM (SELECT *, CASE WHEN clamped THEN 3 WHEN size = 0 THEN 0 ELSE ((SELECT left_over FROM level) * w) // (size * (SELECT share FROM level)) END AS whole FROM targets)
+),
+marked AS (
+  SELECT d, doc_id, docs.size, draw, s, docs.size::HUGEINT * n > p.size AS long, rest, p.size AS source_size,
+         sum(docs.size) OVER (PARTITION BY s, docs.size::HUGEINT * n > p.size ORDER BY draw RANGE UNBOUNDED PRECEDING) AS upto,
+         sum(docs.size) OVER (PARTITION BY s, docs.size::HUGEINT * n > p.size, draw) AS unit
+  FROM docs JOIN plan p USING (s)
+),
+long_quota AS (SELECT s, any_value(rest) * sum(CASE WHEN long THEN size ELSE 0 END) // greatest(any_value(source_size), 1) AS quota FROM marked GROUP BY s),
+long_drawn AS (
+  SELECT s, quota, coalesce(sum(size) FILTER (WHERE long AND 2 * upto - unit <= 2 * quota), 0) AS drawn FROM marked JOIN long_quota USING (s) GROUP BY s, quota
+),
+drawn AS (
+  SELECT d, 2 * upto - unit <= 2 * CASE WHEN long THEN quota ELSE rest - drawn END AS extra FROM marked JOIN long_drawn USING (s)
+)
+SELECT doc_id, docs.size, p.size::BIGINT AS source_size, target, (docs.size * (whole + extra::INTEGER))::BIGINT AS taken
+FROM docs JOIN plan p USING (s) JOIN drawn USING (d)
+"""
+
+
+def op13_distinct_text_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "alignment.*")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -196,6 +291,9 @@ QUERIES: dict[str, Query] = {
         op8_byte_bpe,
         op9_html_tree_model,
         op10_pivot_range_join,
+        op11_dominance_skyband,
+        op12_capped_water_filling,
+        op13_distinct_text_alignment,
     )
 }
 
@@ -205,4 +303,6 @@ SQL = {
     "op6_aho_corasick": OP6_SQL,
     "op7_signature_trees": OP7_SQL,
     "op10_pivot_range_join": OP10_SQL,
+    "op11_dominance_skyband": OP11_SQL,
+    "op12_capped_water_filling": OP12_SQL,
 }
