@@ -22,7 +22,7 @@ from stateweave.llm.block_dictionary import pack, unpack
 from stateweave.llm.common import arrow_schema, staged
 
 #: Texts taken at a time, pair entries after which a block ends, and aligned stretches and characters a task remembers.
-PIECE, ENTRIES, STRETCHES, CHARACTERS = 200, 1 << 21, 1 << 18, 1 << 25
+PIECE, ENTRIES, STRETCHES, CHARACTERS = 200, 1 << 21, 1 << 19, 1 << 25
 #: Pairs in a row of a block's list.
 LISTED = 1 << 15
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -87,13 +87,15 @@ class _Aligner:
     def __init__(self, first: str, second: str):
         self.a, self.b = ByteLevel(first), Pieces(second)
         self.size = [np.array([len(x) for x in v.bytes], np.int64) for v in (self.a, self.b)]
-        self.ends = [self._strings(len(v.bytes), marks) for v, marks in ((self.a, (b",", b"|")), (self.b, (b",", b"")))]
+        self.ends = [self._strings(len(v.bytes), marks) for v, marks in ((self.a, (b",", b"|")), (self.b, (b",", b";")))]
         self.reset()
 
     @staticmethod
-    def _strings(n: int, marks: tuple[bytes, bytes]) -> list[bytes]:
+    def _strings(n: int, marks: tuple[bytes, bytes]) -> np.ndarray:
         """At 2 * id and 2 * id + 1 the id with what follows inside its list, and at its end."""
-        return [str(i).encode() + m for i in range(n) for m in marks]
+        out = np.empty(2 * n, object)
+        out[:] = [str(i).encode() + m for i in range(n) for m in marks]
+        return out
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
@@ -140,12 +142,13 @@ class _Aligner:
         self.n_groups, self.n_links = np.append(self.n_groups, per(last_a)), np.append(self.n_links, own_links)
         self.start = np.append(self.start, len(self.codes) + np.cumsum(own_links) - own_links)
         self.codes = np.append(self.codes, codes)
-        text_a = list(map(self.ends[0].__getitem__, (2 * flat[0] + last_a).tolist()))
-        text_b = list(map(self.ends[1].__getitem__, (2 * flat[1] + last_b).tolist()))
-        edges = [np.concatenate(([0], np.flatnonzero(x) + 1)).tolist() for x in (last_a, last_b)]
-        groups = [b"".join(text_a[i:k] + text_b[j:m]) for i, k, j, m in zip(edges[0], edges[0][1:], edges[1], edges[1][1:])]
-        bounds = np.concatenate(([0], np.cumsum(self.n_groups[-len(new) :]))).tolist()
-        self.groups += [b";".join(groups[i:k]) for i, k in zip(bounds, bounds[1:])]
+        # The tokens of a group stand together, A's before B's; a stretch's text is one run of them.
+        before_b, upto_a = np.searchsorted(group_b, group_a), np.searchsorted(group_a, group_b, "right")
+        marks = np.empty(len(flat[0]) + len(flat[1]), object)
+        marks[np.arange(len(flat[0])) + before_b] = self.ends[0][2 * flat[0] + last_a]
+        marks[np.arange(len(flat[1])) + upto_a] = self.ends[1][2 * flat[1] + last_b]
+        marks, bounds = marks.tolist(), np.concatenate(([0], np.cumsum(count[0] + count[1]))).tolist()
+        self.groups += [b"".join(marks[i:k]) for i, k in zip(bounds, bounds[1:])]
 
     def forget(self) -> None:
         if len(self.number) > STRETCHES or self.characters > CHARACTERS:
@@ -162,7 +165,7 @@ class _Aligner:
         self.learn([texts[i] for i in odd])
         for i in odd:
             numbers[i] = [self.number[texts[i]]]
-        groups = [b";".join(map(self.groups.__getitem__, own)) for own in numbers]
+        groups = [b"".join(map(self.groups.__getitem__, own))[:-1] for own in numbers]
         return [np.array(own, np.int64) for own in numbers], groups
 
     def links(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
