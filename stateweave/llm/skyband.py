@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stateweave.llm.common import staged
 
 #: Counted terms a task holds before it gives them on, and rows it holds before it thins them to a band.
-HELD, THINNED = 1 << 18, 1 << 19
+HELD, THINNED = 1 << 19, 1 << 20
 #: Sources that are compared in one block, terms at a time, and band rows compared at a time.
 SOURCES, TERMS, POINTS = 256, 4096, 512
 EXACT = "decimal(38,0)"
@@ -65,7 +65,8 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
         yield from rows(held)
 
     counted = taken.mapInArrow(run, "lang string, source string, term string, n long, d long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    # Tasks have added up their own; by term, what follows needs no other exchange.
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def smoothed(count: Column, total: Column, terms: Column) -> Column:
@@ -103,13 +104,16 @@ def _beaten(by: np.ndarray, points: np.ndarray, total: np.ndarray, rank: np.ndar
 
 def _thin(table: pa.Table, k: int) -> pa.Table:
     """The band of each group of a table (lang, source, term, n, lang_n)."""
-    ordered = table.take(pc.sort_indices(table, sort_keys=[("lang", "ascending"), ("source", "ascending"), ("term", "ascending")]))
-    names = pa.StructArray.from_arrays([ordered.column(c).combine_chunks() for c in ("lang", "source")], ["lang", "source"])
-    same = np.array([a == b for a, b in zip(names[:-1].to_pylist(), names[1:].to_pylist())], bool) if len(names) > 1 else np.zeros(0, bool)
-    cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(names)] if len(names) else [0]
-    n, total = ordered.column("n").to_numpy(), ordered.column("lang_n").to_numpy()
-    keep = [a + band(n[a:b], total[a:b], np.arange(b - a), k) for a, b in zip(cuts, cuts[1:])]
-    return ordered.take(np.concatenate(keep) if keep else np.zeros(0, np.int64))
+    terms = table.column("term").combine_chunks().dictionary_encode()
+    order = np.empty(len(terms.dictionary), np.int64)
+    order[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(order))
+    rank = order[terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+    lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(source.dictionary)) + source.indices.to_numpy(zero_copy_only=False)
+    n, total = table.column("n").to_numpy(), table.column("lang_n").to_numpy()
+    by = np.argsort(group, kind="stable")
+    parts = np.split(by, np.flatnonzero(np.diff(group[by])) + 1)
+    return table.take(np.concatenate([own[band(n[own], total[own], rank[own], k)] for own in parts]))
 
 
 def skybands(kept: DataFrame, top: int) -> DataFrame:
@@ -213,14 +217,17 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, lang: str = "lang", s
     ones too), a group without terms has pairs only, an empty table gives none.
     Other columns take no part.
     """
-    counts = staged(term_counts(docs, lang, source, text), "terms")
-    held = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("d").alias("lang_d"))
-    lasting = staged(held.where(F.col("lang_d") >= least).drop("lang_d"), "lasting")
-    kept = staged(counts.where("term IS NOT NULL").join(lasting, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "kept")
-    langs = lasting.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.where("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    groups = staged(groups.fillna(0, ["total", "terms", "lang_total"]), "groups")
+    # A term has a row for each source of the language, at most.
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs, lang, source, text).select(
+        "lang", "source", "term", "n", F.sum("n").over(of_term).alias("lang_n"), F.sum("d").over(of_term).alias("lang_d"), (F.min("source").over(of_term) == F.col("source")).alias("once")
+    )
+    counts = staged(counts.where((F.col("lang_d") >= least) | F.col("term").isNull()).drop("lang_d"), "terms")
+    there = F.col("term").isNotNull()
+    groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum((there & F.col("once")).cast("long")).alias("terms"))
+    langs = groups.groupBy("lang").agg(F.sum("terms").alias("terms"), F.sum("total").alias("lang_total"))
+    groups = staged(groups.drop("terms").join(langs, "lang"), "groups")
+    kept = counts.where(there).drop("once")
     pairs = source_pairs(kept, groups.select("lang", "source", "total", "terms")).withColumn("part", F.lit("pair"))
     bands = skybands(kept, top).join(groups, ["lang", "source"])
     p, q = smoothed(F.col("n"), F.col("total"), F.col("terms")), smoothed(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
