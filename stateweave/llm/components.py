@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stateweave.llm.common import staged
 
+#: Links that a task contracts at a time.
+CONTRACTED = 1 << 20
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for every node of ``links`` (a, b: long) the smallest node it can reach.
 
-    Alternates the large-star and small-star steps.  Each round hooks a node's
+    Each task first contracts its own links to spanning stars, so that chains are
+    short and few links are shuffled.  Then large-star and small-star steps alternate.  Each round hooks a node's
     larger neighbours to its smallest one, so the paths shorten geometrically,
     and every round is a written table, so a lost executor costs one round.
     A hot node only ever sends its neighbours one row each.  Null nodes and
     self links are left out; repeated links count once.
     """
-    edges = staged(_pairs(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b"), "a", "b"), "links")
+    sound = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    edges = staged(_pairs(sound.mapInArrow(_contract, "a long, b long"), "a", "b"), "links")
     before = None
     while True:
         edges = staged(_star(_star(edges, large=True), large=False), "stars")
@@ -30,6 +37,36 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def _contract(batches):
+    """Stars that connect what some links connect, each node to the least of its part."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CONTRACTED:
+            yield _stars(held)
+            held, rows = [], 0
+    if held:
+        yield _stars(held)
+
+
+def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    a, b = (np.concatenate([x.column(c).to_numpy() for x in batches]) for c in ("a", "b"))
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = np.arange(len(nodes))
+    left, right = places[: len(a)], places[len(a) :]
+    while len(left):
+        # Roots hook to the least root they meet, then every path is cut short.
+        low, high = np.minimum(parent[left], parent[right]), np.maximum(parent[left], parent[right])
+        np.minimum.at(parent, high, low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        differ = parent[left] != parent[right]
+        left, right = left[differ], right[differ]
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved], pa.int64()), pa.array(nodes[parent[moved]], pa.int64())], names=["a", "b"])
+
+
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct pairs, larger node first."""
     return df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
@@ -42,7 +79,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         seen = edges
     least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = seen.join(least, "a")
+    # Never a broadcast, which the driver would build anew in every round.
+    joined = seen.join(least.hint("merge"), "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         # A node with no larger neighbour keeps its link to the least.

@@ -159,7 +159,9 @@ def link_documents(docs: DataFrame, size: int = 3, above: int = 90, below: int =
     inside = staged(_join_blocks(whole, above, below), "links")
     parted = staged(components(inside), "parted")
     left_over = _join_buckets(whole, buckets.join(leaders.select("bucket"), "bucket"), parted, above, below)
-    links = inside.union(left_over).union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    # The components found stand for the links inside; what is new are the links between them.
+    stars = parted.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = stars.union(left_over).union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     roots = components(links)
     return sets.join(roots, sets["doc_id"] == roots["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
