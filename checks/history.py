@@ -37,6 +37,28 @@ def _(t):
     return out.select("event_id", "user_id", "volgnummer")
 
 
+@check(
+    "w1_state_number_by_text",
+    """SELECT l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY code) AS volgnummer
+       FROM (SELECT *, 'register-van-objecten-' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS code FROM lineitem)""",
+)
+def _(t):
+    """Three keys hold all rows, and the codes they are ordered by differ late."""
+    code = F.concat(F.lit("register-van-objecten-"), F.lpad(F.col("l_partkey").cast("string"), 9, "0"))
+    out = history.state_number(t.lineitem.withColumn("code", code), ["l_returnflag"], ["code"])
+    return out.select("l_orderkey", "l_linenumber", "volgnummer")
+
+
+@check(
+    "w1_state_number_by_sparse_integer",
+    """SELECT l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_partkey * 1000003, -l_extendedprice) AS volgnummer FROM lineitem""",
+)
+def _(t):
+    """Integers far apart, then decimals: one distinct state a row."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_partkey") * 1000003).alias("nr"), (-F.col("l_extendedprice")).alias("prijs"))
+    return history.state_number(rows, ["l_returnflag"], ["nr", "prijs"]).select("l_orderkey", "l_linenumber", "volgnummer")
+
+
 TEMPLATE = "1234XXXXXXXX"
 
 # Some customers come with an identifier, some with one that does not fit the template.

@@ -111,7 +111,7 @@ def _(t):
        WHERE event_type = 'purchase'""",
 )
 def _(t):
-    ranked = history.state_number(t.events, ["user_id"], ["ts"], slice_by=F.to_date("ts"))
+    ranked = history.state_number(t.events, ["user_id"], ["ts"])
     return ranked.where(F.col("event_type") == "purchase").select("event_id", "user_id", "volgnummer")
 
 

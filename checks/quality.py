@@ -199,11 +199,14 @@ def _(t):
 @check(
     "q8_interval_problems",
     f"""WITH s AS (SELECT user_id, begin_geldigheid, eind_geldigheid, count(*) AS copies FROM ({EVENT_STATES}) GROUP BY ALL),
-             n AS (SELECT *, lead(begin_geldigheid) OVER (PARTITION BY user_id ORDER BY begin_geldigheid, eind_geldigheid NULLS LAST) AS next_begin FROM s)
-        SELECT *, CASE WHEN eind_geldigheid < begin_geldigheid THEN 'reversed' WHEN copies > 1 THEN 'doubled'
-                       WHEN next_begin IS NOT NULL AND (eind_geldigheid IS NULL OR next_begin < eind_geldigheid) THEN 'overlap'
-                       WHEN next_begin > eind_geldigheid THEN 'gap' END AS problem
-        FROM n WHERE problem IS NOT NULL""",
+             n AS (SELECT *, lead(begin_geldigheid) OVER w AS next_begin,
+                          max(coalesce(eind_geldigheid, TIMESTAMP '9999-12-31')) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+                   FROM s WINDOW w AS (PARTITION BY user_id ORDER BY begin_geldigheid, eind_geldigheid NULLS LAST))
+        SELECT user_id, begin_geldigheid, eind_geldigheid, copies, next_begin, problem FROM (
+          SELECT *, CASE WHEN eind_geldigheid < begin_geldigheid THEN 'reversed' WHEN copies > 1 THEN 'doubled'
+                         WHEN next_begin IS NOT NULL AND (eind_geldigheid IS NULL OR next_begin < eind_geldigheid) OR begin_geldigheid < reached THEN 'overlap'
+                         WHEN next_begin > greatest(eind_geldigheid, coalesce(reached, eind_geldigheid)) THEN 'gap' END AS problem FROM n)
+        WHERE problem IS NOT NULL""",
 )
 def _(t):
     return quality.interval_problems(event_states(t), ["user_id"], "begin_geldigheid", "eind_geldigheid")
@@ -213,9 +216,12 @@ def _(t):
     "q8_interval_problems_doubled",
     """WITH s AS (SELECT o_custkey, o_orderdate AS b, o_orderdate + INTERVAL 30 DAY * (CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) AS e FROM orders),
             g AS (SELECT o_custkey, b, e, count(*) AS copies FROM s GROUP BY ALL),
-            n AS (SELECT *, lead(b) OVER (PARTITION BY o_custkey ORDER BY b, e) AS next_begin FROM g)
-       SELECT *, CASE WHEN e < b THEN 'reversed' WHEN copies > 1 THEN 'doubled' WHEN next_begin < e THEN 'overlap'
-                      WHEN next_begin > e THEN 'gap' END AS problem FROM n WHERE problem IS NOT NULL""",
+            n AS (SELECT *, lead(b) OVER w AS next_begin, max(e) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+                  FROM g WINDOW w AS (PARTITION BY o_custkey ORDER BY b, e))
+       SELECT o_custkey, b, e, copies, next_begin, problem FROM (
+         SELECT *, CASE WHEN e < b THEN 'reversed' WHEN copies > 1 THEN 'doubled' WHEN next_begin < e OR b < reached THEN 'overlap'
+                        WHEN next_begin > greatest(e, coalesce(reached, e)) THEN 'gap' END AS problem FROM n)
+       WHERE problem IS NOT NULL""",
 )
 def _(t):
     month = F.expr("INTERVAL 30 DAYS")
@@ -224,6 +230,29 @@ def _(t):
     return quality.interval_problems(states, ["o_custkey"], "b", "e")
 
 
+@check(
+    "q8_nested_intervals",
+    """WITH s AS (SELECT l_partkey, CAST(l_shipdate AS DATE)::VARCHAR AS b,
+                         CASE WHEN l_returnflag = 'A' THEN NULL WHEN l_linenumber = 1 THEN '2100-01-01'
+                              ELSE CAST(l_shipdate + INTERVAL 1 DAY * CAST(l_quantity AS INTEGER) AS DATE)::VARCHAR END AS e FROM lineitem WHERE l_linenumber < 4),
+            g AS (SELECT l_partkey, b, e, count(*) AS copies FROM s GROUP BY ALL),
+            n AS (SELECT *, lead(b) OVER w AS next_begin, max(coalesce(e, '9999')) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+                  FROM g WINDOW w AS (PARTITION BY l_partkey ORDER BY b, e NULLS LAST))
+       SELECT l_partkey, b, e, copies, next_begin, problem FROM (
+         SELECT *, CASE WHEN e < b THEN 'reversed' WHEN copies > 1 THEN 'doubled'
+                        WHEN (e IS NULL AND next_begin IS NOT NULL) OR next_begin < e OR b < reached THEN 'overlap'
+                        WHEN next_begin > greatest(e, coalesce(reached, e)) THEN 'gap' END AS problem FROM n)
+       WHERE problem IS NOT NULL""",
+)
+def _(t):
+    """Text dates, with parts that have states inside others and states that never end."""
+    day = F.expr("date_add(to_date(l_shipdate), cast(l_quantity as int))").cast("string")
+    end = F.when(F.col("l_returnflag") == "A", F.lit(None)).when(F.col("l_linenumber") == 1, F.lit("2100-01-01")).otherwise(day)
+    lines = t.lineitem.where("l_linenumber < 4")
+    states = lines.select("l_partkey", F.to_date("l_shipdate").cast("string").alias("b"), end.alias("e"))
+    return quality.interval_problems(states, ["l_partkey"], "b", "e")
+
+
 @check(
     "q9_empty_load",
     "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS moment FROM orders WHERE o_orderdate < TIMESTAMP '1990-01-01 00:00:00'",

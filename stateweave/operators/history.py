@@ -1,9 +1,9 @@
 """State histories: numbering, successors, neighbours and the state at a moment.
 
-A window over a hot key would sort that key in a single task.  Numbering and
-neighbour search therefore work in two levels: rows are reduced to distinct
-states, windowed per (key, time slice), and the slices of a key are chained by
-a second window that sees one row per slice.
+A window over a hot key would sort that key in a single task.  Rows are reduced
+to distinct states on the map side, and these are numbered and compared over
+range partitions (``segments``), whatever the type of the columns they are
+ordered by.
 """
 
 from __future__ import annotations
@@ -11,65 +11,29 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stateweave.functions import dates
+from stateweave.operators import segments
 from stateweave.operators.predicates import not_empty_interval, valid_at
 
-# A place is one time slice of one key.  Keys and places are structs: two NULL keys
-# inside compare equal, and windows and joins on a place share one partitioning.
-_KEY, _SLICE, _PLACE = "__key", "__slice", "__place"
+# Keys and states are structs: two NULL keys inside compare equal.
+_KEY, _STATE = "__key", "__state"
 
 
-def _slices() -> WindowSpec:
-    """Window over the slices of a key in order."""
-    return Window.partitionBy(f"{_PLACE}.{_KEY}").orderBy(F.col(f"{_PLACE}.{_SLICE}").asc_nulls_last())
-
-
-def time_slice(df: DataFrame, order: str) -> Column:
-    """Coarse part of an order column that never decreases while the column grows.
-
-    A minute bounds both levels: it holds at most sixty million distinct
-    timestamps, and a key has half a million minutes a year.  Text is cut to the
-    length of an ISO minute, whole numbers are cut in steps of about a million.
-    """
-    kind, c = df.schema[order].dataType, F.col(order)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("minute", c)
-    if isinstance(kind, T.DateType):
-        return c
-    if isinstance(kind, T.StringType):
-        return F.substring(order, 1, 16)
-    if isinstance(kind, T.IntegralType):
-        return F.shiftright(c.cast("bigint"), 20)
-    if isinstance(kind, T.NumericType):
-        return F.floor(c)
-    return F.lit(0)
-
-
-def state_number(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], out: str = "volgnummer", slice_by: Column | None = None
-) -> DataFrame:
+def state_number(df: DataFrame, key: Sequence[str], order: Sequence[str], out: str = "volgnummer") -> DataFrame:
     """Number the states of a key: dense rank by the order columns, NULL last.
 
-    ``slice_by`` must not decrease while the first order column grows.
+    Distinct states are numbered over the whole frame by key and order; the rank
+    is what a state's number is beyond the key's first.
     """
-    slice_by = time_slice(df, order[0]) if slice_by is None else slice_by
-    states = df.select(
-        F.struct(*key).alias(_KEY), slice_by.alias(_SLICE), F.struct(*order).alias("__state")
-    ).distinct()
-    states = states.select(F.struct(_KEY, _SLICE).alias(_PLACE), "__state")
-    # Rows are distinct, so the row number within the slice is the dense rank.
-    by = [F.col(f"__state.`{o}`").asc_nulls_last() for o in order]
-    inner = states.withColumn("__n", F.row_number().over(Window.partitionBy(_PLACE).orderBy(*by)))
-    sizes = states.groupBy(_PLACE).agg(F.count(F.lit(1)).alias("__size"))
-    before = _slices().rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_PLACE, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    numbered = inner.join(offsets, _PLACE).select(
-        F.col(f"{_PLACE}.{_KEY}").alias(_KEY), "__state", (F.col("__n") + F.col("__before")).cast("bigint").alias(out)
-    )
-    rows = df.select("*", F.struct(*key).alias(_KEY), F.struct(*order).alias("__state"))
-    return rows.join(numbered, [_KEY, "__state"]).drop(_KEY, "__state")
+    states = df.select(F.struct(*key).alias(_KEY), F.struct(*order).alias(_STATE)).distinct()
+    by = [F.col(_KEY).asc(), *(F.col(f"{_STATE}.`{o}`").asc_nulls_last() for o in order)]
+    numbered = segments.numbered(segments.pinned(states, by), "__n")
+    firsts = numbered.groupBy(_KEY).agg(F.min("__n").alias("__first"))
+    ranked = numbered.join(firsts, _KEY).select(_KEY, _STATE, (F.col("__n") - F.col("__first") + 1).alias(out))
+    rows = df.select("*", F.struct(*key).alias(_KEY), F.struct(*order).alias(_STATE))
+    return rows.join(ranked, [_KEY, _STATE]).drop(_KEY, _STATE)
 
 
 def successor_end(df: DataFrame, key: str, begin: str, end: str, take: Mapping[str, str]) -> DataFrame:
@@ -94,15 +58,18 @@ def distinct_states(df: DataFrame, key: Sequence[str], begin: str, end: str) ->
     return df.groupBy(*key, begin, end).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def with_neighbours(
+    df: DataFrame, key: Sequence[str], begin: str, end: str, next_begin: str = "next_begin", reached: str = "reached"
+) -> DataFrame:
+    """Begin of the following state of the key, and how far its earlier states reach: (open, until)."""
+    by = [F.col(begin).asc_nulls_last(), F.col(end).asc_nulls_last()]
+    until = F.struct(F.col(end).isNull().alias("open"), F.col(end).alias("until"))
+    return segments.with_neighbours(df, key, by, F.col(begin), until, next_begin, reached)
+
+
 def with_next_begin(df: DataFrame, key: Sequence[str], begin: str, end: str, out: str = "next_begin") -> DataFrame:
     """Begin of the following state of the key, over distinct states."""
-    place = F.struct(F.struct(*key).alias(_KEY), time_slice(df, begin).alias(_SLICE))
-    states = df.withColumn(_PLACE, place)
-    by = [F.col(begin).asc_nulls_last(), F.col(end).asc_nulls_last()]
-    inner = states.withColumn("__next", F.lead(begin).over(Window.partitionBy(_PLACE).orderBy(*by)))
-    firsts = states.groupBy(_PLACE).agg(F.min(begin).alias("__first"))
-    chained = firsts.select(_PLACE, F.lead("__first").over(_slices()).alias("__later"))
-    return inner.join(chained, _PLACE).select(*df.columns, F.coalesce("__next", "__later").alias(out))
+    return with_neighbours(df, key, begin, end, next_begin=out, reached="__reached").drop("__reached")
 
 
 def current_at(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stateweave.functions.text import null_if_empty
-from stateweave.session import ensure_checkpoints
+from stateweave.operators import segments
 
 
 def template_parts(template: str) -> tuple[str, int]:
@@ -30,31 +30,10 @@ def max_sequence(df: DataFrame, id_: str, template: str) -> DataFrame:
     return df.agg(F.coalesce(F.max(sequence_of(F.col(id_), template)), F.lit(0)).cast("bigint").alias("max_sequence"))
 
 
-def global_number(df: DataFrame, column: str | Sequence[str], out: str, partitions: int | None = None) -> DataFrame:
-    """Number distinct values of one or more columns 1..n in order over the whole frame without one big window.
-
-    Range partitions are sorted on their own, their generated ids (partition and
-    position) are pinned by a reliable checkpoint, and only one count per
-    partition goes through the final small window.
-    """
-    spark = df.sparkSession
-    ensure_checkpoints(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = [column] if isinstance(column, str) else list(column)
-    ranged = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
-    pinned = ranged.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
-    placed = pinned.select(
-        "*",
-        F.shiftright("__id", 33).alias("__part"),
-        F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos"),
-    )
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    # One row per partition (n of them), so the broadcast has a fixed bound.
-    return placed.join(F.broadcast(offsets), "__part").select(
-        *df.columns, (F.col("__before") + F.col("__pos") + 1).cast("bigint").alias(out)
-    )
+def global_number(df: DataFrame, column: str | Column | Sequence[str | Column], out: str, partitions: int | None = None) -> DataFrame:
+    """Number distinct values of one or more columns 1..n in order over the whole frame without one big window."""
+    columns = [column] if isinstance(column, (str, Column)) else list(column)
+    return segments.numbered(segments.pinned(df, columns, partitions), out).select(*df.columns, out)
 
 
 def autoid(df: DataFrame, on: str, id_: str, template: str, registry: DataFrame | None = None) -> DataFrame:

@@ -101,13 +101,20 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def interval_problems(df: DataFrame, key: Sequence[str], begin: str, end: str) -> DataFrame:
-    """Distinct states that end before they begin, are doubled, or overlap or leave a gap to the next one."""
-    states = history.with_next_begin(history.distinct_states(df, key, begin, end), key, begin, end)
-    b, e, nxt = F.col(begin), F.col(end), F.col("next_begin")
+    """Distinct states that end before they begin, are doubled, overlap another one or leave a gap to the next.
+
+    A state is compared with all earlier ones of its key: it overlaps if one of
+    them still runs when it begins, or if the next begins before it ends, and a
+    gap is left where nothing begun so far reaches the next begin.  A state of
+    zero length counts as its moment.
+    """
+    states = history.with_neighbours(history.distinct_states(df, key, begin, end), key, begin, end)
+    b, e, nxt, reached = F.col(begin), F.col(end), F.col("next_begin"), F.col("reached.until")
+    still_open = F.coalesce("reached.open", F.lit(False))
     problem = (
         F.when(e < b, F.lit("reversed"))
         .when(F.col("copies") > 1, F.lit("doubled"))
-        .when(nxt.isNotNull() & (e.isNull() | (nxt < e)), F.lit("overlap"))
-        .when(nxt > e, F.lit("gap"))
+        .when((e.isNull() & nxt.isNotNull()) | (nxt < e) | still_open | (b < reached), F.lit("overlap"))
+        .when(nxt > F.greatest(e, reached), F.lit("gap"))
     )
-    return states.withColumn("problem", problem).where(F.col("problem").isNotNull())
+    return states.withColumn("problem", problem).drop("reached").where(F.col("problem").isNotNull())

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from stateweave.operators import segments
 from stateweave.operators.mapping import REF
+from stateweave.session import staged
 
 # Cell lengths grow by 2^4 from level to level: few levels to enter a begin at, and
 # cells at most sixteen times as long as an interval filed there.
@@ -157,8 +159,11 @@ def _gaps(found: DataFrame) -> DataFrame:
     """Stretches of matched source states that no destination covers, with a NULL destination."""
     far = F.lit(_FAR).cast("timestamp")
     until = F.coalesce("eind_geldigheid", far)
-    before = Window.partitionBy("__row").orderBy(F.col("begin_geldigheid").asc_nulls_first())
-    reached = F.max(until).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    by = [F.col("begin_geldigheid").asc_nulls_first()]
+    # A source state may have any number of destinations: no window sees them all.
+    narrow = found.select("__row", "begin_geldigheid", "eind_geldigheid")
+    found = segments.with_neighbours(narrow, ["__row"], by, F.lit(None).cast("timestamp"), until, "__following", "__reached")
+    reached = F.col("__reached")
     start = F.coalesce(reached, F.col("__row.s_begin"))
     open_begin = reached.isNull() & F.col("__row.s_begin").isNull()
     between = found.select(
@@ -201,6 +206,7 @@ def relate_temporal(
         row, "d_id", "d_number", begin.alias("begin_geldigheid"), until.alias("eind_geldigheid")
     )
     if fill_gaps:
+        whole = staged(whole, "matches")
         whole = whole.unionByName(_gaps(whole), allowMissingColumns=True)
 
     in_force = F.coalesce(F.col("d_begin") <= own, F.lit(True)) & F.coalesce(own < F.col("d_end"), F.lit(True))

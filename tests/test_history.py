@@ -54,7 +54,8 @@ def test_interval_problems(frame):
     )
     got = {(r["k"], r["b"].year): r["problem"] for r in quality.interval_problems(df, ["k"], "b", "e").collect()}
     assert got == {
-        (1, 2000): "gap", (1, 2002): "overlap", (1, 2005): "reversed", (2, 2000): "overlap", (3, 2000): "doubled",
+        (1, 2000): "gap", (1, 2002): "overlap", (1, 2003): "overlap", (1, 2005): "reversed",
+        (2, 2000): "overlap", (2, 2001): "overlap", (3, 2000): "doubled",
     }
 
 

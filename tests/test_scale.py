@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import CHECKS
-from stateweave.operators import changes, history, lists, quality, relations
+from stateweave.operators import changes, history, lists, quality, relations, segments
 from stateweave.operators.relations import Side
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,10 +51,11 @@ def test_hot_key_numbering(hot):
 
 
 def test_hot_copies_are_combined_before_the_shuffle(hot):
-    text = plan(history.state_number(hot, ["k"], ["b"]))
-    # Below the window's exchange the rows are already distinct states.
-    window = text[text.index("Window"):]
-    assert window.index("HashAggregate") > window.index("Exchange")
+    # The rows of a key that are dealt to partitions are its distinct states.
+    placed = segments.pinned(hot.select("k", "b").distinct(), ["k", "b"])
+    assert placed.where("k = 'hot'").count() == hot.where("k = 'hot'").select("b").distinct().count() < 100
+    text = plan(history.distinct_states(hot, ["k"], "b", "e"))
+    assert text.rindex("partial_count") > text.index("Exchange")
     problems = {r["problem"] for r in quality.interval_problems(hot.where("k = 'hot'"), ["k"], "b", "e").collect()}
     assert "doubled" in problems
 
