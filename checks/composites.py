@@ -635,6 +635,87 @@ def _(t):
     return runner.run(CUSTOMER_DEFINITION, load, _BALANCE, merge_with=phones).quarantine
 
 
+def _states_definition(**more):
+    spec = {
+        "id": {"source_mapping": "id"},
+        "volgnummer": {"source_mapping": "nr"},
+        "prijs": {"source_mapping": "prijs"},
+        **more,
+    }
+    return Definition.from_dict({"catalogue": "c", "entity": "e", "source": {"name": "S", "application": "F", "entity_id": "id"}, "mapping": spec})
+
+
+def _order_lines(t):
+    return t.lineitem.where("l_linenumber < 5").groupBy("l_orderkey", "l_linenumber").agg(F.lit("1").alias("prijs")).select(
+        F.col("l_orderkey").cast("string").alias("id"), F.col("l_linenumber").cast("string").alias("nr"), "prijs", "l_orderkey", "l_linenumber"
+    )
+
+
+@check(
+    "r3_refused_state_spares_itself",
+    """WITH lines AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber < 5),
+            unknown AS (SELECT l_orderkey FROM lines WHERE l_linenumber = 1 AND l_orderkey % 7 = 0)
+       SELECT l_orderkey::VARCHAR AS _id, l_linenumber::INTEGER AS volgnummer, CASE WHEN l_linenumber = 3 THEN 'DELETE' ELSE 'CONFIRM' END AS action
+       FROM lines
+       WHERE NOT (l_linenumber = 2 AND l_orderkey % 5 = 0) AND NOT (l_linenumber = 4 AND l_orderkey % 11 = 0)
+         AND NOT (l_linenumber = 3 AND l_orderkey IN (SELECT l_orderkey FROM unknown))""",
+)
+def _(t):
+    """Third states go; refused second and doubled fourth ones do not, nor any state of an order with a line of unknown number."""
+    lines = _order_lines(t)
+    types = {"prijs": "integer", "volgnummer": "integer"}
+    known = runner.run(_states_definition(), lines, types).entity
+    key, nr = F.col("l_orderkey"), F.col("l_linenumber")
+    load = lines.where(nr != 3).withColumn("prijs", F.when((nr == 2) & (key % 5 == 0), "duur").otherwise(F.col("prijs")))
+    load = load.unionByName(load.where((nr == 4) & (key % 11 == 0)))
+    load = load.unionByName(load.where((nr == 1) & (key % 7 == 0)).withColumn("nr", F.lit("onbekend")))
+    return runner.run(_states_definition(), load, types, current=known).changes.select("_id", "volgnummer", "action")
+
+
+@check(
+    "r3_doubled_before_refused",
+    """SELECT c_custkey::VARCHAR AS _id, attribute, value FROM customer,
+         (SELECT '_key' AS attribute, NULL AS value UNION ALL SELECT '_key', NULL UNION ALL SELECT 'saldo', 'veel') e WHERE c_custkey % 19 = 0""".replace(
+        "attribute, value FROM", "attribute, coalesce(value, c_custkey::VARCHAR) AS value FROM"
+    ),
+)
+def _(t):
+    """One of two rows of a key is bad: the other one is not loaded either."""
+    extract, phones = _customers(t)
+    load = extract.withColumn("saldo", F.lit("1"))
+    load = load.unionByName(load.where(F.col("c_custkey") % 19 == 0).withColumn("saldo", F.lit("veel")))
+    return runner.run(CUSTOMER_DEFINITION, load, _BALANCE, merge_with=phones).quarantine
+
+
+@check(
+    "r3_bad_values_inside_references",
+    """SELECT _id, volgnummer, attribute, value FROM (
+         SELECT l_orderkey::VARCHAR AS _id, l_linenumber::INTEGER AS volgnummer, 'ref.begin_geldigheid' AS attribute, 'geen dag' AS value, l_linenumber % 2 = 0 AS there FROM lines
+         UNION ALL SELECT l_orderkey::VARCHAR, l_linenumber::INTEGER, 'refs[1].begin_geldigheid', '2001-13-01', l_orderkey % 3 = 0 FROM lines
+         UNION ALL SELECT l_orderkey::VARCHAR, l_linenumber::INTEGER, 'deel.dag', '31.02.2001', l_orderkey % 5 = 0 FROM lines
+         UNION ALL SELECT l_orderkey::VARCHAR, l_linenumber::INTEGER, 'nummers[0].nr', 'ZESX', l_orderkey % 7 = 0 FROM lines)
+       WHERE there""".replace("FROM lines", "FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber < 5)"),
+)
+def _(t):
+    """Every part is checked with its own type and format, in lists too, as its filters leave it."""
+    more = {
+        "ref": {"source_mapping": {"bronwaarde": "id", "begin_geldigheid": "sinds"}},
+        "refs": {"source_mapping": {"bronwaarde": "doelen", "begin_geldigheid": "momenten", "format": {"split": ";"}}},
+        "deel": {"source_mapping": {"dag": "dag", "code": "id"}, "format": {"dag": "%d.%m.%Y"}},
+        "nummers": {"source_mapping": {"nr": "lijst", "format": {"split": ","}}, "filters": {"nr": [["upper"]]}},
+    }
+    types = {"prijs": "integer", "volgnummer": "integer", "nummers.nr": "integer"}
+    key, nr = F.col("l_orderkey"), F.col("l_linenumber")
+    lines = _order_lines(t).withColumns({
+        "sinds": F.when(nr % 2 == 0, "geen dag").otherwise("2001-01-01"),
+        "doelen": F.lit("a;b;c"),
+        "momenten": F.when(key % 3 == 0, "2001-01-01;2001-13-01;").otherwise(";2002-02-02 10:00:00;"),
+        "dag": F.when(key % 5 == 0, "31.02.2001").otherwise("28.02.2001"),
+        "lijst": F.when(key % 7 == 0, "zesx,7").otherwise("6, 7"),
+    })
+    return runner.run(_states_definition(**more), lines, types).quarantine
+
+
 @check(
     "r3_refused_load",
     "SELECT 'trade.customers' AS dataset, count(*) AS rows, count(*) + 1 AS min_rows, FALSE AS ok, CAST(0 AS BIGINT) AS changes FROM customer",

@@ -96,9 +96,11 @@ def snapshot_diff(
         ((F.col("__no") > 1) | (F.col("__nn") > 1)).alias("doubled"),
         "new",
     )
-    if seen is None:
-        return found
-    seen_key = list(seen_key or key)
+    return found if seen is None else spare(found, seen, list(seen_key or key))
+
+
+def spare(found: DataFrame, seen: DataFrame, seen_key: Sequence[str]) -> DataFrame:
+    """A change set without the DELETEs of keys that were delivered and not loaded."""
     delivered = seen.select(*seen_key).distinct().withColumn("__seen", F.lit(True))
     marked = found.alias("f").join(delivered.alias("s"), same("f", "s", seen_key), "left")
     return marked.where((F.col("f.action") != DELETE) | F.col("__seen").isNull()).select("f.*")

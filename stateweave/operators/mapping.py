@@ -196,6 +196,52 @@ def marker_of(spec: Mapping) -> str | None:
     return value[1:] if isinstance(value, str) and value.startswith("=") else None
 
 
+# Parts of a reference that are moments by their name (fixed values).
+MOMENTS = ("begin_geldigheid", "eind_geldigheid")
+
+
+def part_formats(spec: Mapping) -> dict[str, str]:
+    """Formats of the parts of an object: named in the attribute's ``format``, or in that of its source mapping."""
+    named = [f for f in (spec["source_mapping"].get("format"), spec.get("format")) if isinstance(f, Mapping)]
+    return {part: fmt for f in named for part, fmt in f.items() if part != "split" and fmt}
+
+
+def part_type(name: str, part: str, spec: Mapping, types: Mapping[str, str]) -> str | None:
+    """Type that a part of an object is read as: declared under its path, implied by its format, or by its name."""
+    declared = types.get(f"{name}.{part}")
+    implied = text_type({"format": part_formats(spec).get(part)})
+    return declared or implied or ("datetime" if part in MOMENTS and REF in spec["source_mapping"] else None)
+
+
+def nested_values(df: DataFrame, name: str, spec: Mapping, types: Mapping[str, str]):
+    """(path, value, type, format) of the parts of an object attribute whose type is known; ``value`` is text or a list of texts.
+
+    In a path a list is marked ``[]``: ``refs[].begin_geldigheid``.
+    """
+    source, formats = spec["source_mapping"], part_formats(spec)
+    separator = _split_of(source.get("format")) or _split_of(spec.get("format"))
+    several = separator is not None or types.get(name) == "manyreference"
+    for part, origin in source.items():
+        kind = part_type(name, part, spec, types) if part != "format" else None
+        if kind is None or origin.startswith("="):
+            continue
+        chains = spec.get("filters") or {}
+        value = source_value(df, origin)
+        value = apply_filters(value, chains[part]) if part in chains else value
+        found = _kind(df, value)
+        if isinstance(found, T.ArrayType) and isinstance(found.elementType, T.StringType):
+            yield f"{name}[].{part}", value, kind, formats.get(part)
+        elif isinstance(found, T.StringType) and several:
+            yield f"{name}[].{part}", split_items(value, separator or ";"), kind, formats.get(part)
+        elif isinstance(found, T.StringType):
+            yield f"{name}.{part}", value, kind, formats.get(part)
+
+
+def _read_items(items: Column, fmt: str) -> Column:
+    """Items read by their format, as text in the standard form."""
+    return F.transform(items, lambda x: convert.convert(x, text_type({"format": fmt}), fmt).cast("string"))
+
+
 def _split_of(spec: object) -> str | None:
     return spec.get("split") if isinstance(spec, Mapping) else None
 
@@ -205,8 +251,8 @@ def _kind(df: DataFrame, c: Column) -> T.DataType:
 
 
 def _object_attribute(df: DataFrame, source: Mapping, spec: Mapping, type_: str | None) -> Column:
-    source = dict(source)
-    separator = _split_of(source.pop("format", None))
+    source, formats = dict(source), part_formats(spec)
+    separator = _split_of(source.pop("format", None)) or _split_of(spec.get("format"))
     chains = spec.get("filters") or {}
     listed = spec.get("force_list") or type_ == "manyreference"
 
@@ -221,6 +267,12 @@ def _object_attribute(df: DataFrame, source: Mapping, spec: Mapping, type_: str
         for k, v in source.items()
     }
     kinds = {k: _kind(df, c) for k, c in parts.items()}
+    several = separator is not None or type_ == "manyreference"
+    for k, fmt in formats.items():
+        # A part with a format becomes what the format says; items of a list are read after they are told apart.
+        if isinstance(kinds[k], T.StringType) and not several:
+            parts[k] = convert.convert(parts[k], text_type({"format": fmt}), fmt)
+            kinds[k] = _kind(df, parts[k])
     if spec.get("force_list"):
         return force_list(parts, kinds)
     if separator is not None or type_ == "manyreference":
@@ -229,6 +281,8 @@ def _object_attribute(df: DataFrame, source: Mapping, spec: Mapping, type_: str
             return _list_of(c if isinstance(kinds[name], T.ArrayType) else split_values(c, separator or ";"), name)
         # Parallel lists are zipped with their empty items; pairs without a reference go then.
         lists = {k: c if isinstance(kinds[k], T.ArrayType) else split_items(c, separator or ";") for k, c in parts.items()}
+        for k, fmt in formats.items():
+            lists[k] = _read_items(lists[k], fmt)
         return zipped_reference(lists.pop(REF), **lists)
     if any(isinstance(t, T.ArrayType) for t in kinds.values()):
         return force_list(parts, kinds)

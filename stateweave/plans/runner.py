@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -58,36 +60,60 @@ def scan(
     return files.scan_configured(spark, path, config)
 
 
-def _checked_attributes(definition: Definition, extract: DataFrame, types: Mapping[str, str]):
-    """Scalar attributes that come straight from a text column, with the type they are read as and its format."""
-    text = {f.name for f in extract.schema.fields if isinstance(f.dataType, T.StringType)}
-    for name, spec in definition.mapping.items():
-        source, type_ = spec["source_mapping"], mapping.text_type(spec, types.get(name))
-        direct = isinstance(source, str) and source in text and not spec.get("filters")
-        if direct and type_ is not None and type_ != "manyreference":
-            yield name, source, type_, spec.get("format")
-
-
-def _with_errors(extract: DataFrame, definition: Definition, types: Mapping[str, str]) -> DataFrame:
-    """The extract with the bad attributes of each row; protected values are masked."""
-    found = [
-        F.when(
-            convert.is_bad(F.col(f"`{source}`"), type_, fmt),
-            F.struct(
-                F.lit(name).alias("attribute"),
-                (protect.masked(F.col(f"`{source}`")) if type_.startswith(protect.SECURE) else F.col(f"`{source}`")).alias("value"),
-            ),
-        )
-        for name, source, type_, fmt in _checked_attributes(definition, extract, types)
-    ]
+def _checked_values(extract: DataFrame, specs: Mapping[str, Mapping], types: Mapping[str, str]):
+    """(path, text or list of texts, type, format) of all that an attribute reads as text and whose type is known.
+
+    Attributes are walked into objects and references, and values are taken as
+    their filters leave them.
+    """
+    for name, spec in specs.items():
+        source = spec["source_mapping"]
+        if isinstance(source, Mapping):
+            yield from mapping.nested_values(extract, name, spec, types)
+            continue
+        type_ = mapping.text_type(spec, types.get(name))
+        if type_ is None or type_ == "manyreference" or source.startswith("="):
+            continue
+        value = mapping.source_value(extract, source)
+        if isinstance(extract.select(value.alias("v")).schema["v"].dataType, T.StringType):
+            yield name, mapping.apply_filters(value, spec.get("filters") or []), type_, spec.get("format")
+
+
+def _with_errors(extract: DataFrame, specs: Mapping[str, Mapping], types: Mapping[str, str]) -> DataFrame:
+    """The extract with the bad values of each row and their paths (``ref.begin``, ``refs[2].begin``, from 0); protected ones are masked."""
+
+    def error(path: Column, value: Column, type_: str, fmt: str | None) -> Column:
+        shown = protect.masked(value) if type_.startswith(protect.SECURE) else value
+        return F.when(convert.is_bad(value, type_, fmt), F.struct(path.alias("attribute"), shown.alias("value")))
+
+    def errors(path: str, values: Column, type_: str, fmt: str | None) -> Column:
+        head, tail = path.split("[]")
+        place = lambda i: F.concat(F.lit(f"{head}["), i.cast("string"), F.lit(f"]{tail}"))
+        return F.transform(values, lambda x, i: error(place(i), x, type_, fmt))
+
+    values = list(_checked_values(extract, specs, types))
+    single = [error(F.lit(path), *rest) for path, *rest in values if "[]" not in path]
+    lists = [errors(path, *rest) for path, *rest in values if "[]" in path]
     empty = F.array().cast("array<struct<attribute:string,value:string>>")
-    return once(extract, "_errors", F.array_compact(F.array(*found)) if found else empty)
+    found = [*([F.array(*single)] if single else []), *(F.coalesce(x, empty) for x in lists)]
+    return once(extract, "_errors", F.array_compact(F.concat(*found)) if found else empty)
 
 
-def _split(checked: DataFrame, entity_id: str) -> tuple[DataFrame, DataFrame]:
-    key = F.col(f"`{entity_id}`").cast("string").alias("_id")
-    bad = checked.select(key, F.explode("_errors").alias("e")).select("_id", "e.attribute", "e.value")
-    return checked.where(F.size("_errors") == 0).drop("_errors"), bad
+def _split(checked: DataFrame, key: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Rows to load and the quarantine, which has a row for each bad value and for each row of a key that comes more than once.
+
+    Keys are counted before any row is refused.  A row whose state number is
+    bad has no key to be counted by.
+    """
+    columns = list(key)
+    sound = ~F.exists("_errors", lambda e: F.array_contains(F.lit(list(key.values())), e["attribute"]))
+    doubled = quality.duplicate_keys(checked.where(sound), columns)
+    marked = checked.alias("c").join(doubled.alias("d"), same("c", "d", columns), "left").select("c.*", (F.col("d.n").isNotNull() & sound).alias("__twice"))
+    name = F.concat_ws("/", *[F.col(k).cast("string") for k in columns])
+    twice = F.when(F.col("__twice"), F.array(F.struct(F.lit("_key").alias("attribute"), name.alias("value")))).otherwise(F.array())
+    bad = marked.select(*[F.col(k).alias(n) for k, n in key.items()], F.explode(F.concat("_errors", twice)).alias("e"))
+    valid = marked.where((F.size("_errors") == 0) & ~F.col("__twice")).drop("_errors", "__twice", *[k for k in columns if k != "__id"])
+    return valid, bad.select(*key.values(), "e.attribute", "e.value")
 
 
 def _sources(spec: Mapping) -> list[str]:
@@ -169,8 +195,9 @@ def run(
     before, ``members`` the datasets a geometry union draws on.  An attribute that
     reads a column the extract lacks is an error, or NULL when ``lenient``.
 
-    Rows with a bad value, and all rows of a key that comes more than once, go to
-    the quarantine: they are not loaded, and their records are not deleted either.
+    Rows with a bad value, in a reference or an object as well, and all rows of a
+    key that comes more than once go to the quarantine: they are not loaded, and
+    their states are not deleted either.
     When the extract has fewer rows than the definition asks for, the guard says
     so and there are no changes.  Attributes of ``secure_*`` types are replaced
     with pseudonyms under ``salt`` before anything is written.
@@ -183,24 +210,22 @@ def run(
         left_out |= dict.fromkeys(sorted(_missing_sources(definition, extract)))
     specs = {n: s for n, s in definition.mapping.items() if n not in left_out}
     absent = {n: convert.SPARK_TYPES.get(types.get(n, "string"), "string") for n in left_out}
-    checked = _with_errors(extract, definition, types).withColumn("__id", F.col(f"`{definition.entity_id}`").cast("string"))
+    key = _key(definition)
+    checked = _with_errors(extract, specs, types).withColumn("__id", F.col(f"`{definition.entity_id}`").cast("string"))
+    places = {"__id": "_id"}
+    if "volgnummer" in key:
+        checked = checked.withColumn("__number", mapping.attribute(extract, definition.mapping["volgnummer"], types.get("volgnummer")))
+        places["__number"] = "volgnummer"
     checked, specs, types = _protected(checked, specs, types, salt)
     if stage:
         checked = staged(checked, "extract")
-    valid, quarantine = _split(checked, "__id")
+    valid, quarantine = _split(checked, places)
     guard = quality.row_guard({definition.table: (checked, definition.min_rows)})
 
     entity = mapping.map_entity(valid, specs, types, keep=[F.col("__id").alias("_id")])
     entity = projection.add_not_provided(entity, absent)
     lineage = {"_source": definition.source_name, "_application": definition.application}
     entity = entity.withColumns({n: F.lit(v) for n, v in lineage.items()})
-    key = _key(definition)
-    doubled = quality.duplicate_keys(entity, key).alias("d")
-    twice = entity.alias("e").join(doubled, same("e", "d", key), "left_semi")
-    quarantine = quarantine.unionByName(
-        twice.select("_id", F.lit("_key").alias("attribute"), F.concat_ws("/", *[F.col(k).cast("string") for k in key]).alias("value"))
-    )
-    entity = entity.alias("e").join(doubled, same("e", "d", key), "left_anti")
 
     for name, spec in definition.enrich.items():
         if spec["type"] == "autoid":
@@ -217,10 +242,14 @@ def run(
     diff = None
     if current is not None:
         compared = [c for c in entity.columns if c not in (*key, *SYSTEM)]
+        # A refused state spares itself; one whose number is not known spares the record.
+        known = reduce(and_, [F.col(k).isNotNull() for k in key[1:]], F.lit(True))
         diff = changes.snapshot_diff(
             current, entity, key, compare=compared, mode=mode, source="_source",
-            loaded_sources=[definition.source_name], seen=quarantine, seen_key=["_id"],
+            loaded_sources=[definition.source_name], seen=quarantine.where(known), seen_key=key,
         )
+        if len(key) > 1:
+            diff = changes.spare(diff, quarantine.where(~known), ["_id"])
         diff = diff.where(guard.agg(F.min("ok").alias("ok")).scalar())
     return Load(entity, quarantine, guard, diff)
 

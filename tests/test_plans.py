@@ -244,3 +244,43 @@ def test_protected_attributes_of_a_run(frame):
     assert len(row["geheim"]) == len(row["ref"]["bronwaarde"]) == len(row["moment"]) == 64
     (bad,) = load.quarantine.collect()
     assert (bad["_id"], bad["attribute"], bad["value"]) == ("2", "moment", "xxxn")
+
+
+def test_refused_states_and_doubled_keys(frame):
+    d = _simple(k={"source_mapping": "k"}, volgnummer={"source_mapping": "nr"}, n={"source_mapping": "n"})
+    types = {"n": "integer", "volgnummer": "integer"}
+    rows = frame("k string, nr string, n string", *[("a", str(i), "1") for i in (1, 2, 3)], *[("b", str(i), "1") for i in (1, 2)], ("c", "1", "1"))
+    first = runner.run(d, rows, types)
+    # a/2 is bad and a/3 gone; b/1 comes twice, once bad; c has a state of unknown number and c/1 is gone.
+    load = frame("k string, nr string, n string", ("a", "1", "1"), ("a", "2", "x"), ("b", "1", "1"), ("b", "1", "y"), ("b", "2", "1"), ("c", "z", "1"), ("c", "q", "1"))
+    second = runner.run(d, load, types, current=first.entity)
+    actions = {(r["_id"], r["volgnummer"]): r["action"] for r in second.changes.collect()}
+    assert actions == {("a", 1): "CONFIRM", ("a", 3): "DELETE", ("b", 2): "CONFIRM"}
+    bad = sorted((r["_id"], r["volgnummer"] or 0, r["attribute"], r["value"]) for r in second.quarantine.collect())
+    assert bad == [("a", 2, "n", "x"), ("b", 1, "_key", "b/1"), ("b", 1, "_key", "b/1"), ("b", 1, "n", "y"), ("c", 0, "volgnummer", "q"), ("c", 0, "volgnummer", "z")]
+    assert sorted((r["_id"], r["volgnummer"]) for r in second.entity.collect()) == [("a", 1), ("b", 2)]
+
+
+def test_nested_values_are_checked_and_read(frame):
+    d = _simple(
+        k={"source_mapping": "k"},
+        ref={"source_mapping": {"bronwaarde": "r", "begin_geldigheid": "rb"}},
+        refs={"source_mapping": {"bronwaarde": "m", "begin_geldigheid": "mb", "format": {"split": ";", "begin_geldigheid": "%d-%m-%Y"}}},
+        deel={"source_mapping": {"dag": "d", "x": "k"}, "format": {"dag": "%Y%m%d"}},
+        los={"source_mapping": "u", "filters": [["upper"]], "format": "JN"},
+    )
+    rows = frame(
+        "k string, r string, rb string, m string, mb string, d string, u string",
+        ("1", "x", "2001-01-01", "a;b", "01-02-2003;", "20010203", "j"),
+        ("2", "x", "nodate", "a;b;c", ";31-02-2003;x", "2001", "k"),
+        ("3", None, None, None, None, None, None),
+    )
+    load = runner.run(d, rows)
+    bad = sorted((r["_id"], r["attribute"], r["value"]) for r in load.quarantine.collect())
+    assert bad == [
+        ("2", "deel.dag", "2001"), ("2", "los", "K"), ("2", "ref.begin_geldigheid", "nodate"),
+        ("2", "refs[1].begin_geldigheid", "31-02-2003"), ("2", "refs[2].begin_geldigheid", "x"),
+    ]
+    got = {r["_id"]: r for r in load.entity.collect()}
+    assert sorted(got) == ["1", "3"] and got["1"]["los"] is True and str(got["1"]["deel"]["dag"]) == "2001-02-03"
+    assert [(e["bronwaarde"], e["begin_geldigheid"]) for e in got["1"]["refs"]] == [("a", "2003-02-01"), ("b", None)]
