@@ -51,7 +51,7 @@ def text_part(text: Column) -> Column:
 
 
 def visit(part: Column, place: Column) -> Column:
-    """What one part becomes: its text in the turn, its reference, and its token count once expanded."""
+    """What one part becomes: its text or placeholder in the turn, its reference, and its token count once expanded."""
     kind = F.lower(F.coalesce(part["kind"], F.lit("text")))
     tokens = (
         F.when(kind == "image", F.ceil(part["width"] / PATCH) * F.ceil(part["height"] / PATCH))
@@ -63,11 +63,28 @@ def visit(part: Column, place: Column) -> Column:
     is_text = kind == "text"
     mark = F.concat(F.lit("<|"), escape(kind), F.lit(":"), place.cast("string"), F.lit("|>"))
     return F.struct(
-        F.when(is_text, escape(F.coalesce(part["text"], F.lit("")))).otherwise(mark).alias("shown"),
+        is_text.alias("text"),
+        F.when(is_text, F.coalesce(part["text"], F.lit(""))).otherwise(mark).alias("shown"),
         F.when(~is_text, F.struct(place.alias("place"), kind.alias("kind"), part["ref"].alias("ref"), F.coalesce(tokens, F.lit(0).cast("long")).alias("tokens"))).alias("attachment"),
     )
 
 
+def _flattened(seen: Column) -> Column:
+    """The text of a turn: neighbouring texts are one before they are escaped, so none is a part of a control string."""
+
+    def add(runs: Column, part: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        grown = F.struct(F.lit(True).alias("text"), F.concat(last["shown"], part["shown"]).alias("shown"))
+        joins = F.coalesce(last["text"], F.lit(False)) & part["text"]
+        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))).otherwise(
+            F.concat(runs, F.array(F.struct(part["text"].alias("text"), part["shown"].alias("shown"))))
+        )
+
+    runs = F.aggregate(seen, F.array().cast("array<struct<text:boolean,shown:string>>"), add)
+    # A placeholder begins with < and ends with >, which no text can go on to a control string.
+    return F.array_join(F.transform(runs, lambda r: F.when(r["text"], escape(r["shown"])).otherwise(r["shown"])), "")
+
+
 def format_turns(turns: DataFrame, parts: str = "parts", role: str = "role", result: str = "formatted") -> DataFrame:
     """Add ``result`` (text, attachments, expanded_tokens, loss) to each turn.
 
@@ -81,7 +98,7 @@ def format_turns(turns: DataFrame, parts: str = "parts", role: str = "role", res
         "__seen", F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), lambda p, i: visit(p, i))
     )
     attachments = F.filter(F.transform("__seen", lambda s: s["attachment"]), lambda a: a.isNotNull())
-    body = F.array_join(F.transform("__seen", lambda s: s["shown"]), "")
+    body = _flattened(F.col("__seen"))
     name = F.coalesce(F.col(role), F.lit(""))
     value = F.struct(
         F.concat(F.lit(START), escape(name), F.lit(BODY), body, F.lit(END)).alias("text"),

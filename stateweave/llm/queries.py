@@ -40,8 +40,12 @@ def op3_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     return line_windows.remove_repeated_windows(docs).select("doc_id", "kept.n_lines", "kept.n_removed", sha256(F.coalesce("kept.text", F.lit(""))).alias("kept_sha256"))
 
 
+# Rows equal in doc_id and text are one document here too.
 OP3_SQL = """
-WITH docs AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id, md5(coalesce(text, ''))) AS d, string_split(text, chr(10)) AS lines FROM documents),
+WITH docs AS (
+  SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS d, string_split(text, chr(10)) AS lines
+  FROM (SELECT DISTINCT doc_id, text FROM documents)
+),
 starts AS (
   SELECT d, i, list_slice(lines, i, i + 2) AS w
   FROM (SELECT d, lines, unnest(range(1, len(lines) - 1)) AS i FROM docs WHERE text IS NOT NULL)
@@ -53,8 +57,8 @@ kept AS (
   SELECT r.d, count(g.i) AS n_removed, string_agg(r.line, chr(10) ORDER BY r.i) FILTER (WHERE g.i IS NULL) AS text
   FROM rows r LEFT JOIN gone g ON g.d = r.d AND g.i = r.i GROUP BY r.d
 )
-SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
-FROM docs LEFT JOIN kept k USING (d)
+SELECT o.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents o JOIN docs ON docs.doc_id IS NOT DISTINCT FROM o.doc_id AND docs.text IS NOT DISTINCT FROM o.text LEFT JOIN kept k USING (d)
 """
 
 
