@@ -217,13 +217,19 @@ def _items(t):
 
 
 _PAIR = "FROM i b JOIN i d ON d.item_key = b.it_parent_key WHERE d.item_deleted IS NULL AND b.item_deleted IS NULL"
-_IMPORTED = f"""{_PAIR} AND b.subject2 IS NOT NULL AND upper(substring(b.subject1, 8, 2)) IN
-    ('GV','MB','PC','RO','SB','TM','SA','SC','SD','SE','SF','SG','SH','SJ','SK','SM','SN','SP','SQ','SR','ST','SU','SV','SW','WP')"""
+# Codes of the suppliers of imported documents.
+_SUPPLIERS = """('GV','MB','PC','RO','SB','TM','SA','SC','SD','SE','SF','SG','SH','SJ','SK','SM','SN','SP','SQ','SR','ST','SU','SV','SW','WP')"""
+_IMPORTED = f"{_PAIR} AND b.subject2 IS NOT NULL AND upper(substring(b.subject1, 8, 2)) IN {_SUPPLIERS}"
 
 
 @check(
     "source_documents",
-    f"""WITH i AS ({_ITEMS})
+    f"""WITH i AS MATERIALIZED ({_ITEMS}),
+             d AS MATERIALIZED (SELECT item_key FROM i WHERE item_deleted IS NULL),
+             b AS MATERIALIZED (
+               SELECT item_key, it_parent_key, item_created, subject1, subject2 FROM i
+               WHERE item_deleted IS NULL AND it_parent_key IS NOT NULL AND subject2 IS NOT NULL AND upper(substring(subject1, 8, 2)) IN {_SUPPLIERS}
+                 AND NOT (subject1 = '\\IMPDOCSA\\' AND subject2 = 'SE06894773_OV00ML.pdf'))
         SELECT b.subject1, b.subject2 AS documentnummer, upper(substring(b.subject2, 1, 2)) AS bronleverancier_code,
                CASE upper(substring(b.subject2, 1, 2)) WHEN 'SE' THEN 'Stadsdeel West' WHEN 'GV' THEN 'Gegevensbeheer (Basisinformatie)' END AS bronleverancier_omschrijving,
                upper(substring(b.subject2, 12, 2)) AS typedossier_code,
@@ -231,7 +237,7 @@ _IMPORTED = f"""{_PAIR} AND b.subject2 IS NOT NULL AND upper(substring(b.subject
                upper(substring(b.subject2, 16, 2)) AS typebrondocument_code,
                CASE upper(substring(b.subject2, 16, 2)) WHEN 'ML' THEN 'Statusmelding' END AS typebrondocument_omschrijving,
                b.item_created AS registratiedatum, b.item_key AS source_id
-        {_IMPORTED} AND NOT (b.subject1 = '\\IMPDOCSA\\' AND b.subject2 = 'SE06894773_OV00ML.pdf')""",
+        FROM b JOIN d ON d.item_key = b.it_parent_key""",
 )
 def _(t):
     return registers.source_documents(_items(t))

@@ -58,13 +58,20 @@ def _(t):
     return files.scan_csv(t.spark, path, columns=["key", "name", "segment"], header=False)
 
 
-@check("s8_file_listing", "SELECT DISTINCT lang, source FROM documents")
+@check(
+    "s8_file_listing",
+    "SELECT lang, source, count(*) AS rows, true AS sized, CAST(1 AS BIGINT) AS files FROM documents GROUP BY lang, source",
+)
 def _(t):
+    """Every file by name, held against the rows that reading it gives; one file a folder."""
     path = shared_path(t.spark, "files")
-    t.documents.select("doc_id", "lang", "source").write.partitionBy("lang", "source").parquet(path)
+    t.documents.select("doc_id", "lang", "source").repartition("lang", "source").write.partitionBy("lang", "source").parquet(path)
     listed = files.scan_files(t.spark, path, r".+\.parquet$")
     part = lambda key: F.regexp_extract("name", rf"{key}=([^/]+)/", 1).alias(key)
-    return listed.where(F.col("length") > 0).select(part("lang"), part("source")).distinct()
+    read = t.spark.read.parquet(path).groupBy(F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+/[^/]+)$", 1).alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    named = listed.select(F.regexp_extract("name", r"([^/]+/[^/]+/[^/]+)$", 1).alias("file"), part("lang"), part("source"), (F.col("length") > 0).alias("sized"))
+    both = named.join(read, "file", "left").groupBy("lang", "source")
+    return both.agg(F.sum("rows").alias("rows"), F.min("sized").alias("sized"), F.count(F.lit(1)).alias("files"))
 
 
 @check(
