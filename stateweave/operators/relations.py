@@ -197,30 +197,39 @@ def relate_temporal(
     own, end = F.col("s_own_begin"), F.col("s_end")
     collapsed = F.coalesce(own == end, F.lit(False))
     s = s.withColumn("s_begin", F.when(collapsed, own).otherwise(F.col("s_begin")))
-    row = F.struct(*s.columns).alias("__row")
-    states = s.groupBy(*s.columns).agg(F.count(F.lit(1)).cast("int").alias("__copies"))
-    single = states.drop("__copies")
+    states = s.select(F.struct(*s.columns).alias("__row")).groupBy("__row").agg(F.count(F.lit(1)).alias("__copies"))
 
     begin, until = F.greatest("s_begin", "d_begin"), F.least("s_end", "d_end")
-    whole = _pairs(single.where(~collapsed), d, F.coalesce(begin < until, F.lit(True))).select(
-        row, "d_id", "d_number", begin.alias("begin_geldigheid"), until.alias("eind_geldigheid")
-    )
-    if fill_gaps:
-        whole = staged(whole, "matches")
-        whole = whole.unionByName(_gaps(whole), allowMissingColumns=True)
-
+    overlaps = F.coalesce(begin < until, F.lit(True))
     in_force = F.coalesce(F.col("d_begin") <= own, F.lit(True)) & F.coalesce(own < F.col("d_end"), F.lit(True))
     at_once = F.coalesce((F.col("d_begin") == own) & (F.col("d_end") == own), F.lit(False))
     ends_then = F.coalesce(F.col("d_end") == own, F.lit(False))
+    # States and moments meet their destinations in one join; a state's are told apart, of a moment's the best is taken.
+    pairs = _pairs(states.select("__row.*"), d, F.when(collapsed, in_force | at_once | ends_then).otherwise(overlaps))
+    each = F.struct("d_id", "d_number", begin.alias("begin"), until.alias("until"))
     preference = F.when(in_force | at_once, F.lit(1)).otherwise(F.lit(0))
-    near = _pairs(single.where(collapsed), d, in_force | at_once | ends_then)
-    best = F.max(F.struct(preference.alias("p"), F.col("d_number").alias("n"), F.col("d_id").alias("id")))
-    chosen = near.groupBy(row).agg(best.alias("__top"))
-    points = chosen.select(
-        "__row", F.col("__top.id").alias("d_id"), F.col("__top.n").alias("d_number"),
-        F.col("__row.s_own_begin").alias("begin_geldigheid"), F.col("__row.s_end").alias("eind_geldigheid"),
+    met = pairs.select(
+        F.struct(*s.columns).alias("__row"),
+        F.when(~collapsed, each).alias("__one"),
+        F.struct(preference.alias("p"), F.col("d_number").alias("n"), F.col("d_id").alias("id")).alias("__best"),
     )
-    found = whole.unionByName(points)
-    keyed = states.select(row, "__copies")
-    joined = keyed.join(found, "__row", "left").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return joined.select("__row.s_id", "__row.s_number", "__row.s_match", "d_id", "d_number", "begin_geldigheid", "eind_geldigheid")
+    found = met.repartition("__row").groupBy("__row", "__one").agg(F.max("__best").alias("__best"), F.count(F.lit(1)).alias("__times"))
+    point = F.col("__one").isNull()
+    pick = lambda best, one: F.when(point, best).otherwise(one)
+    found = found.select(
+        "__row",
+        pick(F.col("__best.id"), F.col("__one.d_id")).alias("d_id"),
+        pick(F.col("__best.n"), F.col("__one.d_number")).alias("d_number"),
+        pick(F.col("__row.s_own_begin"), F.col("__one.begin")).alias("begin_geldigheid"),
+        pick(F.col("__row.s_end"), F.col("__one.until")).alias("eind_geldigheid"),
+        pick(F.lit(1), F.col("__times")).alias("__times"),
+        point.alias("__point"),
+    )
+    if fill_gaps:
+        found = staged(found, "matches")
+        found = found.unionByName(_gaps(found.where("NOT __point")), allowMissingColumns=True)
+    joined = states.join(found, "__row", "left")
+    # Copies of a source row each keep theirs, and so do copies of a destination.
+    times = F.col("__copies") * F.coalesce("__times", F.lit(1))
+    copied = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
+    return copied.select("__row.s_id", "__row.s_number", "__row.s_match", "d_id", "d_number", "begin_geldigheid", "eind_geldigheid")
