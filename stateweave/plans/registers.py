@@ -26,7 +26,7 @@ _moment = lambda c: dates.moment_text(F.col(c))
 
 
 def _simplified(c: Column) -> Column:
-    """Single polygons simplified; other geometries as they are."""
+    """Polygons simplified, each ring of every one; other geometries as they are."""
     return wkt.simplify_text(c, TOLERANCE)
 
 
