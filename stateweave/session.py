@@ -56,12 +56,6 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the shared root unless the session already has a folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, safe from lost executors."""
     path = shared_path(df.sparkSession, label)
