@@ -15,18 +15,21 @@ CONTRACTED = 1 << 20
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for every node of ``links`` (a, b: long) the smallest node it can reach.
 
-    Each task first contracts its own links to spanning stars, so that chains are
-    short and few links are shuffled.  Then large-star and small-star steps alternate.  Each round hooks a node's
-    larger neighbours to its smallest one, so the paths shorten geometrically,
-    and every round is a written table, so a lost executor costs one round.
+    Large-star and small-star steps alternate.  A round hooks a node's larger
+    neighbours to its smallest one, so the paths shorten geometrically.  Before
+    each step tasks contract the links they hold to spanning stars, which joins
+    the same nodes by fewer links; a node's least neighbour only ever falls, so
+    a round that changes nothing is the last.  Every step is a written table of
+    its own: a lost executor costs one step, and no plan holds another step's.
     A hot node only ever sends its neighbours one row each.  Null nodes and
     self links are left out; repeated links count once.
     """
     sound = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    edges = staged(_pairs(sound.mapInArrow(_contract, "a long, b long"), "a", "b"), "links")
+    edges = staged(_contracted(sound), "links")
     before = None
     while True:
-        edges = staged(_star(_star(edges, large=True), large=False), "stars")
+        larger = staged(_contracted(_star(edges, large=True)), "larger")
+        edges = staged(_contracted(_star(larger, large=False)).distinct(), "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -67,25 +70,21 @@ def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[moved], pa.int64()), pa.array(nodes[parent[moved]], pa.int64())], names=["a", "b"])
 
 
-def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct pairs, larger node first."""
-    return df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+def _contracted(links: DataFrame) -> DataFrame:
+    return links.mapInArrow(_contract, "a long, b long")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large: link each larger neighbour to the least of the neighbourhood; small: each smaller one."""
-    if large:
-        seen = edges.union(edges.select("b", "a"))
-    else:
-        seen = edges
+    """Large: link each larger neighbour to the least of the neighbourhood; small: each smaller one.
+
+    Rows (a, b), a > b, are what comes in and goes out.
+    """
+    seen = edges.union(edges.select("b", "a")) if large else edges
     least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     # Never a broadcast, which the driver would build anew in every round.
     joined = seen.join(least.hint("merge"), "a")
     if large:
-        out = joined.where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         # A node with no larger neighbour keeps its link to the least.
-    else:
-        out = joined.select(F.col("b").alias("x"), F.col("m").alias("y")).union(
-            least.select(F.col("a").alias("x"), F.col("m").alias("y"))
-        )
-    return _pairs(out.where("x <> y"), "x", "y")
+        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    # The node itself takes the place of its least neighbour, which needs no link to itself.
+    return joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
