@@ -44,7 +44,14 @@ BOILER_WORDS = frozenset(
     " skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets alert copyright complementary"
     " contentinfo".split()
 )
+#: Those of them that also stand in anchors and labels inside an article.
+ANCHOR_WORDS = frozenset("discussion disclaimer form header legal notice related reply responses search share sharing social tags".split())
+#: Words before one that say what a layout has beside it, not what it is.
+LAYOUT_WORDS = frozenset("has with no without".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+#: How a block of reader comments is headed that has no name.
+COMMENTS_TITLE = re.compile(r"\W*(?:\d+\s+)?(?:comments?|replies|responses|leave a (?:comment|reply))\W*(?:\d+\W*)?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = frozenset("head nav header footer aside form dialog menu".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 FRAME_TAGS = frozenset(("#root", "html", "body"))
@@ -71,6 +78,8 @@ class Node:
     chars: int = 0  # of its text, descendants included
     linked: int = 0  # of which inside links
     own: int = 0  # of its text outside block children
+    title: str = ""  # of a heading, its text; of another element, that of the heading it begins with
+    purpose: str = ""  # what its tag, attributes and title name
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -96,6 +105,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes[node].children.append(len(nodes) - 1)
                 node = len(nodes) - 1
             out.append((node, raw))
+            if nodes[node].tag in HEADINGS and len(nodes[node].title) < 100:
+                nodes[node].title += raw[:100]
             n = len(raw) - raw.count(" ")
             nodes[node].own += n
             if links:
@@ -180,7 +191,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         node.chars += node.own
         if node.parent >= 0:
             nodes[node.parent].chars += node.chars
-            nodes[node.parent].linked += node.linked
+            above = nodes[node.parent]
+            above.linked += node.linked
+            if node.tag in HEADINGS and above.children[0] == i and above.tag not in HEADINGS:
+                above.title = node.title
+    _name(nodes)
     return nodes, out
 
 
@@ -208,23 +223,65 @@ def _control_ends(page: str) -> dict[int, int]:
     return out
 
 
-def features(node: Node) -> tuple[str, list[str]]:
-    """What is seen of an element: the purpose its tag or attributes name; its tag, length of text and share of links, in a few grades."""
-    words, hidden = [], False
+def _names(node: Node) -> tuple[bool, bool, bool, bool]:
+    """What the tag, attributes and title of an element name: hidden, boilerplate, perhaps boilerplate, content."""
+    strong, weak, hidden = [], [], False
     for name, *values in _ATTRIBUTE.findall(node.attributes):
-        value = "".join(values).lower()
-        if name.lower() == "hidden" or name.lower() == "style" and "display:none" in value.replace(" ", ""):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "style" and "display:none" in value.lower().replace(" ", ""):
             hidden = True
+            continue
+        words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+        words = [w for before, w in zip(["", *words], words) if before not in LAYOUT_WORDS]
+        if name not in ("id", "aria-label"):
+            strong += words
+        elif node.tag not in TEXT_TAGS:  # an anchor of a line is no purpose
+            weak += words
+    own = BOILER_WORDS.intersection(strong) or BOILER_WORDS.intersection(weak) - ANCHOR_WORDS
+    commented = node.tag not in HEADINGS and bool(node.title) and COMMENTS_TITLE.fullmatch(" ".join(node.title.split())) is not None
+    boiler = node.tag in BOILER_TAGS - {"header"} or bool(own) or commented
+    content = node.tag in CONTENT_TAGS or not CONTENT_WORDS.isdisjoint(strong + weak)
+    return hidden, boiler, not boiler and not BOILER_WORDS.isdisjoint(weak), content
+
+
+def _name(nodes: list[Node]) -> None:
+    """Give each element its purpose.
+
+    A region named for something else that holds most of the page's running text
+    and its largest content region, or is a form, only stands around it.
+    """
+    names = [_names(node) for node in nodes]
+    plain = [node.chars - node.linked for node in nodes]
+    regions = [i for i, (_, boiler, _, content) in enumerate(names) if content and (not boiler or nodes[i].tag in CONTENT_TAGS)]
+    holds, at = set(), max(regions, key=lambda i: (plain[i], -i), default=0)
+    while at > 0:
+        at = nodes[at].parent
+        holds.add(at)
+    for i, (node, (hidden, boiler, perhaps, content)) in enumerate(zip(nodes, names)):
+        around = 2 * plain[i] >= plain[0] > 0 and (i in holds or node.tag == "form")
+        if node.tag in FRAME_TAGS:
+            node.purpose = "frame"
+        elif hidden:
+            node.purpose = "boiler"
+        elif (boiler or perhaps) and around:
+            node.purpose = "around"
+        elif boiler and node.tag in CONTENT_TAGS:
+            node.purpose = "doubtful"
+        elif boiler:
+            node.purpose = "boiler"
+        elif node.tag == "header":
+            node.purpose = "header"
+        elif content:
+            node.purpose = "content"
         else:
-            words += re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(values)).lower())
-    boiler = hidden or node.tag in BOILER_TAGS - {"header"} or not BOILER_WORDS.isdisjoint(words)
-    content = node.tag in CONTENT_TAGS or not CONTENT_WORDS.isdisjoint(words)
-    named = "boiler" if boiler else "header" if node.tag == "header" else "content" if content else "none"
-    if node.tag in FRAME_TAGS:
-        named = "frame"
+            node.purpose = "perhaps" if perhaps else "none"
+
+
+def features(node: Node) -> tuple[str, list[str]]:
+    """What is seen of an element: its purpose; its tag, length of text and share of links, in a few grades."""
     length = min(6, int(math.log2(1 + node.own) / 1.5))
     links = int(4 * node.linked / node.chars) if node.chars else 0
-    return named, [f"tag={node.tag}"] * (node.tag in TEXT_TAGS) + [f"length={length}", f"links={links}"]
+    return node.purpose, [f"tag={node.tag}"] * (node.tag in TEXT_TAGS) + [f"length={length}", f"links={links}"]
 
 
 #: States of an element: part of the frame around regions, of the content, of a region that serves something else.
@@ -237,7 +294,8 @@ def seeds(nodes: list[Node]) -> list[int]:
     for node in nodes:
         above = out[node.parent] if node.parent >= 0 else FRAME
         named = features(node)[0]
-        other = above == OTHER or named == "boiler" or named == "header" and above == FRAME  # an article's header is its heading
+        other = above == OTHER or named == "boiler" or named in ("header", "perhaps") and above == FRAME  # an article's header is its heading
+        other = other or named == "doubtful" and above == CONTENT  # an article inside another, named for something else
         out.append(FRAME if node.tag in FRAME_TAGS else OTHER if other else CONTENT if node.tag in CONTENT_TAGS else above)
     return out
 
@@ -281,30 +339,41 @@ def _edge(parent: int, named: str) -> str:
     return f"parent={parent},{named}"
 
 
-#: Pseudo-counts of a child's state by its parent's and by the purpose it names, with which the fixed words and tags enter.
+#: Pseudo-counts of a child's state by its parent's and by its purpose, with which the fixed words and tags enter.
+#: Learned counts come on top of them.
 _PRIOR = {
-    _edge(FRAME, "frame"): [20 * PRIOR, 0.0, 0.0],
+    _edge(FRAME, "frame"): [PRIOR, 0.0, 0.0],
     _edge(FRAME, "none"): [PRIOR, PRIOR, PRIOR / 5],
     _edge(FRAME, "content"): [PRIOR / 5, PRIOR, 0.0],
     _edge(FRAME, "header"): [PRIOR / 50, 0.0, PRIOR],
-    _edge(CONTENT, "none"): [0.0, 20 * PRIOR, 0.0],
-    _edge(CONTENT, "content"): [0.0, PRIOR, 0.0],
-    _edge(CONTENT, "header"): [0.0, PRIOR, 0.0],
+    _edge(FRAME, "around"): [PRIOR, PRIOR / 5, 0.0],
+    _edge(FRAME, "doubtful"): [0.0, PRIOR, PRIOR / 5],
+    _edge(FRAME, "perhaps"): [PRIOR / 5, PRIOR / 5, PRIOR],
+    _edge(CONTENT, "doubtful"): [0.0, PRIOR / 5, PRIOR],
+    _edge(CONTENT, "perhaps"): [0.0, PRIOR, PRIOR / 50],
+    _edge(CONTENT, "frame"): [0.0, 0.0, PRIOR],
+} | {
+    _edge(CONTENT, named): [0.0, PRIOR, 0.0] for named in ("none", "content", "header", "around")
 } | {
-    _edge(parent, named): [0.0, 0.0, 20 * PRIOR]
+    _edge(parent, named): [0.0, 0.0, PRIOR]
     for parent in (FRAME, CONTENT, OTHER)
-    for named in ("none", "content", "header", "boiler", "frame")
-    if parent == OTHER or named == "boiler" or parent == CONTENT and named == "frame"
+    for named in ("none", "content", "header", "around", "doubtful", "perhaps", "boiler", "frame")
+    if parent == OTHER or named == "boiler"
 }
+#: The most that a parent's state and a name together may say for or against a state, in nats.
+NAMED = 5.0
+#: Nats that leave a state no chance.
+GIVEN = 1e4
 #: The most that one feature may say for or against a state, in nats.
 WEAK = 0.5
 
 
 def _potentials(counts: dict[str, list[float]]) -> dict[str, list[float]]:
-    """Smoothed log potentials.
+    """Smoothed log potentials, all of them bounded.
 
-    Those of features are drawn in, and other regions may look like content
-    (comments do), so that only links and the like speak for them.
+    Names weigh up to ``NAMED``.  Other regions may look like content (comments
+    do) and have any number of lines, so of the features only links tell the two
+    apart, and little each.
     """
     kinds: dict[str, list[float]] = {}
     for what, n in counts.items():
@@ -315,7 +384,8 @@ def _potentials(counts: dict[str, list[float]]) -> dict[str, list[float]]:
     for what, n in counts.items():
         kind = what.split("=")[0]
         if kind == "parent":
-            out[what] = [math.log((x + 0.01) / (sum(n) + 0.03)) for x in n]
+            logs = [math.log((x + 0.01) / (sum(n) + 0.03)) for x in n]
+            out[what] = [max(x, max(logs) - NAMED) for x in logs]
             continue
         logs = [math.log((x + 1) / (t + 20)) for x, t in zip(n, kinds[kind])]
         logs[OTHER] = max(logs[OTHER], logs[CONTENT])
@@ -326,15 +396,21 @@ def _potentials(counts: dict[str, list[float]]) -> dict[str, list[float]]:
     return out
 
 
+def evidence(node: Node, potentials: dict[str, list[float]]) -> list[float]:
+    """What an element's own features say for each state; the root, html and body are the frame by what they are."""
+    if node.tag in FRAME_TAGS:
+        return [0.0, -GIVEN, -GIVEN]
+    seen = [p for p in map(potentials.get, features(node)[1]) if p]
+    return [sum(p[s] for p in seen) for s in range(3)]
+
+
 def marginals(nodes: list[Node], potentials: dict[str, list[float]]) -> list[float]:
     """The probability that each element is content: messages from the leaves to the root and back."""
     states = range(3)
     belief, pairs = [], []
     for node in nodes:
-        named, own = features(node)
-        seen = [p for p in map(potentials.get, own) if p]
-        belief.append([sum(p[s] for p in seen) for s in states])
-        pairs.append([potentials[_edge(s, named)] for s in states])
+        belief.append(evidence(node, potentials))
+        pairs.append([potentials[_edge(s, node.purpose)] for s in states])
     up: list[list[float]] = [[0.0] * 3 for _ in nodes]
     for i in range(len(nodes) - 1, 0, -1):  # children come after their parents
         own, pair = belief[i], pairs[i]

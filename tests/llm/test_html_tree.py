@@ -33,6 +33,18 @@ def test_given_pages(spark, potentials):
         ("<article><p>a<b>b</b> c&nbsp; d<br>e &lt;&amp;</article>", "ab c d e <&"),
         ("<article><p>x<script>var a='</p>';</script>y<style>p{}</style><!-- no --></p><p>z <a hre", "xy\nz"),
         ("plain text only", "plain text only"),
+        # A form, a layout class, a category or an anchor that shares a word with boilerplate.
+        (f"<body><form id=aspnetForm><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{P}</p></article><footer>f</footer></form>", f"T\n{P}"),
+        (f"<body><form id=aspnetForm><nav><a href=x>Home</a></nav><h1>How the fox got home</h1><p>{P}</p><p>{P}</p></form>", f"How the fox got home\n{P}\n{P}"),
+        (f"<body><h1>How the fox got home</h1>" + f"<p>{P}</p>" * 30, "\n".join(["How the fox got home"] + [P] * 30)),
+        (f"<body><div class='has-sidebar'><article><h1>T</h1><p>{P}</p></article><div class=sidebar><p>s</p></div></div>", f"T\n{P}"),
+        (f"<body><div class='sidebar layout'><article><h1>T</h1><p>{P}</p></article><div class=sidebar><p>s</p></div></div>", f"T\n{P}"),
+        (f"<body><article class='post tag-search'><h1>T</h1><p>{P}</p></article><div class=related><article><p>{P[:20]}</p></article></div>", f"T\n{P}"),
+        (f"<article><p>{P}</p><h2 id='discussion'>D</h2><p id='social-history'>{P}</p><section id='related-work'><h2>R</h2><p>{P}</p></section></article>", f"{P}\nD\n{P}\nR\n{P}"),
+        (f"<article><p>{P}</p><section aria-label='Search trees'><p>{P}</p></section><p class=advert>buy</p></article>", f"{P}\n{P}"),
+        # Comments: as articles of their own, and headed but unnamed.
+        (f"<article><h1>T</h1><p>{P}</p><ol><li><article class=comment><p>{P}</p><p>{P}</p></article></ol></article>", f"T\n{P}"),
+        (f"<article><h1>T</h1><p>{P}</p>" + f"<section><h2>3 <b>Comments</b></h2>{f'<p>{P}</p>' * 30}</section></article>", f"T\n{P}"),
         (None, ""),
         ("", ""),
         ("<nav><a href=x>only</a></nav>", ""),
@@ -60,7 +72,7 @@ def test_messages_equal_enumeration(potentials):
     import math
 
     nodes, _ = h.parse("<div><p>some text here</p><ul><li><a href=x>link</a></li></ul></div>")
-    own = [[sum(potentials[f][s] for f in h.features(n)[1] if f in potentials) for s in range(3)] for n in nodes]
+    own = [h.evidence(n, potentials) for n in nodes]
     total, content = 0.0, [0.0] * len(nodes)
     for states in itertools.product(range(3), repeat=len(nodes)):
         w = sum(own[i][s] for i, s in enumerate(states))
