@@ -22,10 +22,12 @@ AS_LETTER, PUT_IN, AS_SIGN, DRAWN, KEPT = -0.7, -0.7, -1.0, -0.3, -4.0
 #: Symbols of the language model: edge of a word, a to z, other letters, all else.
 SYMBOLS, OTHER_LETTER, OTHER = 29, 27, 28
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_SPACED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D](?:\x20[^\x20\x09-\x0D]){2,}(?![^\x20\x09-\x0D])")
+_SPACED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D](?:\x20{1,3}[^\x20\x09-\x0D]){2,}(?![^\x20\x09-\x0D])")
+#: What is no letter and lies beyond Latin-1.
+_SIGNS = re.compile(r"[^\x00-\xFF\w]|(?![\x00-\xFF])\d")
 _RUN = re.compile(r"(.)\1*", re.S)
 _EDGES = re.compile(r"^[\W_]{2,}|^[\"'(\[{¡¿«]|[\W_]{2,}$|[.,;:!?\"')\]}…»]$")
-_PLAIN = re.compile(r"(?!.*(.)\1\1)[^\W\d_]+", re.S)
+_PLAIN = re.compile(r"(?!.*(.)\1)[^\W\d_]+", re.S)
 #: Words a task remembers before it starts anew, labelled rows that a classifier is fitted on, and its features.
 REMEMBERED, LABELLED, FEATURES = 1 << 18, 12_000, 4096
 HASHED = 1 << 20
@@ -55,13 +57,15 @@ def fit_characters(docs: DataFrame, text: str = "text") -> CharacterModel:
     for b in range(256):
         c = chr(b)
         table[b] = 0 if c in " \t\n\r\v\f" else symbol(c.lower()) if c.isalpha() else OTHER
-    table[ord("?")] = OTHER_LETTER  # what Latin-1 lacks is mostly letters of other scripts
+    # Other signs stand for question marks and those beyond Latin-1, so that letters alone are replaced by one.
+    table[ord("?")] = OTHER_LETTER
 
     def count(batches):
         counts = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                joined = "  ".join(t for t in batch.column("text").slice(at, 500).to_pylist() if t)
+                joined = "  ".join(t for t in batch.column("text").slice(at, 500).to_pylist() if t).replace("?", "!")
+                joined = joined if joined.isascii() else _SIGNS.sub("!", joined)
                 s = table[np.frombuffer(f"  {joined}  ".encode("latin-1", "replace"), np.uint8)]
                 # Words part at any run of white space: two edges before each word, one behind.
                 keep = np.ones(len(s), bool)
@@ -100,23 +104,28 @@ def _choices(c: str, n: int) -> list[tuple[str, float]]:
 def restore_word(token: str, model: CharacterModel) -> str:
     """The likeliest word behind a token: Viterbi over the lattice of its runs' choices.
 
-    A word of plain letters has one path and stays itself, as does a token
-    without letters.
+    A word of plain letters, none of them doubled, has one path and stays
+    itself, as does a token without letters.
     """
     word = _EDGES.sub("", token)
     if _PLAIN.fullmatch(word) or not any(map(str.isalpha, word)):
         return word
+    return _likeliest([_choices(run[1], len(run[0])) for run in _RUN.finditer(word)], model)
+
+
+def _likeliest(lattice: list[list[tuple[str, float]]], model: CharacterModel) -> str:
+    """The best path through choices (text, cost) under the model: Viterbi over the last two symbols. A space ends a word."""
     log = model.log
     best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for run in _RUN.finditer(word):
+    for step in lattice:
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
-        choices = [(t, [symbol(c) for c in t], cost) for t, cost in _choices(run[1], len(run[0]))]
+        choices = [(t, [0 if c == " " else symbol(c) for c in t], cost) for t, cost in step]
         for (a, b), (total, path) in best.items():
             for text, symbols, cost in choices:
                 x, y, own = a, b, total + cost
                 for c in symbols:
                     own += log[(x * SYMBOLS + y) * SYMBOLS + c]
-                    x, y = y, c
+                    x, y = (y, c) if c else (0, 0)
                 held = new.get((x, y))
                 if held is None or own > held[0]:
                     new[x, y] = own, (path, text)
@@ -130,14 +139,20 @@ def restore_word(token: str, model: CharacterModel) -> str:
 
 
 def _unspace(text: str, model: CharacterModel) -> str:
-    """Join letters set apart by single spaces where that is likelier than as many words of one letter."""
+    """Words of characters set apart: after each one the lattice has a space or none, and the path says where words end.
+
+    Characters without a letter among them stay as they are.
+    """
 
-    def joined(m: re.Match) -> str:
-        letters = m[0].split(" ")
-        word = restore_word("".join(letters), model)
-        return word if word and model.word(word) > sum(map(model.word, letters)) else m[0]
+    def decoded(m: re.Match) -> str:
+        if not any(map(str.isalpha, m[0])):
+            return m[0]
+        lattice = []
+        for c in m[0].split():
+            lattice += [_choices(c, 1), [("", 0.0), (" ", 0.0)]]
+        return _likeliest(lattice[:-1], model)
 
-    return _SPACED.sub(joined, text)
+    return _SPACED.sub(decoded, text)
 
 
 def restore_text(text: str, model: CharacterModel) -> str:

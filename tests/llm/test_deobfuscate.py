@@ -17,7 +17,9 @@ def model(spark):
 
 @pytest.mark.parametrize(
     "seen, meant",
-    [("1d10t", "idiot"), ("l0ser!!", "loser"), ("st*u*p*i*d", "stupid"), ("moooooron", "moron"), ("p@thetic", "pathetic"), ("i d i o t", "idiot"), ("forest,", "forest"), ("still", "still"), ("2024", "2024"), ("", "")],
+    [("1d10t", "idiot"), ("l0ser!!", "loser"), ("st*u*p*i*d", "stupid"), ("moooooron", "moron"), ("p@thetic", "pathetic"), ("i d i o t", "idiot"), ("forest,", "forest"), ("still", "still"), ("2024", "2024"), ("", ""),
+     ("you are a s t u p i d man", "you are a stupid man"), ("y o u i d i o t", "you idiot"), ("s  t  u  p  i  d", "stupid"), ("stuupid", "stupid"),
+     ("y 0 u 1 d 1 0 t", "you idiot"), ("1 2 3 4", "1 2 3 4"), ("good tree", "good tree")],
 )
 def test_disguises(model, seen, meant):
     assert d.restore_text(seen, model) == meant
@@ -33,6 +35,28 @@ def test_viterbi_equals_all_paths(model):
         assert max(cost + model.word(text) for text, cost in again if text == found) == pytest.approx(best)
 
 
+def test_spaced_words_equal_all_paths(model):
+    """Every way to part the characters, each way to read them: none is likelier than the one found."""
+    for letters in ("atrash", "s33you", "l0sera"):
+        found = d._unspace(" ".join(letters), model)
+        best = {}
+        for signs in itertools.product(*(d._choices(c, 1) for c in letters)):
+            for gaps in itertools.product(("", " "), repeat=len(letters) - 1):
+                text = "".join(t + g for (t, _), g in zip(signs, (*gaps, "")))
+                if "  " not in text and text == text.strip():
+                    total = sum(c for _, c in signs) + sum(map(model.word, text.split(" ")))
+                    best[text] = max(total, best.get(text, total))
+        assert best[found] == pytest.approx(max(best.values()))
+
+
+def test_counted_symbols_are_those_decoded(spark):
+    """A character counts as what ``symbol`` makes of it, question marks and signs beyond Latin-1 too."""
+    for c in "aÉ?ж€…1٣中!":
+        log = d.fit_characters(spark.createDataFrame([(f"{c * 5000}",)], "text string")).log
+        after = log[: d.SYMBOLS]
+        assert after.index(max(after)) == d.symbol(c.lower()), c
+
+
 def test_scores_disguised_texts_and_odd_rows(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     labels = spark.createDataFrame([(i, int(i % 5 < 3)) for i, _ in rows] + [(None, 1), (7, None)], "doc_id long, toxic int")
