@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from stateweave.llm.common import append_column
+from stateweave.llm.common import append_column, texts
 
 #: ASCII letters and digits and everything beyond ASCII belong to words; all else parts them.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -17,6 +20,8 @@ _FOLD = bytes(
 )
 #: Characters of patterns in one automaton: about 100 bytes each, so 200 MB in a worker.
 SHARD_CHARS = 2_000_000
+#: Characters of documents that a task holds while the automata are built in turn.
+HELD_CHARS = 16_000_000
 
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
 FOUND = StructType(
@@ -65,15 +70,16 @@ def windows(benchmark: DataFrame, size: int, text: str = "text", item: str = "it
     )
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", result: str = "found", shard_chars: int = SHARD_CHARS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", result: str = "found", shard_chars: int = SHARD_CHARS, held_chars: int = HELD_CHARS) -> DataFrame:
     """Add ``result``: words, words hit, items found and the hit spans as offsets into the original text.
 
     The benchmark's windows are counted first.  One automaton holds them up to
     ``shard_chars`` characters; a larger benchmark is dealt by hash over several,
-    each shipped on its own, and every batch passes all of them, so nothing is
-    left out.  A null text has no words; rows are judged one by one, so repeated
-    rows, ties and an empty table need nothing; an input column named
-    ``result`` is replaced, all others pass through.
+    each shipped on its own.  A task gathers rows up to ``held_chars`` characters,
+    or one longer text, and runs them through one automaton after another, so each
+    is built once for so many and nothing is left out.  A null text has no words;
+    rows are judged one by one, so repeated rows, ties and an empty table need
+    nothing; an input column named ``result`` is replaced, all others pass through.
     """
     spark = docs.sparkSession
     patterns = windows(benchmark, size)
@@ -85,34 +91,66 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "tex
         )
         for i in range(shards)
     ]
-    built: list = []
+    kept = docs.drop(result)
+    schema = StructType([*kept.schema.fields, StructField(result, FOUND)])
+    return kept.mapInArrow(lambda batches: _scan(batches, dealt, text, result, held_chars), schema)
+
 
-    def automata():
-        """Those of all shards in turn; a single one is kept for the whole task."""
-        import ahocorasick
+def _automata(dealt: list, built: list):
+    """Those of all shards in turn; the last one is kept, so an only one is built once."""
+    import ahocorasick
 
-        if built:
-            yield built[0]
-            return
-        for patterns in dealt:
+    for i, patterns in enumerate(dealt):
+        if not built or built[0] != i:
             automaton = ahocorasick.Automaton()
             for pattern, items in patterns.value:
                 automaton.add_word(pattern, (pattern.count(" ") - 1, items))
             if len(automaton):
                 automaton.make_automaton()
-                if len(dealt) == 1:
-                    built.append(automaton)
-                yield automaton
-
-    def scan(values: list[str]) -> list[dict]:
-        normal = [_normal(v) for v in values]
-        hits: list[list] = [[] for _ in values]
-        for automaton in automata():
-            for (line, _), own in zip(normal, hits):
-                own.extend(automaton.iter(line))
-        return [_result(v, *n, h) for v, n, h in zip(values, normal, hits)]
+            built[:] = i, automaton
+        if len(built[1]):
+            yield built[1]
 
-    return append_column(docs, text, result, FOUND, scan)
+
+def _scan(batches, dealt: list, text: str, result: str, held_chars: int):
+    """Batches with ``result``, judged by as many rows at a time as ``held_chars`` allows."""
+    built: list = []
+    held, chars = [], 0
+    for batch in batches:
+        for low, high, size in _pieces(batch.column(text), held_chars):
+            if held and chars + size > held_chars:
+                yield from _judged(held, dealt, built, text, result)
+                held, chars = [], 0
+            held.append(batch.slice(low, high - low))
+            chars += size
+    if held:
+        yield from _judged(held, dealt, built, text, result)
+
+
+def _judged(held: list, dealt: list, built: list, text: str, result: str):
+    values = [texts(b, text) for b in held]
+    normal = [[_normal(v) for v in own] for own in values]
+    hits: list[list] = [[[] for _ in own] for own in values]
+    for automaton in _automata(dealt, built):
+        for lines, lists in zip(normal, hits):
+            for (line, _), own in zip(lines, lists):
+                own.extend(automaton.iter(line))
+    for batch, own, lines, lists in zip(held, values, normal, hits):
+        found = [_result(v, *n, h) for v, n, h in zip(own, lines, lists)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, to_arrow_type(FOUND))], names=[*batch.schema.names, result])
+
+
+def _pieces(column: pa.Array, limit: int):
+    """Runs of rows (from, to, characters), each within ``limit`` or one row."""
+    sizes = [n or 0 for n in pc.utf8_length(column).to_pylist()]
+    low = total = 0
+    for i, n in enumerate(sizes):
+        if i > low and total + n > limit:
+            yield low, i, total
+            low, total = i, 0
+        total += n
+    if len(sizes) > low:
+        yield low, len(sizes), total
 
 
 def _result(text: str, line: str, n_words: int, hits: list) -> dict:
