@@ -225,6 +225,8 @@ def _control_ends(page: str) -> dict[int, int]:
 
 def _names(node: Node) -> tuple[bool, bool, bool, bool]:
     """What the tag, attributes and title of an element name: hidden, boilerplate, perhaps boilerplate, content."""
+    if not node.attributes and not node.title:
+        return False, node.tag in BOILER_TAGS and node.tag != "header", False, node.tag in CONTENT_TAGS
     strong, weak, hidden = [], [], False
     for name, *values in _ATTRIBUTE.findall(node.attributes):
         name, value = name.lower(), "".join(values)
