@@ -17,6 +17,9 @@ _RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Shuffle files of a query go when it ends, and not when the driver next collects garbage.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings every plan here relies on to an existing session."""
@@ -56,8 +59,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write a frame to a path and read it back; what was shuffled for it is freed as soon as it stands there."""
+    spark = df.sparkSession
+    before = spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREED, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, safe from lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, shared_path(df.sparkSession, label))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared root that nothing reads any more."""
+    if not path.startswith(f"{shared_root(spark)}/"):
+        raise ValueError(f"{path} is not below the shared root")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
