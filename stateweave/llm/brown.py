@@ -7,12 +7,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from stateweave.llm.block_dictionary import SLOT, WORD, assemble, blocks, by_rank, by_slot, cut_words, join_words, pack, slots_of, unpack
-from stateweave.llm.common import arrow_schema, staged
+from stateweave.llm.common import arrow_schema, shared_path, staged
+from stateweave.session import discard, written
 
 #: The start: words with at least this share of the training tokens are clustered one by one, 1 / SHARE of them at most,
 SHARE = 1 / 5000
@@ -66,7 +66,7 @@ class Model:
 
 
 def count_words(docs: DataFrame, training: str, keep: list[str], text: str = "text") -> DataFrame:
-    """Block and slot rows, with the training count of each word beside it, in the shared folder."""
+    """Block and slot rows, with the training count of each word beside it and whether it is its first place, in the shared folder."""
 
     def total(packs: list[bytes]) -> tuple[list[bytes], bytes]:
         counts: dict[bytes, int] = {}
@@ -74,10 +74,11 @@ def count_words(docs: DataFrame, training: str, keep: list[str], text: str = "te
         for packed in packs:
             rank, n, lengths, joined = unpack(packed, "<u4", "<i8", "<u4", "")
             words = cut_words(lengths, joined)
+            first = np.fromiter((w not in counts for w in words), np.uint8, len(words))
             for w, k in zip(words, n.tolist()):
                 counts[w] = counts.get(w, 0) + k
-            held.append((rank, words, lengths, joined))
-        new = [pack(rank, np.fromiter(map(counts.__getitem__, words), np.int64, len(words)), lengths, joined) for rank, words, lengths, joined in held]
+            held.append((rank, words, lengths, joined, first))
+        new = [pack(rank, np.fromiter(map(counts.__getitem__, words), np.int64, len(words)), lengths, joined, first) for rank, words, lengths, joined, first in held]
         seen = {w: n for w, n in counts.items() if n}
         return new, pack(np.fromiter(seen.values(), np.int64, len(seen)), *join_words(list(seen)))
 
@@ -106,7 +107,8 @@ def learn(counted: DataFrame, training: str, share: float = SHARE, classes: int
     classes as they stand, the gain in likelihood of every class.  Half of the
     words move in a sweep, so that neighbours don't chase each other.  Sweeps go
     on until the likelihood stops rising; the best classes met are kept.  Counts
-    and classes of words meet by hash and by block, and no task holds them all.
+    and classes of words meet by hash and by block, and no task holds them all;
+    a sweep's tables are deleted when the next ones stand.
     """
     words = vocabulary(counted)
     spark = counted.sparkSession
@@ -121,7 +123,8 @@ def learn(counted: DataFrame, training: str, share: float = SHARE, classes: int
     for r in words.mapInArrow(lambda bs: _unit_sizes(bs, shared.value), "unit int, tokens long, types long").groupBy("unit").agg(F.sum("tokens"), F.sum("types")).collect():
         sizes[r[0]] = r[1], r[2]
     sizes[0] = ends, int(ends > 0)
-    held = staged(assemble(counted, lambda: _Blocks(shared.value, training), _BLOCK), "bigrams")
+    bigrams = shared_path(spark, "bigrams")
+    held = written(assemble(counted, lambda: _Blocks(shared.value, training), _BLOCK), bigrams)
     pairs = staged(held.mapInArrow(lambda bs: _unit_pairs(bs, shared.value.size), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "units")
     of = _first_classes(sizes[:, 0], classes)
     matrix = None
@@ -135,36 +138,42 @@ def learn(counted: DataFrame, training: str, share: float = SHARE, classes: int
         if sweep < sweeps:
             of = _sweep(both, of, matrix, sweep)
     first = spark.sparkContext.broadcast(of)
-    states = held.select("block", "words").mapInArrow(lambda bs: _first_states(bs, first.value), "block long, pack binary")
+    states, path = held.select("block", "words").mapInArrow(lambda bs: _first_states(bs, first.value), "block long, pack binary"), None
     best, seen = None, []
     while True:
-        counts = _word_counts(states, held, classes, slots_of(spark)).persist(StorageLevel.DISK_ONLY)
-        matrix = np.zeros((classes, classes))
-        for r in counts.where("slot < 0").groupBy("a", "b").agg(F.sum("n")).collect():
-            matrix[r[0], r[1]] = r[2]
+        # Half of the words move in the sweep that follows, and only they need their counts.
+        half, counts_path = (len(seen) + 1) % 2, shared_path(spark, "counts")
+        counts = written(_word_counts(states, held, classes, slots_of(spark), half), counts_path)
+        matrix, own = np.zeros((classes, classes)), np.zeros((units.size, classes), np.int64)
+        for kind, a, b, n in counts.where(F.col("slot").isin(_BIGRAMS, _TYPES)).groupBy("slot", "a", "b").agg(F.sum("n")).collect():
+            (matrix if kind == _BIGRAMS else own)[a, b] = n
         seen.append(_likelihood(matrix))
+        last, passed = path, None
         if best is None or seen[-1] > best[0]:
-            best = seen[-1], matrix, states, len(seen) > 1
+            passed = best[-1] if best else None
+            best = seen[-1], matrix, own, states, path
+            last = None
         # Either half has had its turn and little came of it.
-        if not tokens or len(seen) > 2 and seen[-1] - seen[-3] < 2 * RISE * tokens:
-            counts.unpersist()
+        done = not tokens or len(seen) > 2 and seen[-1] - seen[-3] < 2 * RISE * tokens
+        if not done:
+            path = shared_path(spark, "classes")
+            stay = counts.where(F.col("slot") == _STAY).select("block", "pack")
+            states = written(stay.union(_move_words(counts, matrix)), path)
+        for old in (counts_path, last, passed):
+            if old:
+                discard(spark, old)
+        if done:
             break
-        moved = staged(_move_words(counts, matrix, len(seen) % 2), "classes")
-        counts.unpersist()
-        states = moved
-    _, matrix, states, moved = best
+    _, matrix, own, states, path = best
+    if path is None:
+        states = staged(states, "classes")
+    discard(spark, bigrams)
     # Types of each unit by class: a frequent word is one type, in its class.
-    own = np.zeros((units.size, classes), np.int64)
-    if moved:
-        for r in states.where("block < 0").groupBy("unit", "class").agg(F.sum("types")).collect():
-            own[r[0], r[1]] = r[2]
-    else:
-        own[np.arange(units.size), of] = sizes[:, 1]
     own[0] = 0
     own[0, 0] = int(ends > 0)
     of = np.where(own.any(1), own.argmax(1), of)
     of[0] = 0
-    return _model(units, of, matrix, own.sum(0), tokens, types, ends, states.where("block >= 0").select("block", "pack"))
+    return _model(units, of, matrix, own.sum(0), tokens, types, ends, states)
 
 
 def _unit_sizes(batches, units: Units):
@@ -181,7 +190,7 @@ _BLOCK = StructType([StructField("block", LongType()), StructField("words", Bina
 
 
 class _Blocks:
-    """A block's words that training texts hold (rank, key, unit), and its bigrams (a, b, n) by rank + 1; 0 is the end."""
+    """A block's words that training texts hold (rank, key, unit, whether first here), and its bigrams (a, b, n) by rank + 1; 0 is the end."""
 
     def __init__(self, units: Units, training: str):
         self.units, self.training = units, training
@@ -191,13 +200,15 @@ class _Blocks:
 
         self.counts, held = [], []
         for packed in packs:
-            rank, n, lengths, joined = unpack(packed, "<u4", "<i8", "<u4", "")
+            rank, n, lengths, joined, first = unpack(packed, "<u4", "<i8", "<u4", "", "<u1")
             words = cut_words(lengths, joined)
             key = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            held.append([x[n > 0] for x in (rank, key, self.units.of(words))])
-        rank, key, unit = map(np.concatenate, zip(*held)) if held else (np.zeros(0, k) for k in (np.uint32, np.uint64, np.int32))
-        rank, at = np.unique(rank, return_index=True)  # a block that came twice lists its words twice
-        self.own = pack(rank, key[at], unit[at])
+            held.append([x[n > 0] for x in (rank, key, self.units.of(words), first)])
+        listed, key, unit, marks = map(np.concatenate, zip(*held)) if held else (np.zeros(0, k) for k in (np.uint32, np.uint64, np.int32, np.uint8))
+        rank, at, where = np.unique(listed, return_index=True, return_inverse=True)  # a block that came twice lists its words twice
+        first = np.zeros(len(rank), np.uint8)
+        np.maximum.at(first, where, marks)
+        self.own = pack(rank, key[at], unit[at], first)
 
     def documents(self, batch: pa.RecordBatch, sequences: list[np.ndarray]):
         self.block = batch.column("block")[0].as_py()
@@ -242,52 +253,82 @@ def _unit_pairs(batches, units: int):
 
 
 def _first_states(batches, of: np.ndarray):
-    """A block's words with the class of their unit: rank, key, unit, class."""
+    """A block's words with the class of their unit: rank, class."""
     for batch in batches:
         packs = []
         for words in batch.column("words").to_pylist():
-            rank, key, unit = unpack(words, "<u4", "<u8", "<i4")
-            packs.append(pack(rank, key, unit, of[unit].astype(np.uint8)))
+            rank, _, unit = unpack(words, "<u4", "<u8", "<i4")
+            packs.append(pack(rank, of[unit].astype(np.uint8)))
         yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packs, pa.binary())], names=["block", "pack"])
 
 
-_COUNTS = "slot int, block long, pack binary, a int, b int, n long"
+#: Rows of the counts: bigrams of classes (a, b), types by unit (a) and class (b), words whose turn it is not; slots from 0 on.
+_BIGRAMS, _TYPES, _STAY = -1, -2, -3
+_COUNTS = pa.schema([("slot", pa.int32()), ("block", pa.int64()), ("pack", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+
+
+def _count_rows(slot: int, codes: np.ndarray, n: np.ndarray, classes: int) -> pa.RecordBatch:
+    size = len(codes)
+    numbers = [pa.array((codes // classes).astype(np.int32)), pa.array((codes % classes).astype(np.int32)), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, slot, np.int32)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), *numbers], schema=_COUNTS)
 
 
-def _word_counts(states: DataFrame, held: DataFrame, classes: int, slots: int) -> DataFrame:
-    """What classes stand after and before each word, by block, packed for the slot of the word; and the bigrams of classes (slot -1)."""
-    own = states.where("block >= 0").select("block", F.lit(0).alias("kind"), "pack")
-    rows = own.union(held.select("block", F.lit(1), F.col("pairs")))
+def _pack_row(slot: int, block: int, packed: bytes) -> pa.RecordBatch:
+    own = [pa.array([slot], pa.int32()), pa.array([block], pa.int64()), pa.array([packed], pa.binary())]
+    return pa.RecordBatch.from_arrays([*own, *(pa.nulls(1, f.type) for f in list(_COUNTS)[3:])], schema=_COUNTS)
+
+
+def _word_counts(states: DataFrame, held: DataFrame, classes: int, slots: int, half: int) -> DataFrame:
+    """What classes stand after and before each word of one half, by block, packed for the slot of the word.
+
+    Beside them the bigrams of classes, the types of units by class, and the
+    classes of the other half, which stay.
+    """
+    rows = states.select("block", F.lit(0).alias("kind"), "pack", F.lit(None).cast("binary").alias("words"))
+    rows = rows.union(held.select("block", F.lit(1), "pairs", "words"))
 
     def run(batches):
         block, packs = None, []
         for batch in batches:
-            for b, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "pack"))):
+            for b, kind, packed, words in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "pack", "words"))):
                 if b != block:
                     block, packs = b, []
                 if kind:
-                    yield from _count_block(block, packs, packed, classes, slots)
+                    yield from _count_block(block, packs, words, packed, classes, slots, half)
                 else:
                     packs.append(packed)
 
-    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, _COUNTS)
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "slot int, block long, pack binary, a int, b int, n long")
+
+
+def _turn(key: np.ndarray) -> np.ndarray:
+    """In which of two halves a word moves."""
+    return ((key >> np.uint64(40)) % np.uint64(2)).astype(np.int64)
 
 
-def _count_block(block: int, packs: list[bytes], pairs: bytes, classes: int, slots: int):
-    parts = [unpack(p, "<u4", "<u8", "<i4", "<u1") for p in packs] or [[np.zeros(0, k) for k in (np.uint32, np.uint64, np.int32, np.uint8)]]
-    rank, key, unit, own = map(np.concatenate, zip(*parts))
+def _count_block(block: int, packs: list[bytes], words: bytes, pairs: bytes, classes: int, slots: int, half: int):
+    rank, key, unit, first = unpack(words, "<u4", "<u8", "<i4", "<u1")
+    parts = [unpack(p, "<u4", "<u1") for p in packs] or [[np.zeros(0, np.uint32), np.zeros(0, np.uint8)]]
+    known, own = map(np.concatenate, zip(*parts))
     a, b, n = (x.astype(np.int64) for x in unpack(pairs, "<u4", "<u4", "<u4"))
     size, width = _places(rank, a, b), 2 * classes + 1
-    of = _by_place(size, rank, own)
+    of = _by_place(size, known, own)
     matrix = np.bincount(of[a] * classes + of[b], n, minlength=classes**2).astype(np.int64)
     at = np.flatnonzero(matrix)
-    nothing = [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())]
-    numbers = [pa.array((at // classes).astype(np.int32)), pa.array((at % classes).astype(np.int32)), pa.array(matrix[at])]
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), *nothing, *numbers], names=["slot", "block", "pack", "a", "b", "n"])
+    yield _count_rows(_BIGRAMS, at, matrix[at], classes)
+    own = of[rank.astype(np.int64) + 1].astype(np.uint8)
+    yield _count_rows(_TYPES, *np.unique(unit[first > 0].astype(np.int64) * classes + own[first > 0], return_counts=True), classes)
+    turn = _turn(key) == half
+    yield _pack_row(_STAY, block, pack(rank[~turn], own[~turn]))
+    rank, key, own = rank[turn], key[turn], own[turn]
+    moving = np.zeros(size, bool)
+    moving[rank.astype(np.int64) + 1] = True
     # Entries (place of the word, code, n) in the order of places; bigrams come in the order of ``a``.
     by_b = np.argsort(b, kind="stable")
-    before, after = (b[by_b], classes + of[a[by_b]], n[by_b]), (a, of[b], n)
-    twice = a == b
+    by_b = by_b[moving[b[by_b]]]
+    before = b[by_b], classes + of[a[by_b]], n[by_b]
+    ahead, twice = moving[a], (a == b) & moving[a]
+    after = a[ahead], of[b[ahead]], n[ahead]
     self = a[twice], np.full(int(twice.sum()), 2 * classes), n[twice]
     place, code, number = [], [], []
     for low in range(0, size, TOGETHER):
@@ -307,13 +348,11 @@ def _count_block(block: int, packs: list[bytes], pairs: bytes, classes: int, slo
         at = rank[p].astype(np.int64) + 1
         k = many[at]
         e = np.repeat(start[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        packed = pack(rank[p], key[p], unit[p], own[p], k.astype(np.uint16), code[e], number[e])
-        nothing = [pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array([int(slot[p[0]])], pa.int32()), pa.array([block], pa.int64()), pa.array([packed], pa.binary()), *nothing], names=["slot", "block", "pack", "a", "b", "n"])
+        yield _pack_row(int(slot[p[0]]), block, pack(rank[p], key[p], own[p], k.astype(np.uint16), code[e], number[e]))
 
 
-def _move_words(counts: DataFrame, matrix: np.ndarray, half: int) -> DataFrame:
-    """New classes of the words of one half, back to their blocks; and types by unit and class (block -1)."""
+def _move_words(counts: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """New classes of the words that were counted, back to their blocks."""
     shared = counts.sparkSession.sparkContext.broadcast(matrix)
 
     def run(batches):
@@ -321,44 +360,36 @@ def _move_words(counts: DataFrame, matrix: np.ndarray, half: int) -> DataFrame:
         for batch in batches:
             for s, b, p in zip(*(batch.column(c).to_pylist() for c in ("slot", "block", "pack"))):
                 if s != slot and held:
-                    yield from _move_slot(held, shared.value, half)
+                    yield _move_slot(held, shared.value)
                     held = []
                 slot = s
                 held.append((b, p))
         if held:
-            yield from _move_slot(held, shared.value, half)
+            yield _move_slot(held, shared.value)
 
     rows = counts.where("slot >= 0").select("slot", "block", "pack")
-    return rows.repartition("slot").sortWithinPartitions("slot", "block").mapInArrow(run, "block long, pack binary, unit int, class int, types long")
+    return rows.repartition("slot").sortWithinPartitions("slot", "block").mapInArrow(run, "block long, pack binary")
 
 
-def _move_slot(held: list[tuple[int, bytes]], matrix: np.ndarray, half: int):
+def _move_slot(held: list[tuple[int, bytes]], matrix: np.ndarray) -> pa.RecordBatch:
     classes, width = len(matrix), 2 * len(matrix) + 1
-    parts = [unpack(p, "<u4", "<u8", "<i4", "<u1", "<u2", "<u2", "<u4") for _, p in held]
-    key, unit, own, many, code, n = (np.concatenate([x[i] for x in parts]) for i in range(1, 7))
+    parts = [unpack(p, "<u4", "<u8", "<u1", "<u2", "<u2", "<u4") for _, p in held]
+    key, own, many, code, n = (np.concatenate([x[i] for x in parts]) for i in range(1, 6))
     keys, first, where = np.unique(key, return_index=True, return_inverse=True)
-    old = own[first].astype(np.int64)
+    new = own[first].astype(np.int64)
     word = np.repeat(where, many)
     order = np.argsort(word, kind="stable")
     word, code, n = word[order], code[order].astype(np.int64), n[order]
-    new, turn = old.copy(), (keys >> np.uint64(40)) % np.uint64(2) == half
     for low in range(0, len(keys), TOGETHER):
         high = min(len(keys), low + TOGETHER)
         i, j = np.searchsorted(word, (low, high))
-        dense = np.bincount((word[i:j] - low) * width + code[i:j], n[i:j], minlength=(high - low) * width).reshape(-1, width)
-        at = np.flatnonzero(turn[low:high])
-        sides = dense[at]
-        new[low + at] = _best_classes(matrix, old[low + at], sides[:, :classes], sides[:, classes:-1], sides[:, -1])
+        sides = np.bincount((word[i:j] - low) * width + code[i:j], n[i:j], minlength=(high - low) * width).reshape(-1, width)
+        new[low:high] = _best_classes(matrix, new[low:high], sides[:, :classes], sides[:, classes:-1], sides[:, -1])
     of, at, packs = new[where].astype(np.uint8), 0, []
     for p in parts:
-        packs.append(pack(p[0], p[1], p[2], of[at : at + len(p[0])]))
+        packs.append(pack(p[0], of[at : at + len(p[0])]))
         at += len(p[0])
-    names, none = ["block", "pack", "unit", "class", "types"], lambda k, *kinds: [pa.nulls(k, t) for t in kinds]
-    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array(packs, pa.binary()), *none(len(held), pa.int32(), pa.int32(), pa.int64())], names=names)
-    kinds, types = np.unique(unit[first].astype(np.int64) * classes + new, return_counts=True)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(kinds), -1)), *none(len(kinds), pa.binary()), pa.array((kinds // classes).astype(np.int32)), pa.array((kinds % classes).astype(np.int32)), pa.array(types.astype(np.int64))], names=names
-    )
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array(packs, pa.binary())], names=["block", "pack"])
 
 
 def _units_by_rank(units: Units, packs: list[bytes]) -> np.ndarray:
@@ -494,7 +525,7 @@ def _class_packs(batches):
     for batch in batches:
         packs = []
         for packed in batch.column("pack").to_pylist():
-            rank, _, _, own = unpack(packed, "<u4", "<u8", "<i4", "<u1")
+            rank, own = unpack(packed, "<u4", "<u1")
             packs.append(pack(rank, -1 - own.astype(np.int64), *join_words([])))
         yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packs, pa.binary())], names=["block", "pack"])
 

@@ -102,7 +102,7 @@ def test_rare_words_are_classed_by_neighbours(spark):
         blocks.setdefault(r.block, {}).update(zip(rank.tolist(), brown.cut_words(lengths, joined)))
     found = {}
     for r in model.words.collect():
-        rank, _, _, own = brown.unpack(r.pack, "<u4", "<u8", "<i4", "<u1")
+        rank, own = brown.unpack(r.pack, "<u4", "<u1")
         for k, c in zip(rank.tolist(), own.tolist()):
             assert found.setdefault(blocks[r.block][k], c) == c
     assert len(found) == model.types - 1
