@@ -49,9 +49,8 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="stateweave-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stateweave-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -78,7 +77,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared root that nothing reads any more."""
-    if not path.startswith(f"{shared_root(spark)}/"):
+    if not path.startswith(f"{shared_root(spark)}/") or ".." in path:
         raise ValueError(f"{path} is not below the shared root")
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
