@@ -63,7 +63,8 @@ def relate_spatial(
     located = located.withColumn("__cx", F.floor(F.col("__x") / size)).withColumn("__cy", F.floor(F.col("__y") / size))
     x, y = F.col("__x"), F.col("__y")
     in_box = x.between(F.col("__b.x0"), F.col("__b.x1")) & y.between(F.col("__b.y0"), F.col("__b.y1"))
-    hits = located.join(filed, ["__level", "__cx", "__cy"]).where(in_box & wkt.contains(F.col("__rings"), x, y))
+    # Parsed areas outgrow any size guessed from their table: they meet the places in a shuffle and are never broadcast.
+    hits = located.join(filed.hint("merge"), ["__level", "__cx", "__cy"]).where(in_box & wkt.contains(F.col("__rings"), x, y))
     # The minimum is pre-aggregated in the join's own stage.
     lowest = hits.groupBy("__x", "__y").agg(F.min("__area").alias(area_key))
     return placed.join(lowest, ["__x", "__y"], "left").select(src_key, area_key)

@@ -27,6 +27,13 @@ def test_no_python_workers_and_no_cross_joins(spark, name):
     assert not re.search(r"BroadcastNestedLoopJoin", text)
 
 
+def test_parsed_areas_are_never_broadcast(spark):
+    # Their table looks small enough for a broadcast, the rings of its geometries need not be.
+    for name in ("j16_spatial_relation", "j16_spatial_relation_of_polygons"):
+        joins = re.findall(r"\w*Join \[.*__cx.*", plan(CHECKS[name](spark, FOLDER)))
+        assert joins and all(j.startswith("SortMergeJoin") for j in joins)
+
+
 @pytest.fixture
 def hot(spark):
     """A third of the rows belong to one key, and most of those are copies of one state."""
