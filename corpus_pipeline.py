@@ -38,10 +38,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """
     linked = staged(signature_trees.link_documents(docs, size=5, above=80, below=100), "near")
     dropped = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    repeated = linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    # The texts are shuffled once: whole documents meet the dropped ones and their own repeats by doc_id.
+    kept = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Connected components of a link table, by joins: no link or label passes through the driver."""
+"""Connected components of a link table, by windows over neighbours: no link or label passes through the driver."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stateweave.llm.common import staged
 
@@ -80,9 +80,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     Rows (a, b), a > b, are what comes in and goes out.
     """
     seen = edges.union(edges.select("b", "a")) if large else edges
-    least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    # Never a broadcast, which the driver would build anew in every round.
-    joined = seen.join(least.hint("merge"), "a")
+    # One exchange and no join: a node's neighbours lie sorted in a task that writes to disk what its memory does not hold.
+    joined = seen.select("a", "b", F.least("a", F.min("b").over(Window.partitionBy("a"))).alias("m"))
     if large:
         # A node with no larger neighbour keeps its link to the least.
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -21,6 +21,7 @@ FAN = 8
 #: Documents whose keys are sent together.
 TOGETHER = 4096
 _DOC, _BUCKET, _KEYS = 0, 1, 2
+_RIGHT, _LEFT, _BOTH = 0, 1, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -143,7 +144,7 @@ def link_documents(docs: DataFrame, size: int = 3, above: int = 90, below: int =
     found = staged(keyed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_buckets, schema).drop("slot", "pack"), "buckets")
     sets = found.where(F.col("kind") == _DOC).select("doc_id", "n", "digest")
     first = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    copies = sets.join(first, "digest").select("doc_id", "node").distinct()
+    copies = staged(sets.join(first, "digest").select("doc_id", "node").distinct(), "copies")
     buckets = staged(
         found.where(F.col("kind") == _BUCKET).select("bucket", "doc_id").distinct().join(copies, "doc_id").select("bucket", "node").distinct(), "members"
     )
@@ -161,11 +162,12 @@ def link_documents(docs: DataFrame, size: int = 3, above: int = 90, below: int =
     left_over = _join_buckets(whole, buckets.join(leaders.select("bucket"), "bucket"), parted, above, below)
     # The components found stand for the links inside; what is new are the links between them.
     stars = parted.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    links = stars.union(left_over).union(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    roots = components(links)
-    return sets.join(roots, sets["doc_id"] == roots["node"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    # Copies follow their node; a document of several sets is a link between the nodes of these.
+    named = copies.groupBy("doc_id").agg(F.min("node").alias("own"))
+    together = copies.join(named, "doc_id").where("node <> own").select(F.col("own").alias("a"), F.col("node").alias("b"))
+    roots = components(stars.union(left_over).union(together))
+    found = named.join(roots, named["own"] == roots["node"], "left").select("doc_id", F.coalesce("component", "own").alias("root"))
+    return sets.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def _batch(kind: int, slot, bucket, doc_id, n, digest, packs) -> pa.RecordBatch:
@@ -260,15 +262,17 @@ def _sets(batches, size: int):
         for at in range(0, batch.num_rows, 500):
             piece = batch.slice(at, 500)
             own = [shingles.of(t or "") for t in piece.column("text").to_pylist()]
+            # Only blocks of several parts are compared by these once more.
+            bits = [_bitmap(s, _width(len(s))).tobytes() if p > 1 else b"" for s, p in zip(own, piece.column("parts").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("node"), piece.column("block"), piece.column("parts"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([_bitmap(s, _width(len(s))).tobytes() for s in own], pa.binary())],
+                [piece.column("node"), piece.column("block"), piece.column("parts"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array(bits, pa.binary())],
                 names=["node", "block", "parts", "n", "shingles", "bits"],
             )
 
 
 def _width(n: int) -> int:
-    """Bits of a stored bitmap: one to two for each element."""
-    return max(64, 1 << max(1, n).bit_length())
+    """Bits of a stored bitmap: eight to sixteen for each element, so that few pairs short of a link pass."""
+    return max(64, 8 << max(1, n).bit_length())
 
 
 def _bitmap(shingles: np.ndarray, width: int) -> np.ndarray:
@@ -312,7 +316,10 @@ def _join_buckets(whole: DataFrame, buckets: DataFrame, parted: DataFrame, above
 
 
 def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
-    """A bucket's members against those outside its largest component, in parts: each pair meets in one."""
+    """A bucket's members against those outside its largest component, in parts: each pair meets in one.
+
+    Rows are of the right side, the left or both: a bucket of one part has each member once.
+    """
     parts = members.groupBy("bucket").agg(
         F.count("*").alias("r"), F.sum("n").alias("rn"), F.sum(F.col("outside").cast("int")).alias("l"), F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("ln")
     )
@@ -321,19 +328,21 @@ def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["bucket", "i", "j", "node", *columns]
-    right = held.withColumn("i", part("i_parts")).withColumn("j", every("j_parts")).select(*columns, F.lit(False).alias("left"))
-    left = held.where("outside").withColumn("j", part("j_parts")).withColumn("i", every("i_parts")).select(*columns, F.lit(True).alias("left"))
+    single = (F.col("i_parts") == 1) & (F.col("j_parts") == 1)
+    side = F.when(single & F.col("outside"), _BOTH).otherwise(_RIGHT).alias("side")
+    right = held.withColumn("i", part("i_parts")).withColumn("j", every("j_parts")).select(*columns, side)
+    left = held.where(F.col("outside") & ~single).withColumn("j", part("j_parts")).withColumn("i", every("i_parts")).select(*columns, F.lit(_LEFT).alias("side"))
     return right.union(left)
 
 
 def _able(table: pa.Table, above: int, below: int) -> pa.Table:
     """Members with a partner in another component whose bitmap does not rule the pair out."""
-    nodes, groups, left = table.column("node").to_numpy(), table.column("component").to_numpy(), table.column("left").to_numpy()
+    nodes, groups, side = (table.column(c).to_numpy() for c in ("node", "component", "side"))
     sizes = table.column("n").to_numpy()
     maps = [np.frombuffer(b, np.uint64) for b in table.column("bits").to_pylist()]
     words = min(map(len, maps))
     packed = np.stack([_folded(m, words) for m in maps])
-    i, j, _ = _survivors(np.flatnonzero(left), np.flatnonzero(~left), sizes, packed, packed[:, 0], above, below)
+    i, j, _ = _survivors(np.flatnonzero(side != _RIGHT), np.flatnonzero(side != _LEFT), sizes, packed, packed[:, 0], above, below)
     apart = groups[i] != groups[j]
     found = np.unique(nodes[np.concatenate([i[apart], j[apart]])])
     return pa.table({"bucket": pa.array(np.full(len(found), table.column("bucket")[0].as_py()), pa.int64()), "node": pa.array(found, pa.int64())})
@@ -344,9 +353,9 @@ def _links(table: pa.Table, above: int, below: int) -> pa.Table:
     sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
     names = table.schema.names
     groups = table.column("component").to_pylist() if "component" in names else nodes
-    if "left" in names:
-        left = table.column("left").to_numpy()
-        links = _join(np.flatnonzero(left), np.flatnonzero(~left), sets, groups, above, below)
+    if "side" in names:
+        side = table.column("side").to_numpy()
+        links = _join(np.flatnonzero(side != _RIGHT), np.flatnonzero(side != _LEFT), sets, groups, above, below)
     else:
         every = np.arange(len(sets))
         links = _join(every, every, sets, groups, above, below)

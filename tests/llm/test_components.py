@@ -41,3 +41,10 @@ def test_long_chain_star_and_odd_links(spark):
     got = {r.node: r.component for r in components.components(df).collect()}
     assert got == plain([p for p in links if None not in p and p[0] != p[1]])
     assert components.components(df.limit(0)).collect() == []
+
+
+def test_a_step_is_one_exchange_without_a_join(spark):
+    edges = spark.createDataFrame([(2, 1), (3, 1), (3, 2), (9, 4)], "a long, b long")
+    for large in (True, False):
+        text = components._star(edges, large)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and text.count("Exchange") == 1

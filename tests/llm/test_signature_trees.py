@@ -67,3 +67,15 @@ def test_linked_sets_share_an_own_key():
 
 def test_empty(spark):
     assert s.link_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_copies_and_small_buckets_send_each_row_once(spark, monkeypatch):
+    members = spark.createDataFrame([(5, i, 1 + i % 2, 10, i % 2 == 1) for i in range(9)], "bucket long, node long, component long, n long, outside boolean")
+    assert sorted(r.node for r in s._dealt(members, ["component"]).collect()) == list(range(9))
+
+    links = []
+    monkeypatch.setattr(s, "components", lambda df, found=s.components: links.append(df.count()) or found(df))
+    docs = [(i, "the same five words here") for i in range(40)] + [(99, "the same five words here"), (99, "another text of five words"), (98, "another text of five words")]
+    got = {r.doc_id: r.component_id for r in s.link_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {**{i: 0 for i in range(40)}, 98: 0, 99: 0}
+    assert links == [0, 0, 1]
