@@ -302,37 +302,40 @@ def _join_blocks(whole: DataFrame, above: int, below: int) -> DataFrame:
 def _join_buckets(whole: DataFrame, buckets: DataFrame, parted: DataFrame, above: int, below: int) -> DataFrame:
     """Spanning links between the components that a bucket of a block of several parts holds."""
     whole = whole.where("parts > 1")
-    buckets = buckets.join(whole.select("node").distinct(), "node", "left_semi")
-    named = buckets.join(parted, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    # A node of several sets has a row in a bucket all the same.
+    buckets = buckets.join(whole.groupBy("node").agg(F.count("*").alias("sets"), F.sum("n").alias("n")), "node")
+    # Each step is a table of its own: read several times, a plan of all of them would double with every step.
+    named = staged(buckets.join(parted, "node", "left").select("bucket", "node", "sets", "n", F.coalesce("component", "node").alias("component")), "named")
     counts = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    open_ = counts.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("several"), F.sum("k").alias("rows")).where("several > 1")
+    open_ = counts.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("several")).where("several > 1")
     members = named.join(open_, "bucket").withColumn("outside", F.col("component") != F.col("most.component"))
-    members = members.select("bucket", "node", "component", "outside")
+    members = staged(members.select("bucket", "node", "sets", "n", "component", "outside"), "open")
     # By bitmaps alone, which of them can have a partner at all; only their sets are sent.
-    drawn = members.join(whole.select("node", "n", "bits"), "node")
-    able = _dealt(drawn, ["component", "n", "bits"]).groupBy("bucket", "i", "j").applyInArrow(lambda t: _able(t, above, below), "bucket long, node long").distinct()
-    rest = members.join(able, ["bucket", "node"]).join(whole.select("node", "n", "shingles"), "node")
-    return _dealt(rest, ["component", "shingles"]).groupBy("bucket", "i", "j").applyInArrow(lambda t: _links(t, above, below), "a long, b long")
+    drawn = _dealt(members, ["component"], "sets").join(whole.select("node", "n", "bits"), "node")
+    able = drawn.groupBy("bucket", "i", "j").applyInArrow(lambda t: _able(t, above, below), "bucket long, node long").distinct()
+    rest = staged(members.join(able, ["bucket", "node"]), "able")
+    sent = _dealt(rest, ["component"], "sets").join(whole.select("node", "shingles"), "node")
+    return sent.groupBy("bucket", "i", "j").applyInArrow(lambda t: _links(t, above, below), "a long, b long")
 
 
-def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
+def _dealt(members: DataFrame, columns: list[str], sets: str | None = None) -> DataFrame:
     """A bucket's members against those outside its largest component, in parts: each pair meets in one.
 
     Rows are of the right side, the left or both: a bucket of one part has each member once.
+    ``sets``: a member's column of how many sets it has, one without.
     """
-    parts = members.groupBy("bucket").agg(
-        F.count("*").alias("r"), F.sum("n").alias("rn"), F.sum(F.col("outside").cast("int")).alias("l"), F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("ln")
-    )
+    rows, outside = F.col(sets) if sets else F.lit(1), lambda n: F.sum(F.when(F.col("outside"), n).otherwise(0))
+    parts = members.groupBy("bucket").agg(F.sum(rows).alias("r"), F.sum("n").alias("rn"), outside(rows).alias("l"), outside(F.col("n")).alias("ln"))
     parts = parts.where("l > 0").select("bucket", _parts("r", "rn").alias("i_parts"), _parts("l", "ln").alias("j_parts"))
-    held = members.join(parts, "bucket")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["bucket", "i", "j", "node", *columns]
+    every = lambda n, each: F.transform(F.sequence(F.lit(0), F.col(n) - 1), each)
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
     single = (F.col("i_parts") == 1) & (F.col("j_parts") == 1)
-    side = F.when(single & F.col("outside"), _BOTH).otherwise(_RIGHT).alias("side")
-    right = held.withColumn("i", part("i_parts")).withColumn("j", every("j_parts")).select(*columns, side)
-    left = held.where(F.col("outside") & ~single).withColumn("j", part("j_parts")).withColumn("i", every("i_parts")).select(*columns, F.lit(_LEFT).alias("side"))
-    return right.union(left)
+    side = F.when(single & F.col("outside"), _BOTH).otherwise(_RIGHT)
+    right = every("j_parts", lambda j: place(part("i_parts"), j, side))
+    left = every("i_parts", lambda i: place(i, part("j_parts"), F.lit(_LEFT)))
+    places = F.when(F.col("outside") & ~single, F.concat(right, left)).otherwise(right)
+    return members.join(parts, "bucket").select("bucket", "node", *columns, F.explode(places).alias("__at")).select("bucket", "__at.i", "__at.j", "node", *columns, "__at.side")
 
 
 def _able(table: pa.Table, above: int, below: int) -> pa.Table:

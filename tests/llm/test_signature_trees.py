@@ -79,3 +79,33 @@ def test_copies_and_small_buckets_send_each_row_once(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in s.link_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {**{i: 0 for i in range(40)}, 98: 0, 99: 0}
     assert links == [0, 0, 1]
+
+
+def test_bucket_join_is_a_plan_of_one_step(spark):
+    """Read several times, the steps before it stood in the plan again and again."""
+    import numpy as np
+
+    shingles = np.arange(10, dtype=np.uint64)
+    rows = [(i, 0, 2, 10, bytearray(shingles.tobytes()), bytearray(s._bitmap(shingles, s._width(10)).tobytes())) for i in range(4)]
+    whole = spark.createDataFrame(rows, "node long, block long, parts int, n long, shingles binary, bits binary")
+    buckets = spark.createDataFrame([(5, i) for i in range(4)], "bucket long, node long")
+    parted = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    found = s._join_buckets(whole, buckets, parted, 90, 100)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
+    assert len(found.collect()) == 2
+
+
+def test_rows_of_one_doc_id_in_buckets_of_several_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(s, "PART", 5)
+    words = [f"w{i}" for i in range(300)]
+    docs = []
+    for length in (40, 30):
+        base = rng.choices(words, k=length)
+        for k in range(40):
+            own = base[:]
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(length)] = rng.choice(words)
+            docs.append((k % 25 + (0 if length == 40 else 20), " ".join(own)))
+    got = sorted((tuple(r) for r in s.link_documents(spark.createDataFrame(docs, "doc_id long, text string"), 3, 80, 100).collect()), key=str)
+    assert got == plain(docs, 3, 80, 100)
