@@ -162,17 +162,16 @@ def _gaps(found: DataFrame) -> DataFrame:
     by = [F.col("begin_geldigheid").asc_nulls_first()]
     # A source state may have any number of destinations: no window sees them all.
     narrow = found.select("__row", "begin_geldigheid", "eind_geldigheid")
-    found = segments.with_neighbours(narrow, ["__row"], by, F.lit(None).cast("timestamp"), until, "__following", "__reached")
+    # What follows a row is told by a mark: the state's last row has none, and knows how far all of them reach.
+    found = segments.with_neighbours(narrow, ["__row"], by, F.lit(1), until, "__following", "__reached")
     reached = F.col("__reached")
-    start = F.coalesce(reached, F.col("__row.s_begin"))
+    start, stop = F.coalesce(reached, F.col("__row.s_begin")), F.col("begin_geldigheid")
     open_begin = reached.isNull() & F.col("__row.s_begin").isNull()
-    between = found.select(
-        "__row", start.alias("begin_geldigheid"), F.col("begin_geldigheid").alias("eind_geldigheid"), open_begin.alias("__open")
-    ).where(F.col("eind_geldigheid").isNotNull() & (F.col("__open") | (F.col("begin_geldigheid") < F.col("eind_geldigheid"))))
-    last = found.groupBy("__row").agg(F.max(until).alias("begin_geldigheid"))
-    end = F.col("__row.s_end")
-    after = last.where(F.col("begin_geldigheid") < F.coalesce(end, far)).select("__row", "begin_geldigheid", end.alias("eind_geldigheid"))
-    return between.drop("__open").unionByName(after)
+    gap = lambda b, e: F.struct(b.alias("begin_geldigheid"), e.alias("eind_geldigheid"))
+    before = F.when(stop.isNotNull() & (open_begin | (start < stop)), gap(start, stop))
+    last, end = F.greatest(reached, until), F.col("__row.s_end")
+    after = F.when(F.col("__following").isNull() & (last < F.coalesce(end, far)), gap(last, end))
+    return found.select("__row", F.explode(F.array_compact(F.array(before, after))).alias("__gap")).select("__row", "__gap.*")
 
 
 def relate_temporal(

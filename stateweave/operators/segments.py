@@ -44,22 +44,26 @@ def with_neighbours(
 ) -> DataFrame:
     """Append ``leading`` of the next row of the key, and the greatest ``running`` of all its earlier rows.
 
-    NULL where there is none; NULLs of ``running`` are passed over.
+    NULL where there is none; NULLs of ``running`` are passed over.  A key with rows
+    in several partitions comes first in all of them but one, so that at most two
+    rows a partition are carried and no other key passes through a second exchange.
     """
     of = F.struct(*key)
-    placed = pinned(df.select("*", of.alias("__key"), leading.alias("__leading"), running.alias("__running")), [F.col("__key").asc(), *order])
-    within = Window.partitionBy(PART, "__key").orderBy(PLACE)
+    placed = pinned(df.select("*", leading.alias("__leading"), running.alias("__running")), [*(F.col(k).asc() for k in key), *order])
+    within = Window.partitionBy(PART, *key).orderBy(PLACE)
     inner = placed.withColumn("__next", F.lead("__leading").over(within)).withColumn("__last", F.lead(F.lit(1)).over(within).isNull())
     inner = inner.withColumn("__inside", F.max("__running").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    # Two rows per partition at most, so both broadcasts have a fixed bound.
+    heads = placed.where(F.col(PLACE) == 0).select(of.alias("__key")).distinct()
     first = F.min_by("__leading", PLACE).alias("__first")
-    segments = placed.groupBy(PART, "__key").agg(first, F.max("__running").alias("__top"))
-    along = Window.partitionBy("__key").orderBy(PART)
-    carried = segments.select(
-        PART, "__key", F.lead("__first").over(along).alias("__later"),
+    segments = placed.join(F.broadcast(heads), of == F.col("__key")).groupBy(PART, "__key").agg(first, F.max("__running").alias("__top"))
+    along = Window.partitionBy("__key").orderBy("__of")
+    carried = segments.withColumnRenamed(PART, "__of").select(
+        "__of", "__key", F.lead("__first").over(along).alias("__later"),
         F.max("__top").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"),
     )
     following = F.when(F.col("__last"), F.col("__later")).otherwise(F.col("__next"))
     # greatest() passes over NULL.
-    return inner.join(carried, [PART, "__key"]).select(
+    return inner.join(F.broadcast(carried), (F.col(PART) == F.col("__of")) & (of == F.col("__key")), "left").select(
         *df.columns, following.alias(next_), F.greatest("__inside", "__carry").alias(reached)
     )

@@ -90,3 +90,15 @@ def test_a_hot_key_is_numbered_over_many_partitions(spark, order):
         by.setdefault(r.k, set()).add(r[order])
     rank = {(k, v): i for k, own in by.items() for i, v in enumerate(sorted(own), 1)}
     assert got == {r.id: rank[r.k, r[order]] for r in rows}
+
+
+def test_only_keys_in_several_partitions_are_carried(spark, monkeypatch):
+    """Keys that lie whole in a partition met what others carried in a sorted join."""
+    monkeypatch.setattr(segments, "staged", lambda df, label: df)
+    df = spark.createDataFrame([(k, b) for k in range(20) for b in range(3)], "key long, begin long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = segments.with_neighbours(df, ["key"], [F.col("begin").asc()], F.col("begin"), F.col("begin"), "next", "reached")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
