@@ -15,30 +15,32 @@ CONTRACTED = 1 << 20
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for every node of ``links`` (a, b: long) the smallest node it can reach.
 
-    Large-star and small-star steps alternate.  A round hooks a node's larger
-    neighbours to its smallest one, so the paths shorten geometrically.  Before
-    each step tasks contract the links they hold to spanning stars, which joins
-    the same nodes by fewer links; a node's least neighbour only ever falls, so
-    a round that changes nothing is the last.  Every step is a written table of
-    its own: a lost executor costs one step, and no plan holds another step's.
-    A hot node only ever sends its neighbours one row each.  Null nodes and
-    self links are left out; repeated links count once.
+    Small-star and large-star steps alternate.  A round hooks a node's larger
+    neighbours to its smallest one, so the paths shorten geometrically.  The
+    first step keeps one link of a node, the rest are links between its smaller
+    neighbours, of which a dense group has few; tasks that read these contract
+    them to spanning stars, which join the same nodes by fewer links.  The
+    search ends as soon as every node leads to a root.  Every step is a written
+    table of its own: a lost executor costs one step, and no plan holds another
+    step's.  A hot node only ever sends its neighbours one row each.  Null nodes
+    and self links are left out; repeated links count once.
     """
     sound = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    edges = staged(_contracted(sound), "links")
-    before = None
-    while True:
-        larger = staged(_contracted(_star(edges, large=True)), "larger")
-        # Links that come twice meet in a node's task of the next step and are one from there on, so none does when nothing changes.
-        edges = staged(_contracted(_star(larger, large=False)), "stars")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    # Every edge now leads from a node to the root of its component.
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        edges.select(F.col("b"), F.col("b")).distinct()
-    )
+    # The nodes of a dense group send the same links between their smaller neighbours.
+    edges = staged(_star(sound.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), large=False).distinct(), "links")
+    while not _settled(edges):
+        larger = staged(_star(edges, large=True), "larger")
+        # Files are read many to a task, so these hold more links of a component than the tasks that wrote them.
+        edges = staged(_star(_contracted(larger), large=False), "stars")
+    # Every edge now leads from a node to the root of its component; several nodes may have sent the same one.
+    return edges.union(edges.select("b", "b")).distinct().toDF("node", "component")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node either leads to one other node, or others lead to it."""
+    ends = edges.select("a", "b", F.lit(False).alias("led_to")).union(edges.select("b", F.lit(None).cast("long"), F.lit(True)))
+    nodes = ends.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("led_to").alias("led_to"))
+    return nodes.where("low <> high OR low IS NOT NULL AND led_to").isEmpty()
 
 
 def _contract(batches):
@@ -82,7 +84,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     seen = edges.union(edges.select("b", "a")) if large else edges
     # One exchange and no join: a node's neighbours lie sorted in a task that writes to disk what its memory does not hold.
-    joined = seen.select("a", "b", F.least("a", F.min("b").over(Window.partitionBy("a"))).alias("m"))
+    joined = seen.select("a", "b", F.least("a", F.min("b").over(Window.partitionBy("a"))).alias("m")).distinct()
     if large:
         # A node with no larger neighbour keeps its link to the least.
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

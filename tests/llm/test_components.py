@@ -48,3 +48,47 @@ def test_a_step_is_one_exchange_without_a_join(spark):
     for large in (True, False):
         text = components._star(edges, large)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in text and text.count("Exchange") == 1
+
+
+def recorded(monkeypatch):
+    """What every written step holds, in order."""
+    steps = []
+
+    def staged(df, label, write=components.staged):
+        steps.append((label, (out := write(df, label)).count()))
+        return out
+
+    monkeypatch.setattr(components, "staged", staged)
+    return steps
+
+
+def test_a_dense_group_costs_a_row_or_two_a_node_on_any_partitions(spark, monkeypatch):
+    """Tasks contracted what they held before anything met: each of many gave a row for every node of the group."""
+    steps = recorded(monkeypatch)
+    rng = random.Random(3)
+    buckets = [sorted(rng.sample(range(400), 250)) for _ in range(60)]
+    links = [(bucket[0], node) for bucket in buckets for node in bucket]
+    df = spark.createDataFrame(links, "a long, b long").repartition(40, "a", "b")
+    assert {r.node: r.component for r in components.components(df).collect()} == plain(links)
+    assert max(rows for _, rows in steps) <= 2 * 400
+
+
+def test_the_search_ends_when_nodes_lead_to_roots(spark, monkeypatch):
+    """A round used to be run for nothing before the search ended."""
+    steps = recorded(monkeypatch)
+    forest = [(root, 10 * root + i) for root in (1, 2, 3) for i in range(5, 9)] * 2
+    got = components.components(spark.createDataFrame(forest, "a long, b long").repartition(5)).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted(plain(forest).items())
+    assert [label for label, _ in steps] == ["links"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_links_on_any_partitions(spark, seed):
+    rng = random.Random(seed)
+    nodes = [rng.getrandbits(63) - (1 << 62) for _ in range(120)]
+    links = [(rng.choice(nodes[: 40 + 20 * seed]), rng.choice(nodes)) for _ in range(30 + 40 * seed)] + list(zip(nodes, nodes[1:30]))
+    links = [(a, b) for a, b in links if a != b] * 2
+    df = spark.createDataFrame(links, "a long, b long").repartition(1 + 6 * seed)
+    got = components.components(df).collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.component for r in got} == plain(links)
